@@ -1,8 +1,16 @@
 """Queries of this subpackage and their DuckDB SQL, for the repository's entry point."""
 
+from .lm import op10_kneser_ney
+from .packing import op7_best_fit_packing
 from .simhash import op3_simhash_near_dedup
+from .substring import op4_substring_dedup
+from .winnow import op8_winnowing
 
 QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_winnowing": op8_winnowing,
+    "op10_kneser_ney": op10_kneser_ney,
 }
 ORACLE_SQL: dict[str, str] = {}
