@@ -130,11 +130,12 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = 35) -> Dat
         raise ValueError(f"window must be {PREFIX} to {PREFIX + 62}")
     runs = scratch.save(anchors(docs, window), "anchors")
     shared = runs.groupBy("anchor").agg(F.count("*").alias("_n"), F.min("ctx").alias("_lo"), F.max("ctx").alias("_hi")).where("_n > 1")
-    hits = scratch.save(runs.join(shared.select("anchor", (F.col("_lo") == F.col("_hi")).alias("same")), "anchor"), "shared")
+    shared = scratch.save(shared.select("anchor", (F.col("_lo") == F.col("_hi")).alias("same")), "prefixes")  # written, so that the joins' sides are both plain and a hot prefix can be split
+    hits = scratch.save(runs.join(shared, "anchor"), "shared")
 
     mixed = hits.where("not same").groupBy("anchor", "ctx").agg(F.count("*").alias("many"), F.min(F.struct("id", "tk", "at", "n")).alias("w"))
     mixed = scratch.save(mixed, "contexts")
-    sizes = mixed.groupBy("anchor").agg((F.count("*") > GROUP_CONTEXTS).alias("large"))
+    sizes = scratch.save(mixed.groupBy("anchor").agg((F.count("*") > GROUP_CONTEXTS).alias("large")), "sizes")
     want = mixed.join(sizes, "anchor").groupBy(F.col("w.id").alias("id"), F.col("w.tk").alias("tk"))
     want = want.agg(F.collect_list(F.struct("anchor", "ctx", "many", "w.at", "w.n", "large")).alias("want"))  # as many as the text has anchors
     texts = docs.join(want, (docs.id.eqNullSafe(want.id)) & (docs.tk == want.tk)).select(docs.text, "want")
@@ -148,6 +149,8 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = 35) -> Dat
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("n"))
     masks = masks.union(large.join(deep, "key").groupBy("anchor", "ctx").agg(F.bit_or(bit).alias("mask")))
 
+    masks = scratch.save(masks, "masks")
+
     every = bit - 1
     marks = hits.where("same").select("id", "tk", "at", every.alias("mask"))
     marks = marks.union(hits.where("not same").join(masks, ["anchor", "ctx"]).select("id", "tk", "at", "mask")).where("mask <> 0")

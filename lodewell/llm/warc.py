@@ -175,7 +175,7 @@ OP5_SQL = """
 with p as (select page_id, encode(coalesce(html, '')) as body from pages),
 d as (select page_id, octet_length(body) as payload_bytes, sha1(body) as payload_digest from p),
 w as (select payload_digest, max(page_id) as first from d where payload_bytes >= 1000 group by payload_digest)
-select page_id, payload_bytes::bigint as payload_bytes, payload_digest,
+select page_id, payload_bytes::bigint as payload_bytes, d.payload_digest,
     case when first is not null and page_id is distinct from first then 'revisit' else 'response' end as record_type,
     case when first is not null and page_id is distinct from first then first end as refers_to
 from d left join w on d.payload_digest = w.payload_digest and d.payload_bytes >= 1000"""
