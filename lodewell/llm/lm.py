@@ -39,7 +39,7 @@ from ._words import LOWER, mix, slices, word_hashes, words
 _U = np.uint64
 END, START = _U(0x1B873593CC9E2D51), _U(0x52DCE729DA3ED5F3)
 #: Bytes of text for each bucket, and tokens that a task sums before it deals them out.
-BUCKET_BYTES, CHUNK_TOKENS = 16 << 20, 1 << 22
+BUCKET_BYTES, CHUNK_TOKENS = 16 << 20, 1 << 21
 
 
 def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,18 +67,20 @@ def pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Tokens and contexts, some millions at a time."""
-    hs, us, n = [], [], 0
+    """Tokens, and which are the first of a text, some millions at a time."""
+    hs, firsts, n = [], [], 0
     for _, buf, off in slices(batches, column):
         h, at = tokens(buf, off)
+        first = np.zeros(len(h), bool)
+        first[at[:-1]] = True
         hs.append(h)
-        us.append(before(h, at))
+        firsts.append(first)
         n += len(h)
         if n >= CHUNK_TOKENS:
-            yield np.concatenate(hs), np.concatenate(us)
-            hs, us, n = [], [], 0
+            yield np.concatenate(hs), np.concatenate(firsts)
+            hs, firsts, n = [], [], 0
     if n:
-        yield np.concatenate(hs), np.concatenate(us)
+        yield np.concatenate(hs), np.concatenate(firsts)
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,9 +209,14 @@ class KneserNey:
             return np.where(np.isin(u, hot), mix(w) % _U(n), mix(u) % _U(n)).astype(np.int64)
 
         def bigrams(batches):
-            for w, u in _chunks(batches):
-                ids, at = np.unique(np.r_[w, u], return_inverse=True)
-                both, c = np.unique(at[len(w) :] * len(ids) + at[: len(w)], return_counts=True)
+            for h, first in _chunks(batches):
+                ids, at = np.unique(h, return_inverse=True)
+                last = np.empty_like(at)
+                last[1:] = at[:-1]
+                last[first] = len(ids)
+                ids = np.r_[ids, START]
+                both, c = np.unique(last * len(ids) + at, return_counts=True)
+                del h, first, at, last
                 u, w = ids[both // len(ids)], ids[both % len(ids)]
                 yield _deal(home(u, w), n, u, w, c.astype(np.int32))
 
