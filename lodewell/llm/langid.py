@@ -161,14 +161,14 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double, rejected boolean")
 
 
-def drop_rejected(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text the model rejects."""
+def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs with _lw_lang: struct<lang string, score double, rejected boolean> of each text."""
 
-    @F.pandas_udf("boolean")
-    def rejected(texts: pd.Series) -> pd.Series:
-        return pd.Series([r for _, _, r in model.predict(list(texts))])
+    @F.pandas_udf("lang string, score double, rejected boolean")
+    def found(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(model.predict(list(texts)), columns=["lang", "score", "rejected"])
 
-    return docs.where(~rejected(F.col(text_col)))
+    return docs.withColumn("_lw_lang", found(F.col(text_col)))
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

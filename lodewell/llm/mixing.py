@@ -99,11 +99,14 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: list[Column], budge
     return rows.drop("_all", "_given", "_key", "_range", "_ahead")
 
 
+DOMAIN_WEIGHTS, LANG_WEIGHTS = {"domain0": 4, "domain1": 3, "domain2": 2}, {"en": 5, "de": 2, "fr": 2}
+
+
 def source_tree() -> tuple[dict[str, Column], list[Column]]:
     """The tree of table documents, and its weights: four domains by the source's number, then languages, then sources."""
     number = F.regexp_extract(no_null("source"), r"([0-9]+)$", 1)
     domain = F.when(number != "", F.concat(F.lit("domain"), F.pmod(F.substring(number, -9, 9).cast("int"), F.lit(4)).cast("string")))
-    weights = [weight_of("domain", {"domain0": 4, "domain1": 3, "domain2": 2}), weight_of("lang", {"en": 5, "de": 2, "fr": 2}), F.lit(1)]
+    weights = [weight_of("domain", DOMAIN_WEIGHTS), weight_of("lang", LANG_WEIGHTS), F.lit(1)]
     return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}, weights
 
 
