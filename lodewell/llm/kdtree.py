@@ -84,7 +84,7 @@ def shard(rows: DataFrame, dims: dict[str, Column], size: Column, shards: int |
         moved = _lookup(rows, {v: [p[0], p[1]] for v, p in plan.items()}, ["d", "t"])
         side = F.when(col("d").isNull(), col("_lw_node")).otherwise(2 * col("_lw_node") + F.when(key(col("d")) >= col("t"), 1).otherwise(0))
         rows = moved.withColumn("_lw_node", side.cast("long")).drop("d", "t")
-        parts = {v: k for v, k in parts.items() if k == 1} | {2 * v: parts[v] // 2 for v in plan} | {2 * v + 1: parts[v] - parts[v] // 2 for v in plan}
+        parts = {v: k for v, k in parts.items() if k == 1} | {w: n for v, k in parts.items() if k > 1 for w, n in ((2 * v, k // 2), (2 * v + 1, k - k // 2))}
         rows = scratch.save(rows, "level")
         scratch.drop(held)
         held = rows

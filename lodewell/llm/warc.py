@@ -136,7 +136,7 @@ def read(spark, path: str) -> DataFrame:
     chain = scratch.save(reachable(found, scratch), "chain").where("next is not null")
     slim = chain.select("file", "pos", F.lead("pos").over(Window.partitionBy("file").orderBy("pos")).alias("_until"))
     p = found.join(slim, ["file", "pos"], "left")
-    single = p.where((F.col("_until") == F.col("pos") + 1) | (F.col("_until").isNull() & (F.octet_length("content") <= F.col("length") + len(TRAILER))))
+    single = p.where((F.col("_until") == F.col("pos") + 1) | (F.col("_until").isNull() & (F.octet_length("content") >= F.col("length"))))
     single = single.join(chain.select("file", "pos"), ["file", "pos"], "left_semi")
     broken = slim.join(single.select("file", "pos"), ["file", "pos"], "left_anti")
     inner = found.select("file", F.col("pos").alias("_p"), "_body").join(broken, "file").where((F.col("_p") > F.col("pos")) & (F.col("_p") < F.coalesce("_until", F.lit((1 << 62)))))
