@@ -202,7 +202,9 @@ def leiden(edges: DataFrame, nodes: DataFrame, gamma: float = GAMMA) -> DataFram
     """(id, community): dense communities of the graph; nodes(id) without an edge are their own.
 
     Moves only ever lead to a neighbour's community, so connected components are independent: one
-    task each. A component has to fit its task; edges without weight connect nothing.
+    task each. A component has to fit its task; edges without weight connect nothing. After a
+    contraction a group counts as one member and its edges from both ends, so later turns merge
+    further than the objective over single nodes would.
     """
     edges = edges.where("sim > 0")
     part = components(edges, nodes)

@@ -127,25 +127,24 @@ class Index:
 
     # search
 
-    def search(self, query: str, top_k: int | None = None, prefix: str | None = None, mmr_lambda: float | None = None, bm25_weight: float | None = None, query_prefix: str = "code: ") -> DataFrame:
-        """Chunks with rank and score, best first. prefix filters after candidates are chosen, so fewer than k may be left."""
-        s = self.settings.search
-        k, lam, weight = (own if given is None else given for given, own in ((top_k, s.top_k), (mmr_lambda, s.mmr_lambda), (bm25_weight, s.bm25_weight)))
+    def candidates(self, query: str, top_k: int, weight: float, prefix: str | None = None, query_prefix: str = "") -> DataFrame:
+        """The chunks that a search for k looks at, with score and vector. prefix filters after they are chosen, so fewer than k may be left."""
         vectors, chunks = self.table("vectors"), self.table("chunks")
         first = vectors.first()
         q = self.embedder.embed_batch([query_prefix + query])[0]
         if first is not None and len(first.vector) != len(q):
             raise StorageError(f"the index has vectors of {len(first.vector)} dimensions, the embedder of {len(q)}: reindex")
-        n = retrieval.candidates(k)
+        n = retrieval.candidates(top_k)
         semantic = retrieval.vector_topk(vectors, q, n, "id", "vector", "cos")
         lexical = retrieval.normalized(retrieval.bm25(chunks, "id", ["name", "source"], query, n)) if weight > 0 else self.spark.createDataFrame([], "id string, bm25 double")
-        cands = retrieval.hybrid(semantic, lexical, "id", s.min_score, weight)
-        rows = cands.join(chunks, "id")
+        rows = retrieval.hybrid(semantic, lexical, "id", self.settings.search.min_score, weight).join(chunks, "id")
         if prefix:
             rows = rows.where(F.col("source_path").startswith(prefix))
-        rows = rows.join(vectors, "id", "left").persist()
-        ranked = retrieval.mmr(rows, k, lam, "id", vector_col="vector") if rows.count() else self.spark.createDataFrame([], "id string, score double, mmr double, rank int")
-        return ranked.join(rows.drop("score", "vector"), "id").withColumn("kind", T.kind_shown(F.col("kind"))).orderBy("rank")
+        return rows.join(vectors, "id", "left")
+
+    def search(self, query: str, top_k: int | None = None, prefix: str | None = None, mmr_lambda: float | None = None, bm25_weight: float | None = None, query_prefix: str = "code: ") -> DataFrame:
+        """Chunks with rank and score, best first."""
+        return search_workspaces({"": self}, query, top_k, prefix, mmr_lambda, bm25_weight, query_prefix).drop("workspace")
 
     # notes
 
@@ -166,3 +165,20 @@ class Index:
     def require(self) -> None:
         if self.version() is None:
             raise NotFound(f"no index at {self.path}")
+
+
+def search_workspaces(indexes: dict[str, Index], query: str, top_k: int | None = None, prefix: str | None = None, mmr_lambda: float | None = None, bm25_weight: float | None = None, query_prefix: str = "code: ") -> DataFrame:
+    """Chunks of several indexes (by workspace) with rank and score, best first: candidates of all are pooled and selected from together."""
+    some = next(iter(indexes.values()))
+    s = some.settings.search
+    k, lam, weight = (own if given is None else given for given, own in ((top_k, s.top_k), (mmr_lambda, s.mmr_lambda), (bm25_weight, s.bm25_weight)))
+    rows = None
+    for name, index in indexes.items():
+        own = index.candidates(query, k, weight, prefix, query_prefix).withColumn("workspace", F.lit(name))
+        rows = own if rows is None else rows.unionByName(own)
+    rows = rows.withColumn("key", F.concat_ws("\n", "workspace", "id")).persist()
+    if rows.isEmpty():
+        ranked = some.spark.createDataFrame([], "key string, score double, mmr double, rank int")
+    else:
+        ranked = retrieval.mmr(rows, k, lam, "key", vector_col="vector")
+    return ranked.join(rows.drop("score", "vector"), "key").drop("key").withColumn("kind", T.kind_shown(F.col("kind"))).orderBy("rank")
