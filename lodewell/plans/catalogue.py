@@ -424,10 +424,10 @@ SHOWN = f"{HYB}, t as (select doc_id, score, row_number() over (order by round(s
 
 @query
 def group_by_community(spark, at):
-    return formatting.by_community(shown(spark, at)).select("doc_id", "community_id", F.col("seen").cast("int").alias("seen"), F.col("rank").cast("int").alias("rank"))
+    return formatting.by_community(shown(spark, at)).select("doc_id", F.coalesce("community_id", F.lit(-1)).alias("community_id"), F.col("seen").cast("int").alias("seen"), F.col("rank").cast("int").alias("rank"))
 
 
-sql("group_by_community", f"with {SHOWN} select doc_id, community_id, seen::int as seen, rank::int as rank from g")
+sql("group_by_community", f"with {SHOWN} select doc_id, coalesce(community_id, -1)::bigint as community_id, seen::int as seen, rank::int as rank from g")
 
 
 @query
@@ -520,7 +520,7 @@ def embed_text_cap(spark, at):
     return read(spark, at, "documents").select("doc_id", F.octet_length(cut).alias("n_bytes"), F.md5(cut.cast("binary")).alias("md5"))
 
 
-sql("embed_text_cap", """with p as (select doc_id, text, list_max(list_filter(range(least(length(text), 2000) - 1500 * (length(text) > 2000)::int, least(length(text), 2000) + 1), lambda i: strlen(left(text, i)) <= 2000)) n from documents)
+sql("embed_text_cap", """with p as (select doc_id, text, list_max(list_filter(range(greatest(least(length(text), 2000) - 1500, 0), least(length(text), 2000) + 1), lambda i: strlen(left(text, i)) <= 2000)) n from documents)
 select doc_id, strlen(left(text, n))::int as n_bytes, md5(left(text, n)) as md5 from p""")
 
 
@@ -684,10 +684,10 @@ sql("delete_files_anti", "select doc_id, source from documents where source not
 @query
 def assign_communities(spark, at):
     d = read(spark, at, "documents").select("doc_id", F.lit(None).cast("int").alias("community_id"))
-    return incremental.assign(d, read(spark, at, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("community_id")), "doc_id", "community_id")
+    return incremental.assign(d, read(spark, at, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("community_id")), "doc_id", "community_id").fillna(-1, ["community_id"])
 
 
-sql("assign_communities", "select doc_id, label as community_id from documents left join embeddings on vec_id = doc_id")
+sql("assign_communities", "select doc_id, coalesce(label, -1) as community_id from documents left join embeddings on vec_id = doc_id")
 
 
 @query
