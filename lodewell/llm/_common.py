@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,3 +78,18 @@ def held_out(doc_id: str | Column, fold: int, of: int) -> Column:
     """Whether crc32 of the id as text leaves that remainder; a null id is never held out."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.coalesce(F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(of)) == fold, F.lit(False))
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = 512) -> Callable:
+    """run over record batches of at most so many rows, for mapInArrow. Workers live on between tasks: what run leaves goes back to the system."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+        finally:
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped

@@ -10,7 +10,6 @@ below what sample texts of its own length have with their own language.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,8 +18,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import held_out
+from ._common import frugal, held_out
 
 UND = "und"
 PLACES = 1 << 13
@@ -28,7 +28,6 @@ PLACES = 1 << 13
 SAMPLE, CENTROIDS, TURNS = 400, 4, 8
 #: A text is rejected below this share of the first percentile of the sample's cosines at its length.
 REJECT_SHARE = 0.5
-_LETTER = re.compile(r"[^\W\d_]")
 _KEEP = bytes(b if chr(b).isalpha() and b < 128 or b > 127 else 32 for b in range(256))
 _PART = 1 << 20
 
@@ -49,7 +48,7 @@ def counts(text: str) -> np.ndarray:
 
 
 def known(text: str | None) -> bool:
-    return text is not None and _LETTER.search(text) is not None
+    return text is not None and any(map(str.isalpha, text))
 
 
 def vector(text: str, idf: np.ndarray) -> tuple[np.ndarray, int]:
@@ -109,7 +108,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1].astype(np.int32)), pa.array(np.r_[df[at], n].astype(np.int64))], names=["place", "df"])
 
-    got = {r.place: r.df for r in train.select("text").mapInArrow(frequencies, "place int, df long").groupBy("place").agg(F.sum("df").alias("df")).collect()}  # PLACES rows at most
+    got = {r.place: r.df for r in train.select("text").mapInArrow(frugal(frequencies), "place int, df long").groupBy("place").agg(F.sum("df").alias("df")).collect()}  # PLACES rows at most
     n, df = got.pop(-1, 0), np.zeros(PLACES)
     df[list(got)] = list(got.values())
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
@@ -158,17 +157,20 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.float64(), pa.bool_()), strict=True))], names=["id", "lang_pred", "score", "rejected"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double, rejected boolean")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(frugal(run), f"id {kind}, lang_pred string, score double, rejected boolean")
 
 
 def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with _lw_lang: struct<lang string, score double, rejected boolean> of each text."""
+    at, kinds = docs.columns.index(text_col), [("lang", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())]
 
-    @F.pandas_udf("lang string, score double, rejected boolean")
-    def found(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(model.predict(list(texts)), columns=["lang", "score", "rejected"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = zip(*model.predict(b.column(at).to_pylist()), strict=True)
+            found = pa.StructArray.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, kinds, strict=True)], names=[n for n, _ in kinds])
+            yield pa.RecordBatch.from_arrays([*b.columns, found], names=[*b.schema.names, "_lw_lang"])
 
-    return docs.withColumn("_lw_lang", found(F.col(text_col)))
+    return docs.mapInArrow(frugal(run), T.StructType([*docs.schema.fields, T.StructField("_lw_lang", T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]))]))
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

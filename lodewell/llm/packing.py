@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, no_null
+from ._common import Scratch, frugal, no_null
 
 TOKENIZER = "byte_bpe_50k"
 SEQUENCE, SEPARATOR = 2048, 0
 #: Pieces for each partition, and entries of a worker's table of words that it has encoded.
-PARTITION_PIECES, CACHE_WORDS = 200_000, 400_000
+PARTITION_PIECES, CACHE_WORDS = 200_000, 150_000
 _PART = re.compile(r"\s*\S+|\s+$")
 #: White space on which Python's \s and the tokenizer's differ, or that neither side is sure to share.
 _ODD = re.compile(r"[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
@@ -104,9 +104,10 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
             rows, *rest = zip(*out, strict=True) if out else [()] * 5
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *map(pa.array, rest, kinds)], names=["id", "piece", "start", "length", "ids_crc32"])
+        words.clear()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), no_null(text_col).alias("text")).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(id_col).alias("id"), no_null(text_col).alias("text")).mapInArrow(frugal(run), f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def lower_bound(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> int:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD, Scratch, no_null, partitions
+from ._common import WORD, Scratch, frugal, no_null, partitions
 from ._words import Rolling, leftmost_min, slices, word_hashes, words
 
 _U = np.uint64
@@ -139,7 +139,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = 35) -> Dat
     want = mixed.join(sizes, "anchor").groupBy(F.col("w.id").alias("id"), F.col("w.tk").alias("tk"))
     want = want.agg(F.collect_list(F.struct("anchor", "ctx", "many", "w.at", "w.n", "large")).alias("want"))  # as many as the text has anchors
     texts = docs.join(want, (docs.id.eqNullSafe(want.id)) & (docs.tk == want.tk)).select(docs.text, "want")
-    parts = scratch.save(texts.mapInArrow(_contexts(window), "anchor long, ctx long, many long, n int, words string, key long"), "words")
+    parts = scratch.save(texts.mapInArrow(frugal(_contexts(window)), "anchor long, ctx long, many long, n int, words string, key long"), "words")
 
     small = parts.where("key is null").select("anchor", "ctx", "many", "n", "words")
     groups = max(partitions(docs.sparkSession), -(-mixed.count() // TASK_CONTEXTS))
@@ -207,17 +207,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     found, names = marked(docs, id_col, text_col, window), docs.columns
 
-    @F.pandas_udf("text string, n long")
-    def rest(text, marks):
-        import pandas as pd
+    text_at, marks_at = found.columns.index(text_col), found.columns.index("_lw_marks")
 
-        got = [cut(t, None if m is None else list(m), window) if m is not None else (t, 1, 0) for t, m in zip(text, marks, strict=True)]
-        return pd.DataFrame({"text": [g[0] for g in got], "n": [g[1] - g[2] for g in got]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, left = [], []
+            for t, marks in zip(b.column(text_at), b.column(marks_at), strict=True):
+                text, n, gone = cut(t.as_py(), marks.as_py(), window) if marks.is_valid else (t.as_py(), 1, 0)
+                texts.append(text)
+                left.append(n > gone)
+            columns = [pa.array(texts, c.type) if i == text_at else c for i, c in enumerate(b.columns) if i != marks_at]
+            yield pa.RecordBatch.from_arrays(columns, names=[n for i, n in enumerate(b.schema.names) if i != marks_at]).filter(pa.array(left, pa.bool_()))
 
-    some = F.col("_lw_marks").isNotNull()
-    found = found.withColumn("_lw_rest", F.when(some, rest(text_col, "_lw_marks")))
-    found = found.where(~some | (F.col("_lw_rest.n") > 0))
-    return found.withColumn(text_col, F.when(some, F.col("_lw_rest.text")).otherwise(F.col(text_col))).select(*names)
+    return found.mapInArrow(frugal(run), found.drop("_lw_marks").schema).select(*names)
 
 
 def op4_substring_dedup(spark, sf_dir: str, window: int = 35) -> DataFrame:
@@ -236,4 +238,4 @@ def op4_substring_dedup(spark, sf_dir: str, window: int = 35) -> DataFrame:
                 sha.append(hashlib.sha256(" ".join(own).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return marked(docs, window=window).select("doc_id", "text", "_lw_marks").mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return marked(docs, window=window).select("doc_id", "text", "_lw_marks").mapInArrow(frugal(digest), "doc_id long, n_words long, n_removed long, kept_sha256 string")
