@@ -29,8 +29,8 @@ def candidates(k: int) -> int:
 def _phrase_count(tokens: Column, phrase: list[str]) -> Column:
     if len(phrase) == 1:
         return F.size(F.filter(tokens, lambda t: t == phrase[0]))
-    here = F.filter(F.transform(tokens, lambda t, i: F.when((t == phrase[0]) & (F.slice(tokens, i + 1, F.lit(len(phrase))) == F.array(*map(F.lit, phrase))), i)), lambda i: i.isNotNull())
-    return F.size(here)
+    line = F.concat(F.lit(" "), F.array_join(tokens, "  "), F.lit(" "))  # a look-ahead counts occurrences that overlap too
+    return F.regexp_count(line, F.lit("(?= " + "  ".join(phrase) + " )"))
 
 
 def bm25(docs: DataFrame, id_col: str, text_cols: list[str], query: str, n: int | None = None) -> DataFrame:
