@@ -76,29 +76,45 @@ def header(name: str) -> Column:
     return F.nullif(F.regexp_extract("head", rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
 
 
+def _pieces(spark, path: str) -> DataFrame:
+    """(file, block, row, value): the archives cut where a trailer and a version line meet."""
+    raw = spark.read.option("lineSep", TRAILER + VERSION).text(path)
+    return raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
+def _parsed(body: Column) -> tuple[Column, Column, Column]:
+    """Header, content and stated length of a record's bytes after its version line; null where there is no header."""
+    cut = F.instr(body, TRAILER)
+    head = F.when(cut > 0, F.substring(body, F.lit(1), cut - 1))
+    length = F.regexp_extract(head, r"(?im)^Content-Length:[ \t]*([0-9]{1,18})[ \t]*\r?$", 1)
+    return head, F.when(cut > 0, F.substring(body, cut + len(TRAILER), F.length(body))), F.nullif(length, F.lit("")).cast("long")
+
+
+def _stripped(value: Column) -> Column:
+    return F.substring(value, F.lit(len(VERSION) + 1), F.length(value))
+
+
 def candidates(spark, path: str) -> DataFrame:
-    """(file, start, next, pos, at, head, content): the pieces of the archives in path.
+    """(file, block, row, pos, first, at, next, length): the pieces of the archives in path, without their bytes.
 
     at: the offset of the piece's version line (in the file's uncompressed bytes). next: where the
-    record that begins there would be followed by another, null if its header is none. content: the
-    bytes after the header, as a string of bytes. pos: the piece's place in its file.
+    record that begins there would be followed by another, null if its header is none. pos: the
+    piece's place in its file. Headers are read before pieces are dealt out, so that only numbers are.
     """
-    raw = spark.read.option("lineSep", TRAILER + VERSION).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    size = F.octet_length("value").cast("long") + len(TRAILER + VERSION)
-    by_block = raw.groupBy("file", "block").agg(F.sum(size).alias("_bytes"), F.count("*").alias("_rows"))
+    value, numbers = F.col("value"), []
+    for name, body in (("", value), ("0", F.when(value.startswith(VERSION), _stripped(value)).otherwise(value))):
+        head, _, length = _parsed(body)
+        numbers += [length.alias(f"_length{name}"), (F.octet_length(head) + len(VERSION) + 2 * len(TRAILER) + length).alias(f"_whole{name}")]
+    raw = _pieces(spark, path).select("file", "block", "row", (F.octet_length("value").cast("long") + len(TRAILER + VERSION)).alias("_size"), *numbers)
+    by_block = raw.groupBy("file", "block").agg(F.sum("_size").alias("_bytes"), F.count("*").alias("_rows"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # file parts
     by_block = by_block.select("file", "block", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_bytes", "_rows")))
     inside = Window.partitionBy("file", "block").orderBy("row")
-    p = raw.withColumns({"_to": F.sum(size).over(inside), "_i": F.row_number().over(inside)}).join(by_block, ["file", "block"])
-    first = (F.col("_bytes") + F.col("_to") == size)
-    p = p.withColumn("pos", F.col("_rows") + F.col("_i") - 1).withColumn("at", F.when(first, 0).otherwise(F.col("_bytes") + F.col("_to") - size - len(VERSION)).cast("long"))
-    body = F.when(first & F.col("value").startswith(VERSION), F.substring(F.col("value"), F.lit(len(VERSION) + 1), F.length("value"))).otherwise(F.col("value"))
-    p = p.withColumn("_body", body)
-    cut = F.instr("_body", TRAILER)
-    p = p.withColumns({"head": F.when(cut > 0, F.substring(F.col("_body"), F.lit(1), cut - 1)), "content": F.when(cut > 0, F.substring(F.col("_body"), cut + len(TRAILER), F.length("_body")))})
-    length = F.regexp_extract("head", r"(?im)^Content-Length:[ \t]*([0-9]{1,18})[ \t]*\r?$", 1)
-    whole = F.octet_length("head") + len(VERSION) + 2 * len(TRAILER)
-    return p.withColumns({"length": F.nullif(length, F.lit("")).cast("long")}).withColumn("next", F.col("at") + whole + F.col("length")).select("file", "block", "pos", "at", "next", "length", "head", "content", "_body")
+    p = raw.withColumns({"_to": F.sum("_size").over(inside), "_i": F.row_number().over(inside)}).join(by_block, ["file", "block"])
+    p = p.withColumn("first", F.col("_bytes") + F.col("_to") == F.col("_size")).withColumn("pos", F.col("_rows") + F.col("_i") - 1)
+    p = p.withColumn("at", F.when(F.col("first"), 0).otherwise(F.col("_bytes") + F.col("_to") - F.col("_size") - len(VERSION)).cast("long"))
+    own = lambda n: F.when(F.col("first"), F.col(f"{n}0")).otherwise(F.col(n))
+    return p.select("file", "block", "row", "pos", "first", "at", (F.col("at") + own("_whole")).alias("next"), own("_length").alias("length"))
 
 
 def reachable(found: DataFrame, scratch: Scratch) -> DataFrame:
@@ -132,17 +148,18 @@ def read(spark, path: str) -> DataFrame:
     is false for a record whose bytes end early. No files, or empty ones, give no records.
     """
     scratch = Scratch(spark, "warc")
-    found = candidates(spark, path)
-    chain = scratch.save(reachable(found, scratch), "chain").where("next is not null")
-    slim = chain.select("file", "pos", F.lead("pos").over(Window.partitionBy("file").orderBy("pos")).alias("_until"))
-    p = found.join(slim, ["file", "pos"], "left")
-    single = p.where((F.col("_until") == F.col("pos") + 1) | (F.col("_until").isNull() & (F.octet_length("content") >= F.col("length"))))
-    single = single.join(chain.select("file", "pos"), ["file", "pos"], "left_semi")
-    broken = slim.join(single.select("file", "pos"), ["file", "pos"], "left_anti")
-    inner = found.select("file", F.col("pos").alias("_p"), "_body").join(broken, "file").where((F.col("_p") > F.col("pos")) & (F.col("_p") < F.coalesce("_until", F.lit((1 << 62)))))
-    tails = inner.groupBy("file", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_body"))), lambda x: F.concat(F.lit(TRAILER + VERSION), x["_body"])), "").alias("_tail"))  # one record's bytes
-    spans = found.join(broken, ["file", "pos"]).join(tails, ["file", "pos"], "left").withColumn("content", F.concat("content", F.coalesce("_tail", F.lit(""))))
-    both = single.select("file", "at", "head", "content", "length").union(spans.select("file", "at", "head", "content", "length"))
+    numbers = scratch.save(candidates(spark, path), "candidates")
+    chain = reachable(numbers, scratch).where("next is not null").select("file", "pos")
+    owner = F.last(F.when(F.col("_chained"), F.col("pos")), True).over(Window.partitionBy("file").orderBy("pos"))
+    owned = numbers.join(chain.withColumn("_chained", F.lit(True)), ["file", "pos"], "left").withColumn("_chained", F.coalesce("_chained", F.lit(False))).withColumn("owner", owner)
+    owned = scratch.save(owned.where("owner is not null").select("file", "block", "row", "pos", "at", "first", "length", "owner", F.count("*").over(Window.partitionBy("file", "owner")).alias("_n")), "owned")
+    value = F.col("value")
+    p = _pieces(spark, path).join(owned, ["file", "block", "row"]).withColumn("_body", F.when(F.col("first") & value.startswith(VERSION), _stripped(value)).otherwise(value)).drop("value")
+    head, content, _ = _parsed(F.col("_body"))
+    one = p.where("_n = 1").select("file", "at", head.alias("head"), content.alias("content"), "length")
+    many = p.where("_n > 1").groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("pos", "at", "length", "_body"))).alias("a"))  # one record's bytes
+    many = many.select("file", F.col("a")[0]["at"].alias("at"), F.col("a")[0]["length"].alias("length"), F.array_join(F.transform("a", lambda x: x["_body"]), TRAILER + VERSION).alias("_body"))
+    both = one.unionByName(many.select("file", "at", head.alias("head"), content.alias("content"), "length"))
     raw = F.col("content").cast("binary")
     return both.select("file", "at", "head", F.substring(raw, F.lit(1), F.col("length").cast("int")).alias("content"), (F.octet_length("content") >= F.col("length")).alias("complete"))
 
