@@ -94,8 +94,8 @@ def _stripped(value: Column) -> Column:
     return F.substring(value, F.lit(len(VERSION) + 1), F.length(value))
 
 
-def candidates(spark, path: str) -> DataFrame:
-    """(file, block, row, pos, first, at, next, length): the pieces of the archives in path, without their bytes.
+def candidates(pieces: DataFrame) -> DataFrame:
+    """(file, block, row, pos, first, at, next, length): _pieces(), without their bytes.
 
     at: the offset of the piece's version line (in the file's uncompressed bytes). next: where the
     record that begins there would be followed by another, null if its header is none. pos: the
@@ -105,7 +105,7 @@ def candidates(spark, path: str) -> DataFrame:
     for name, body in (("", value), ("0", F.when(value.startswith(VERSION), _stripped(value)).otherwise(value))):
         head, _, length = _parsed(body)
         numbers += [length.alias(f"_length{name}"), (F.octet_length(head) + len(VERSION) + 2 * len(TRAILER) + length).alias(f"_whole{name}")]
-    raw = _pieces(spark, path).select("file", "block", "row", (F.octet_length("value").cast("long") + len(TRAILER + VERSION)).alias("_size"), *numbers)
+    raw = pieces.select("file", "block", "row", (F.octet_length("value").cast("long") + len(TRAILER + VERSION)).alias("_size"), *numbers)
     by_block = raw.groupBy("file", "block").agg(F.sum("_size").alias("_bytes"), F.count("*").alias("_rows"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # file parts
     by_block = by_block.select("file", "block", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_bytes", "_rows")))
@@ -148,13 +148,14 @@ def read(spark, path: str) -> DataFrame:
     is false for a record whose bytes end early. No files, or empty ones, give no records.
     """
     scratch = Scratch(spark, "warc")
-    numbers = scratch.save(candidates(spark, path), "candidates")
+    pieces = scratch.save(_pieces(spark, path), "pieces")  # once: rows of another scan may be numbered otherwise
+    numbers = scratch.save(candidates(pieces), "candidates")
     chain = reachable(numbers, scratch).where("next is not null").select("file", "pos")
     owner = F.last(F.when(F.col("_chained"), F.col("pos")), True).over(Window.partitionBy("file").orderBy("pos"))
     owned = numbers.join(chain.withColumn("_chained", F.lit(True)), ["file", "pos"], "left").withColumn("_chained", F.coalesce("_chained", F.lit(False))).withColumn("owner", owner)
     owned = scratch.save(owned.where("owner is not null").select("file", "block", "row", "pos", "at", "first", "length", "owner", F.count("*").over(Window.partitionBy("file", "owner")).alias("_n")), "owned")
     value = F.col("value")
-    p = _pieces(spark, path).join(owned, ["file", "block", "row"]).withColumn("_body", F.when(F.col("first") & value.startswith(VERSION), _stripped(value)).otherwise(value)).drop("value")
+    p = pieces.join(owned, ["file", "block", "row"]).withColumn("_body", F.when(F.col("first") & value.startswith(VERSION), _stripped(value)).otherwise(value)).drop("value")
     head, content, _ = _parsed(F.col("_body"))
     one = p.where("_n = 1").select("file", "at", head.alias("head"), content.alias("content"), "length")
     many = p.where("_n > 1").groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("pos", "at", "length", "_body"))).alias("a"))  # one record's bytes
@@ -170,6 +171,9 @@ def op5_warc(spark, sf_dir: str) -> DataFrame:
     path = scratch.path("warc")
     write(records(with_revisits(pages)), path)
     recs = scratch.save(payloads(read(spark, path)), "read")
+    written, found = pages.count(), recs.count()
+    if found != written:
+        raise RuntimeError(f"{found} records read of {written} written")
     whole = recs.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to")).agg(F.min(F.struct("payload_bytes", "payload_digest")).alias("of"))
     full = recs.join(whole, "refers_to", "left")
     return full.select("page_id", F.coalesce("of.payload_bytes", "payload_bytes").alias("payload_bytes"), F.coalesce("of.payload_digest", "payload_digest").alias("payload_digest"), "record_type", "refers_to")

@@ -90,3 +90,27 @@ def test_pointer_jumping(spark):
             x = nxt[x]
     df = spark.createDataFrame(rows, "file string, pos long, at long, next long")
     assert {(x.file, x["at"]) for x in warc.reachable(df, Scratch(spark, "t")).collect()} == want
+
+
+def test_files_packed_otherwise_between_scans(spark, tmp_path):
+    df = spark.createDataFrame([(i, "u", f"page {i} " + M * (i % 4)) for i in range(60)], "page_id long, url string, html string")
+    warc.write(warc.records(warc.with_revisits(df.repartition(12))), f"{tmp_path}/w")
+    try:
+        spark.conf.set("spark.sql.files.minPartitionNum", 1)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        recs = warc.read(spark, f"{tmp_path}/w")
+        spark.conf.set("spark.sql.files.minPartitionNum", 64)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 64)
+        got = sorted(r.text.removeprefix(warc.HTTP) for r in recs.select(F.col("content").cast("string").alias("text")).collect())
+    finally:
+        for k in ("minPartitionNum", "openCostInBytes", "maxPartitionBytes"):
+            spark.conf.unset(f"spark.sql.files.{k}")
+    assert got == sorted(f"page {i} " + M * (i % 4) for i in range(60))
+
+
+def test_records_that_are_not_read_are_noticed(spark, tmp_path, monkeypatch):
+    spark.createDataFrame(pages(), "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    whole = warc.read
+    monkeypatch.setattr(warc, "read", lambda *a: whole(*a).where("at > 0"))
+    with pytest.raises(RuntimeError, match="records read of"):
+        warc.op5_warc(spark, str(tmp_path))
