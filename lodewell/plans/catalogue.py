@@ -487,7 +487,7 @@ sql("fnv1a_hash", f"select doc_id, {hash_sql('left(text, 200)', 0xCBF29CE4842223
 
 @query
 def fnv1a_hash_whole(spark, at):
-    """Of every byte, as fnv1a_hash's SQL is too bounded to check: tests hold it against brute force."""
+    """Of every byte; fnv1a_hash's SQL is of a prefix, so tests hold this one against brute force."""
     return read(spark, at, "documents").select("doc_id", H.fnv1a(F.col("text")).alias("hash"))
 
 
@@ -511,6 +511,12 @@ def sanitize_query(spark, at):
 sql("sanitize_query", r"""select doc_id, array_to_string(list_transform(list_filter(regexp_split_to_array(left(text, 80), '[^\p{L}\p{N}_]+'), lambda x: x <> ''), lambda x: '"' || x || '"'), ' ') as query from documents""")
 
 
+@query
+def sanitize_query_whole(spark, at):
+    """Of the whole text; sanitize_query's SQL is of a prefix, so tests hold this one against brute force."""
+    return read(spark, at, "documents").select("doc_id", T.sanitize_query(F.col("text")).alias("query"))
+
+
 @query
 def embed_input(spark, at):
     d = read(spark, at, "documents")

@@ -23,3 +23,8 @@ def fnv1a(text):
 def test_fnv1a_hash_whole(spark, tmp_path):
     got = rows_of(spark, tmp_path, "fnv1a_hash_whole")
     assert got == [fnv1a(t) for t in TEXTS] and len(set(got)) == len(TEXTS)
+
+
+def test_sanitize_query_whole(spark, tmp_path):
+    got = rows_of(spark, tmp_path, "sanitize_query_whole")
+    assert got == [" ".join(f'"{w}"' for w in re.findall(r"\w+", t)) for t in TEXTS]
