@@ -67,3 +67,50 @@ def test_stream(spark, docs_of):
         assert keys == sorted(keys), leaf
     assert mixing.mix(docs_of([]), levels, weights).count() == 0
     assert mixing.mix(docs, levels, weights, budget=0).count() == 0
+
+
+def test_invariants_of_divide(spark):
+    import random
+
+    r, rows = random.Random(1), []
+    for node in range(60):
+        budget = r.choice([0, 1, 7, 100, 5000])
+        for child in range(r.randint(1, 6)):
+            rows.append((node, f"c{child}", r.choice([0, 0, 1, 2, 5]), r.choice([0, 1, 10, 1000]), budget))
+    got = mixing.divide(spark.createDataFrame(rows, "p int, c string, weight long, cap long, budget long"), ["p"], "c").collect()
+    by = defaultdict(list)
+    for x in got:
+        assert 0 <= x.given <= x.cap and (x.weight > 0 or x.given == 0)
+        by[x.p].append(x)
+    for own in by.values():
+        assert sum(x.given for x in own) == min(own[0].budget, sum(x.cap for x in own if x.weight))
+        assert {x.c: x.given for x in own} == fill(own[0].budget, {x.c: x.cap for x in own}, {x.c: x.weight for x in own})
+
+
+def test_zero_weights_below_go_to_the_nodes_siblings(spark):
+    leaves = [("a", "x", 100), ("a", "y", 100), ("b", "x", 500), ("b", "z", 1)]
+    df = spark.createDataFrame(leaves, "d string, l string, tokens long")
+    got = mixing.budgets(df, ["d", "l"], [F.lit(1), mixing.weight_of("l", {"x": 0})], 150, 1)
+    assert {tuple(r[:2]): r.given for r in got.collect()} == {("a", "x"): 0, ("a", "y"): 100, ("b", "x"): 0, ("b", "z"): 1}
+    none = mixing.budgets(df, ["d", "l"], [F.lit(0), F.lit(1)], 150, 1)
+    assert {r.given for r in none.collect()} == {0}
+
+
+def test_clashing_columns(spark, docs_of):
+    levels, weights = mixing.source_tree()
+    docs = docs_of([(1, "a b c", "en", "src1"), (2, "d e " * 20000, "en", "src1")]).withColumns({c: F.lit(c) for c in ("_all", "_given", "_key", "_range", "_ahead", "tokens", "given", "cap", "budget", "weight")})
+    got = mixing.mix(docs, levels, weights).collect()
+    assert len(got) == 2 and all(r[c] == c for r in got for c in ("_all", "_key", "_range", "tokens", "given", "cap"))
+
+
+@pytest.mark.parametrize("domains,langs", [({"domain0": 0, "domain1": 3}, {"en": 5, "de": 0}), ({"domain0": 1, "domain1": 0, "domain2": 0, "domain3": 0}, {"en": 0})])
+def test_zero_weights_against_sql(spark, domains, langs):
+    import duckdb
+
+    at = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{at}/documents.parquet'")
+    cur = con.execute(mixing.mixing_sql(domains, langs))
+    names = [d[0] for d in cur.description]
+    got = [tuple(r) for r in mixing.op1_mixing(spark, at, domains, langs).select(*names).collect()]
+    assert sorted(got) == sorted(cur.fetchall()) and got
