@@ -4,24 +4,28 @@ Writing: the archive of a partition is a text file of records whose separator is
 trailer (CRLF CRLF), written by Spark's committed writer, so any file system will do and a lost task
 is simply run again. Of large equal payloads one record has the payload, the others revisit it.
 
-Reading: the files are cut at every place where a trailer and a version line meet, by
-whichever tasks own those bytes. Each piece is a candidate: its offset is the sum of the
-pieces before it (sums by file part first, then inside the part), and its header says where
-its successor must begin. Candidates whose successor is the next candidate form runs; pointer
+Reading (versions 1.0 and 1.1): the files are cut at every place where a trailer and the begin of
+a version line meet, by whichever tasks own those bytes. Each piece is a candidate: its offset is
+the sum of the pieces before it (sums by file part first, then inside the part), and its header
+says where its successor must begin. Candidates whose successor is the next candidate form runs; pointer
 jumping over the ends of runs, from the start of the file, finds the runs that the chain enters and
 where. Everything else is magic inside a payload: it is rejected, and goes back into the payload of the
-record that spans it.
+record that spans it. Only numbers are dealt out; the bytes of a record that is one piece are
+made use of where they were read, and only records of several pieces gather theirs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import Scratch, no_null
 
 CRLF = "\r\n"
-VERSION = "WARC/1.1" + CRLF
+MAGIC = "WARC/1."  #: of either version; what follows in a version line has MINOR characters
+MINOR = len("1" + CRLF)
 TRAILER = CRLF * 2
 DATE = "2024-01-01T00:00:00Z"
 HTTP = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{CRLF}"
@@ -34,15 +38,17 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
 
     Of the pages with equal payloads of `least` bytes or more, that with the largest id is the
     response. Repeated rows of that id are responses too; a null id loses to any other and
-    is a response if there is no other. A null payload is empty.
+    is a response if there is no other. A null payload is empty. Columns of these names are
+    replaced, all others are kept; names beginning with _lw_ are taken. The join is a sorted one at
+    every size, so that a payload that many pages share can be split.
     """
     pages = pages.withColumn("payload_digest", F.sha1(no_null(html_col).cast("binary")))
     large = F.octet_length(no_null(html_col)) >= least
-    shared = pages.where(large).groupBy("payload_digest").agg(F.count("*").alias("_n"), F.max(id_col).alias("_first")).where("_n > 1").drop("_n")
-    shared = shared.withColumnRenamed("payload_digest", "_digest")
-    pages = pages.join(shared, large & (pages.payload_digest == shared["_digest"]), "left").drop("_digest")
-    again = F.col("_first").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("_first"))
-    return pages.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("_first"))}).drop("_first")
+    shared = pages.where(large).groupBy("payload_digest").agg(F.count("*").alias("_lw_n"), F.max(id_col).alias("_lw_first")).where("_lw_n > 1")
+    shared = shared.select(F.col("payload_digest").alias("_lw_digest"), "_lw_first").hint("merge")
+    pages = pages.join(shared, large & (pages.payload_digest == shared["_lw_digest"]), "left").drop("_lw_digest")
+    again = F.col("_lw_first").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("_lw_first"))
+    return pages.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("_lw_first"))}).drop("_lw_first")
 
 
 def _line(name: str, value: Column) -> Column:
@@ -54,14 +60,14 @@ def urn(id_col: str) -> Column:
     return F.concat(F.lit("<urn:page:"), F.col(id_col).cast("string"), F.lit(">"))
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One string column, record: a WARC record for each row of with_revisits(), without its trailer."""
+def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", minor: int = 1) -> DataFrame:
+    """One string column, record: a WARC record (1.0 or 1.1 by `minor`) for each row of with_revisits(), without its trailer."""
     body = F.when(F.col("record_type") == "response", F.concat(F.lit(HTTP), no_null(html_col))).otherwise(F.lit(""))
     revisit = F.col("record_type") == "revisit"
     head = F.concat(
-        F.lit(VERSION), _line("WARC-Type", F.col("record_type")), _line("WARC-Record-ID", urn(id_col)), _line("WARC-Date", F.lit(DATE)), _line("WARC-Target-URI", F.col(url_col)),
+        F.lit(f"{MAGIC}{minor}{CRLF}"), _line("WARC-Type", F.col("record_type")), _line("WARC-Record-ID", urn(id_col)), _line("WARC-Date", F.lit(DATE)), _line("WARC-Target-URI", F.col(url_col)),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")), _line("WARC-Refers-To", urn("refers_to")),
-        F.when(revisit, f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}").otherwise(f"Content-Type: application/http; msgtype=response{CRLF}"),
+        F.when(revisit, f"WARC-Profile: http://netpreserve.org/warc/1.{minor}/revisit/identical-payload-digest{CRLF}").otherwise(f"Content-Type: application/http; msgtype=response{CRLF}"),
         _line("Content-Length", F.octet_length(body).cast("string")), F.lit(CRLF),
     )
     return pages.select(F.concat(head, body).alias("record"))
@@ -72,49 +78,53 @@ def write(recs: DataFrame, path: str, codec: str = "gzip") -> None:
     recs.write.option("lineSep", TRAILER).option("compression", codec).text(path)
 
 
-def header(name: str) -> Column:
-    return F.nullif(F.regexp_extract("head", rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
-
-
 def _pieces(spark, path: str) -> DataFrame:
     """(file, block, row, value): the archives cut where a trailer and a version line meet."""
-    raw = spark.read.option("lineSep", TRAILER + VERSION).text(path)
+    raw = spark.read.option("lineSep", TRAILER + MAGIC).text(path)
     return raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
 
 
 def _parsed(body: Column) -> tuple[Column, Column, Column]:
-    """Header, content and stated length of a record's bytes after its version line; null where there is no header."""
+    """Header, content and stated length of a record's bytes after MAGIC; null where there is no header."""
     cut = F.instr(body, TRAILER)
-    head = F.when(cut > 0, F.substring(body, F.lit(1), cut - 1))
+    there = (cut > 0) & body.rlike(r"\A[01]\r\n")
+    head = F.when(there, F.substring(body, F.lit(MINOR + 1), cut - 1 - MINOR))
     length = F.regexp_extract(head, r"(?im)^Content-Length:[ \t]*([0-9]{1,18})[ \t]*\r?$", 1)
-    return head, F.when(cut > 0, F.substring(body, cut + len(TRAILER), F.length(body))), F.nullif(length, F.lit("")).cast("long")
+    return head, F.when(there, F.substring(body, cut + len(TRAILER), F.length(body))), F.nullif(length, F.lit("")).cast("long")
 
 
 def _stripped(value: Column) -> Column:
-    return F.substring(value, F.lit(len(VERSION) + 1), F.length(value))
+    return F.substring(value, F.lit(len(MAGIC) + 1), F.length(value))
+
+
+def _first(value: Column) -> Column:
+    """The body of a file's first piece, whose MAGIC no separator has taken; without it, no record begins there."""
+    return F.when(value.startswith(MAGIC), _stripped(value)).otherwise(F.lit(""))
 
 
 def candidates(pieces: DataFrame) -> DataFrame:
-    """(file, block, row, pos, first, at, next, length): _pieces(), without their bytes.
+    """(file, block, row, pos, first, at, next, end, length): _pieces(), without their bytes.
 
-    at: the offset of the piece's version line (in the file's uncompressed bytes). next: where the
-    record that begins there would be followed by another, null if its header is none. pos: the
-    piece's place in its file. Headers are read before pieces are dealt out, so that only numbers are.
+    at: the offset of the piece's version line (in the file's uncompressed bytes), end: that of what
+    follows the piece. next: where the record that begins there would be followed by another, null
+    if its header is none. pos: the piece's place in its file. Headers are read before pieces are
+    dealt out, so that only numbers are.
     """
     value, numbers = F.col("value"), []
-    for name, body in (("", value), ("0", F.when(value.startswith(VERSION), _stripped(value)).otherwise(value))):
+    for name, body in (("", value), ("0", _first(value))):
         head, _, length = _parsed(body)
-        numbers += [length.alias(f"_length{name}"), (F.octet_length(head) + len(VERSION) + 2 * len(TRAILER) + length).alias(f"_whole{name}")]
-    raw = pieces.select("file", "block", "row", (F.octet_length("value").cast("long") + len(TRAILER + VERSION)).alias("_size"), *numbers)
+        numbers += [length.alias(f"_length{name}"), (F.octet_length(head) + len(MAGIC) + MINOR + 2 * len(TRAILER) + length).alias(f"_whole{name}")]
+    raw = pieces.select("file", "block", "row", (F.octet_length("value").cast("long") + len(TRAILER + MAGIC)).alias("_size"), *numbers)
     by_block = raw.groupBy("file", "block").agg(F.sum("_size").alias("_bytes"), F.count("*").alias("_rows"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # file parts
     by_block = by_block.select("file", "block", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_bytes", "_rows")))
     inside = Window.partitionBy("file", "block").orderBy("row")
     p = raw.withColumns({"_to": F.sum("_size").over(inside), "_i": F.row_number().over(inside)}).join(by_block, ["file", "block"])
+    p = p.withColumn("end", F.col("_bytes") + F.col("_to") - len(TRAILER + MAGIC))
     p = p.withColumn("first", F.col("_bytes") + F.col("_to") == F.col("_size")).withColumn("pos", F.col("_rows") + F.col("_i") - 1)
-    p = p.withColumn("at", F.when(F.col("first"), 0).otherwise(F.col("_bytes") + F.col("_to") - F.col("_size") - len(VERSION)).cast("long"))
+    p = p.withColumn("at", F.when(F.col("first"), 0).otherwise(F.col("_bytes") + F.col("_to") - F.col("_size") - len(MAGIC)).cast("long"))
     own = lambda n: F.when(F.col("first"), F.col(f"{n}0")).otherwise(F.col(n))
-    return p.select("file", "block", "row", "pos", "first", "at", (F.col("at") + own("_whole")).alias("next"), own("_length").alias("length"))
+    return p.select("file", "block", "row", "pos", "first", "at", (F.col("at") + own("_whole")).alias("next"), "end", own("_length").alias("length"))
 
 
 def reachable(found: DataFrame, scratch: Scratch) -> DataFrame:
@@ -141,28 +151,63 @@ def reachable(found: DataFrame, scratch: Scratch) -> DataFrame:
     return c.join(seen, ["file", "run"]).where("at >= entry").select("file", "pos", "at", "next")
 
 
-def read(spark, path: str) -> DataFrame:
+def whole_records(head: Column, content: Column, length: Column) -> dict[str, Column]:
+    """What read() gives of a record by default."""
+    return {"head": head, "content": F.substring(content.cast("binary"), F.lit(1), length.cast("int")), "complete": F.octet_length(content) >= length}
+
+
+def read(spark, path: str, fields: Callable[[Column, Column, Column], dict[str, Column]] = whole_records, strict: bool = False) -> DataFrame:
     """(file, at, head, content, complete) for every record of the archives in path.
 
-    Only records on the chain count; whatever follows a broken header is not reached. complete
-    is false for a record whose bytes end early. No files, or empty ones, give no records.
+    fields: other columns, made of a record's head, the string from its content on (which may go
+    past it) and its stated length; they are worked out where the bytes are read, before
+    anything is dealt out. Only records on the chain count; whatever follows a broken header is
+    not reached, and is an error if `strict`. complete is false for a record whose bytes end early. No
+    files, or empty ones, give no records.
     """
     scratch = Scratch(spark, "warc")
     pieces = scratch.save(_pieces(spark, path), "pieces")  # once: rows of another scan may be numbered otherwise
     numbers = scratch.save(candidates(pieces), "candidates")
     chain = reachable(numbers, scratch).where("next is not null").select("file", "pos")
+    if strict:
+        ends = numbers.groupBy("file").agg(F.max("end").alias("end"))
+        reached = numbers.join(chain, ["file", "pos"], "left_semi").groupBy("file").agg(F.max("next").alias("next"))
+        lost = ends.join(reached, "file", "left").where("end > 0 and coalesce(next, 0) < end").first()
+        if lost is not None:
+            raise ValueError(f"{lost['end'] - (lost['next'] or 0)} bytes after the last record of {lost['file']}")
     owner = F.last(F.when(F.col("_chained"), F.col("pos")), True).over(Window.partitionBy("file").orderBy("pos"))
     owned = numbers.join(chain.withColumn("_chained", F.lit(True)), ["file", "pos"], "left").withColumn("_chained", F.coalesce("_chained", F.lit(False))).withColumn("owner", owner)
     owned = scratch.save(owned.where("owner is not null").select("file", "block", "row", "pos", "at", "first", "length", "owner", F.count("*").over(Window.partitionBy("file", "owner")).alias("_n")), "owned")
-    value = F.col("value")
-    p = pieces.join(owned, ["file", "block", "row"]).withColumn("_body", F.when(F.col("first") & value.startswith(VERSION), _stripped(value)).otherwise(value)).drop("value")
-    head, content, _ = _parsed(F.col("_body"))
-    one = p.where("_n = 1").select("file", "at", head.alias("head"), content.alias("content"), "length")
-    many = p.where("_n > 1").groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("pos", "at", "length", "_body"))).alias("a"))  # one record's bytes
-    many = many.select("file", F.col("a")[0]["at"].alias("at"), F.col("a")[0]["length"].alias("length"), F.array_join(F.transform("a", lambda x: x["_body"]), TRAILER + VERSION).alias("_body"))
-    both = one.unionByName(many.select("file", "at", head.alias("head"), content.alias("content"), "length"))
-    raw = F.col("content").cast("binary")
-    return both.select("file", "at", "head", F.substring(raw, F.lit(1), F.col("length").cast("int")).alias("content"), (F.octet_length("content") >= F.col("length")).alias("complete"))
+
+    value, key = F.col("value"), ["file", "block", "row"]
+    made = lambda body, length: fields(*_parsed(body)[:2], length)
+    later, start = made(value, _parsed(value)[2]), made(_first(value), _parsed(_first(value))[2])
+    struct = lambda columns: F.struct(*(c.alias(n) for n, c in columns.items()))
+    own = pieces.select(*key, F.when(value.startswith(MAGIC), struct(start)).alias("_first"), struct(later).alias("_later"))
+    one = own.join(owned.where("_n = 1"), key).select("file", "at", F.when(F.col("first"), F.col("_first")).otherwise(F.col("_later")).alias("of")).select("file", "at", "of.*")
+    p = pieces.join(owned.where("_n > 1"), key).withColumn("_body", F.when(F.col("first"), _first(value)).otherwise(value)).drop("value")
+    many = p.groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("pos", "at", "length", "_body"))).alias("a"))  # one record's bytes
+    many = many.select("file", F.col("a")[0]["at"].alias("at"), F.col("a")[0]["length"].alias("length"), F.array_join(F.transform("a", lambda x: x["_body"]), TRAILER + MAGIC).alias("_body"))
+    return one.unionByName(many.select("file", "at", *(c.alias(n) for n, c in made(F.col("_body"), F.col("length")).items())))
+
+
+def payload(head: Column, content: Column, length: Column) -> dict[str, Column]:
+    """Of a record, for read(): page_id, record_type, refers_to, and the bytes and the digest of the payload read (of its own; a revisit has none)."""
+    named = lambda name: F.nullif(F.regexp_extract(head, rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
+    number = lambda name: F.nullif(F.regexp_extract(named(name), r"<urn:page:(-?[0-9]+)>", 1), F.lit("")).cast("long")
+    at = F.instr(content, TRAILER)  # the HTTP header is ASCII, so characters are bytes up to here
+    body = F.substring(content.cast("binary"), at + len(TRAILER), length.cast("int") - at - len(TRAILER) + 1)
+    body = F.when((named("WARC-Type") == "response") & (at > 0), body).otherwise(F.lit("").cast("binary"))
+    return {"page_id": number("WARC-Record-ID"), "record_type": named("WARC-Type"), "refers_to": number("WARC-Refers-To"), "payload_bytes": F.octet_length(body).cast("long"), "payload_digest": F.sha1(body)}
+
+
+def resolved(recs: DataFrame) -> DataFrame:
+    """Records of payload(), revisits with the bytes and the digest of what they refer to (null if that isn't there)."""
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    again = recs.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to")
+    whole = recs.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to")).agg(F.min(F.struct("payload_bytes", "payload_digest")).alias("of")).where("refers_to is not null")
+    found = again.join(whole.hint("merge"), "refers_to", "left").select("page_id", "of.payload_bytes", "of.payload_digest", "record_type", "refers_to")
+    return recs.where("record_type <> 'revisit'").select(*names).union(found)
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:
@@ -170,26 +215,11 @@ def op5_warc(spark, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "archives")
     path = scratch.path("warc")
     write(records(with_revisits(pages)), path)
-    recs = scratch.save(payloads(read(spark, path)), "read")
+    recs = scratch.save(read(spark, path, payload, strict=True), "read")
     written, found = pages.count(), recs.count()
     if found != written:
         raise RuntimeError(f"{found} records read of {written} written")
-    whole = recs.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to")).agg(F.min(F.struct("payload_bytes", "payload_digest")).alias("of"))
-    full = recs.join(whole, "refers_to", "left")
-    return full.select("page_id", F.coalesce("of.payload_bytes", "payload_bytes").alias("payload_bytes"), F.coalesce("of.payload_digest", "payload_digest").alias("payload_digest"), "record_type", "refers_to")
-
-
-def payloads(recs: DataFrame) -> DataFrame:
-    """Of read()'s records: page_id, record_type, refers_to, and the bytes and the digest of the payload read (of its own; a revisit has none)."""
-    number = lambda name: F.regexp_extract(header(name), r"<urn:page:(-?[0-9]+)>", 1)
-    blank = F.lit("").cast("binary")
-    at = F.instr(F.col("content").cast("string"), TRAILER)  # the HTTP header is ASCII, so characters are bytes up to here
-    body = F.when((header("WARC-Type") == "response") & (at > 0), F.substring("content", at + len(TRAILER), F.octet_length("content"))).otherwise(blank)
-    own = recs.withColumn("_payload", body)
-    return own.select(
-        F.nullif(number("WARC-Record-ID"), F.lit("")).cast("long").alias("page_id"), header("WARC-Type").alias("record_type"), F.nullif(number("WARC-Refers-To"), F.lit("")).cast("long").alias("refers_to"),
-        F.octet_length("_payload").cast("long").alias("payload_bytes"), F.sha1("_payload").alias("payload_digest"),
-    )
+    return resolved(recs)
 
 
 OP5_SQL = """

@@ -111,6 +111,42 @@ def test_files_packed_otherwise_between_scans(spark, tmp_path):
 def test_records_that_are_not_read_are_noticed(spark, tmp_path, monkeypatch):
     spark.createDataFrame(pages(), "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     whole = warc.read
-    monkeypatch.setattr(warc, "read", lambda *a: whole(*a).where("at > 0"))
+    monkeypatch.setattr(warc, "read", lambda *a, **k: whole(*a, **k).where("at > 0"))
     with pytest.raises(RuntimeError, match="records read of"):
         warc.op5_warc(spark, str(tmp_path))
+
+
+def test_strict_and_version_1_0(spark, tmp_path):
+    def record(minor, body, extra=""):
+        return f"WARC/1.{minor}\r\nWARC-Type: response\r\n{extra}Content-Length: {len(body)}\r\n\r\n{body}\r\n\r\n"
+
+    (tmp_path / "v").mkdir()
+    inner = "\r\n\r\nWARC/1.0\r\nContent-Length: 1\r\n\r\nx"
+    old = record(0, "one") + record(0, "two" + inner) + record(0, "three")
+    mixed = record(1, "a") + record(0, "b" + inner) + record(1, "c\r\n\r\nWARC/1.2\r\n") + record(0, "")
+    (tmp_path / "v" / "old.warc").write_bytes(old.encode())
+    (tmp_path / "v" / "mixed.warc.gz").write_bytes(b"".join(gzip.compress(x.encode()) for x in (mixed[:50], mixed[50:])))
+    recs = warc.read(spark, f"{tmp_path}/v", strict=True).withColumn("text", F.col("content").cast("string")).collect()
+    by = {}
+    for r in sorted(recs, key=lambda r: r["at"]):
+        by.setdefault(r.file.rsplit("/", 1)[-1], []).append(r.text)
+        assert r.complete and "WARC-Type: response" in r["head"]
+    assert by == {"old.warc": ["one", "two" + inner, "three"], "mixed.warc.gz": ["a", "b" + inner, "c\r\n\r\nWARC/1.2\r\n", ""]}
+
+    for i, bad in enumerate(("junk" + old, old + "WARC/1.2\r\nContent-Length: 1\r\n\r\nx\r\n\r\n", old + "more", old.replace("Content-Length: 3", "Content-Size: 3", 1))):
+        (tmp_path / f"bad{i}").mkdir()
+        (tmp_path / f"bad{i}" / "x.warc").write_bytes(bad.encode())
+        with pytest.raises(ValueError, match="bytes after the last record"):
+            warc.read(spark, f"{tmp_path}/bad{i}", strict=True)
+
+    pages = spark.createDataFrame([(1, "u", "x" * 1000), (2, "u", "x" * 1000)], "page_id long, url string, html string")
+    warc.write(warc.records(warc.with_revisits(pages), minor=0), f"{tmp_path}/w")
+    got = warc.resolved(warc.read(spark, f"{tmp_path}/w", warc.payload, strict=True)).collect()
+    assert sorted((r.page_id, r.record_type, r.payload_bytes, r.refers_to) for r in got) == [(1, "revisit", 1000, 2), (2, "response", 1000, None)]
+
+
+def test_clashing_columns(spark):
+    rows = [(i, "u", "y" * 1000, "mine", 7) for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, _first string, _n int").withColumns({"_digest": F.lit("d"), "record_type": F.lit("old")})
+    got = sorted(warc.with_revisits(df).collect())
+    assert [(r.page_id, r.record_type, r.refers_to) for r in got] == [(0, "revisit", 2), (1, "revisit", 2), (2, "response", None)] and {(r["_first"], r["_n"], r["_digest"]) for r in got} == {("mine", 7, "d")}
