@@ -51,14 +51,18 @@ def test_links_and_long_lists(spark):
     items = list(enumerate(prints))
     signed = [(i, f - (1 << 64) if f >> 63 else f) for i, f in items]
     fps = spark.createDataFrame(signed, "rep long, fp long")
+    own = {f: i for i, f in signed}
     from lodewell.llm._common import Scratch
     from lodewell.llm._graph import connected_components
 
     for d in (0, 1, 2):
         want = components(items, d)
         for limit in (2, 1000):
-            got = {i: i for i, _ in items} | {x.node: x.root for x in connected_components(simhash.links(fps, d, limit), Scratch(spark, "t")).collect()}
-            assert got == want
+            by = {f: f for f in own} | {x.node: x.root for x in connected_components(simhash.links(fps.select("fp"), d, limit), Scratch(spark, "t")).collect()}
+            least = {}
+            for f, root in by.items():
+                least[root] = min(least.get(root, own[f]), own[f])
+            assert {own[f]: least[root] for f, root in by.items()} == want
 
 
 def test_rows(spark, docs_of, tmp_path):
@@ -71,3 +75,66 @@ def test_rows(spark, docs_of, tmp_path):
     kept = simhash.drop_near_duplicates(docs_of(rows)).collect()
     assert sorted(str(r.doc_id) for r in kept) == ["12", "5", "9", "None"]
     assert simhash.near_duplicates(docs_of([])).count() == 0
+
+
+def test_index_and_counts(spark):
+    """The index: pairs that meet are those that share four bytes of the prefix, as often as they can choose them."""
+    r = random.Random(9)
+    base = r.getrandbits(64)
+    prints = {base}
+    while len(prints) < 60:
+        x = base
+        for p in r.sample(range(8), r.randint(1, 5)):
+            x ^= r.randint(1, 255) << 8 * p
+        prints.add(x)
+    signed = [(f - (1 << 64) if f >> 63 else f,) for f in prints]
+    fps = spark.createDataFrame(signed, "fp long")
+    order = simhash.position_order(fps)
+    assert sorted(order) == list(range(8))
+    prefix, posts = order[:6], simhash.lists(fps, order[:6])
+    got = {}
+    for x in posts.alias("x").join(posts.alias("y"), "key").where("x.fp < y.fp").selectExpr("x.fp as a", "y.fp as b").collect():
+        got[x.a, x.b] = got.get((x.a, x.b), 0) + 1
+    want = {}
+    for (a,) in signed:
+        for (b,) in signed:
+            m = sum((a >> 8 * p & 255) == (b >> 8 * p & 255) for p in prefix)
+            if a < b and m >= 4:
+                want[a, b] = {4: 1, 5: 5, 6: 15}[m]
+    assert got == want and set(want.values()) == {1, 5, 15}
+
+
+def test_null_ids_link(spark, docs_of, monkeypatch):
+    """A chain of two links whose middle has no id is one component, whatever the middle's text is."""
+    prints = {"a": 0, "middle": 0b11, "z": 0b1111, "alone": 255 << 40, "near": 255 << 40 | 1}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs.selectExpr("doc_id as id", "xxhash64(text) as tk", "case text " + " ".join(f"when '{k}' then {v}L" for k, v in prints.items()) + " end as fp"))
+    got = simhash.near_duplicates(docs_of([(1, "a"), (None, "middle"), (2, "z"), (None, "alone"), (None, "near"), (None, "near")])).collect()
+    assert sorted((str(r.id), r.fp, str(r.component_id)) for r in got) == sorted([("1", 0, "1"), ("None", 3, "1"), ("2", 15, "1"), ("None", 255 << 40, "None"), *[("None", 255 << 40 | 1, "None")] * 2])
+
+
+def test_brute_force_and_clashes(spark, docs_of):
+    from pyspark.sql import functions as F
+
+    r = random.Random(4)
+    base = [" ".join(f"w{r.randint(0, 500)}" for _ in range(n)) for n in (60, 300, 1200, 30000)]
+    rows, n = [], 0
+    for text in base:
+        words = text.split(" ")
+        for k in range(8):
+            own = list(words)
+            for _ in range(k):
+                own[r.randrange(len(own))] = f"x{r.randint(0, 9)}"
+            rows.append((n, " ".join(own)))
+            n += 1
+    rows += [(n, None), (n + 1, ""), (n + 2, "one"), (3, rows[10][1]), (3, rows[3][1]), (5, rows[5][1])]
+    want = components(list(enumerate(brute_print(t) for _, t in rows)), 2)
+    least = {}
+    for i, root in want.items():
+        least[root] = min(least.get(root, rows[i][0]), rows[i][0])
+    docs = docs_of(rows).withColumns({c: F.lit("own") for c in ("fp", "tk", "root", "component_id", "id", "key")})
+    got = sorted((x.id, x.component_id) for x in simhash.near_duplicates(docs).collect())
+    assert got == sorted((rows[i][0], least[root]) for i, root in want.items())
+    kept = simhash.drop_near_duplicates(docs).collect()
+    assert len(kept) == len(least) and {x.fp for x in kept} == {"own"}
+    prints = {brute_print(x.text) for x in kept}
+    assert len(prints) == len(kept)
