@@ -31,6 +31,8 @@ DATE = "2024-01-01T00:00:00Z"
 HTTP = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{CRLF}"
 #: Payloads of at least so many bytes are stored once.
 DEDUP_BYTES = 1000
+#: Pieces of records with magic inside that are broadcast (under 100 bytes each); more are joined by sorting.
+FEW_PARTS = 200_000
 
 
 def with_revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", least: int = DEDUP_BYTES) -> DataFrame:
@@ -85,21 +87,21 @@ def _pieces(spark, path: str) -> DataFrame:
 
 
 def _parsed(body: Column) -> tuple[Column, Column, Column]:
-    """Header, content and stated length of a record's bytes after MAGIC; null where there is no header."""
-    cut = F.instr(body, TRAILER)
-    there = (cut > 0) & body.rlike(r"\A[01]\r\n")
-    head = F.when(there, F.substring(body, F.lit(MINOR + 1), cut - 1 - MINOR))
+    """Header, content (binary, to the end) and stated length of a record's bytes after MAGIC; null where there is no header."""
+    upto = F.substring_index(body, TRAILER, 1)
+    there = (F.octet_length(upto) < F.octet_length(body)) & (body.startswith("1" + CRLF) | body.startswith("0" + CRLF))
+    head = F.when(there, F.substring(upto, F.lit(MINOR + 1), F.octet_length(upto)))
     length = F.regexp_extract(head, r"(?im)^Content-Length:[ \t]*([0-9]{1,18})[ \t]*\r?$", 1)
-    return head, F.when(there, F.substring(body, cut + len(TRAILER), F.length(body))), F.nullif(length, F.lit("")).cast("long")
+    return head, F.when(there, F.substring(body.cast("binary"), F.octet_length(upto) + len(TRAILER) + 1, F.octet_length(body))), F.nullif(length, F.lit("")).cast("long")
 
 
-def _stripped(value: Column) -> Column:
-    return F.substring(value, F.lit(len(MAGIC) + 1), F.length(value))
+def _magic(value: Column) -> Column:
+    """Whether a piece begins with MAGIC: a file's first one does if a record begins there (no separator has taken it), any other that does begins none."""
+    return value.startswith(MAGIC)
 
 
-def _first(value: Column) -> Column:
-    """The body of a file's first piece, whose MAGIC no separator has taken; without it, no record begins there."""
-    return F.when(value.startswith(MAGIC), _stripped(value)).otherwise(F.lit(""))
+def _body(value: Column) -> Column:
+    return F.when(_magic(value), F.substring(value, F.lit(len(MAGIC) + 1), F.octet_length(value))).otherwise(value)
 
 
 def candidates(pieces: DataFrame) -> DataFrame:
@@ -110,11 +112,9 @@ def candidates(pieces: DataFrame) -> DataFrame:
     if its header is none. pos: the piece's place in its file. Headers are read before pieces are
     dealt out, so that only numbers are.
     """
-    value, numbers = F.col("value"), []
-    for name, body in (("", value), ("0", _first(value))):
-        head, _, length = _parsed(body)
-        numbers += [length.alias(f"_length{name}"), (F.octet_length(head) + len(MAGIC) + MINOR + 2 * len(TRAILER) + length).alias(f"_whole{name}")]
-    raw = pieces.select("file", "block", "row", (F.octet_length("value").cast("long") + len(TRAILER + MAGIC)).alias("_size"), *numbers)
+    head, _, length = _parsed(_body(F.col("value")))
+    whole = F.octet_length(head) + len(MAGIC) + MINOR + 2 * len(TRAILER) + length
+    raw = pieces.select("file", "block", "row", (F.octet_length("value").cast("long") + len(TRAILER + MAGIC)).alias("_size"), _magic(F.col("value")).alias("_magic"), length.alias("_length"), whole.alias("_whole"))
     by_block = raw.groupBy("file", "block").agg(F.sum("_size").alias("_bytes"), F.count("*").alias("_rows"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # file parts
     by_block = by_block.select("file", "block", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_bytes", "_rows")))
@@ -123,8 +123,8 @@ def candidates(pieces: DataFrame) -> DataFrame:
     p = p.withColumn("end", F.col("_bytes") + F.col("_to") - len(TRAILER + MAGIC))
     p = p.withColumn("first", F.col("_bytes") + F.col("_to") == F.col("_size")).withColumn("pos", F.col("_rows") + F.col("_i") - 1)
     p = p.withColumn("at", F.when(F.col("first"), 0).otherwise(F.col("_bytes") + F.col("_to") - F.col("_size") - len(MAGIC)).cast("long"))
-    own = lambda n: F.when(F.col("first"), F.col(f"{n}0")).otherwise(F.col(n))
-    return p.select("file", "block", "row", "pos", "first", "at", (F.col("at") + own("_whole")).alias("next"), "end", own("_length").alias("length"))
+    own = F.col("first") == F.col("_magic")
+    return p.select("file", "block", "row", "pos", "first", "at", F.when(own, F.col("at") + F.col("_whole")).alias("next"), "end", F.when(own, F.col("_length")).alias("length"))
 
 
 def reachable(found: DataFrame, scratch: Scratch) -> DataFrame:
@@ -153,13 +153,13 @@ def reachable(found: DataFrame, scratch: Scratch) -> DataFrame:
 
 def whole_records(head: Column, content: Column, length: Column) -> dict[str, Column]:
     """What read() gives of a record by default."""
-    return {"head": head, "content": F.substring(content.cast("binary"), F.lit(1), length.cast("int")), "complete": F.octet_length(content) >= length}
+    return {"head": head, "content": F.substring(content, F.lit(1), length.cast("int")), "complete": F.octet_length(content) >= length}
 
 
 def read(spark, path: str, fields: Callable[[Column, Column, Column], dict[str, Column]] = whole_records, strict: bool = False) -> DataFrame:
     """(file, at, head, content, complete) for every record of the archives in path.
 
-    fields: other columns, made of a record's head, the string from its content on (which may go
+    fields: other columns, made of a record's head, the bytes from its content on (which may go
     past it) and its stated length; they are worked out where the bytes are read, before
     anything is dealt out. Only records on the chain count; whatever follows a broken header is
     not reached, and is an error if `strict`. complete is false for a record whose bytes end early. No
@@ -179,25 +179,29 @@ def read(spark, path: str, fields: Callable[[Column, Column, Column], dict[str,
     owned = numbers.join(chain.withColumn("_chained", F.lit(True)), ["file", "pos"], "left").withColumn("_chained", F.coalesce("_chained", F.lit(False))).withColumn("owner", owner)
     owned = scratch.save(owned.where("owner is not null").select("file", "block", "row", "pos", "at", "first", "length", "owner", F.count("*").over(Window.partitionBy("file", "owner")).alias("_n")), "owned")
 
-    value, key = F.col("value"), ["file", "block", "row"]
-    made = lambda body, length: fields(*_parsed(body)[:2], length)
-    later, start = made(value, _parsed(value)[2]), made(_first(value), _parsed(_first(value))[2])
-    struct = lambda columns: F.struct(*(c.alias(n) for n, c in columns.items()))
-    own = pieces.select(*key, F.when(value.startswith(MAGIC), struct(start)).alias("_first"), struct(later).alias("_later"))
-    one = own.join(owned.where("_n = 1"), key).select("file", "at", F.when(F.col("first"), F.col("_first")).otherwise(F.col("_later")).alias("of")).select("file", "at", "of.*")
-    p = pieces.join(owned.where("_n > 1"), key).withColumn("_body", F.when(F.col("first"), _first(value)).otherwise(value)).drop("value")
+    key = ["file", "block", "row"]
+    made = lambda body, length: [c.alias(n) for n, c in fields(*_parsed(body)[:2], length).items()]
+    body = _body(F.col("value"))
+    one = pieces.select(*key, *made(body, _parsed(body)[2])).join(owned.where("_n = 1").select(*key, "at"), key).drop("block", "row")
+    cut = owned.where("_n > 1")
+    parts = cut.count()
+    if not parts:
+        return one.select("file", "at", *(c for c in one.columns if c not in ("file", "at")))
+    p = pieces.join(F.broadcast(cut) if parts <= FEW_PARTS else cut.hint("merge"), key)  # of records with magic inside
+    p = p.withColumn("_body", F.when(F.col("first"), body).otherwise(F.col("value"))).drop("value")
     many = p.groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("pos", "at", "length", "_body"))).alias("a"))  # one record's bytes
     many = many.select("file", F.col("a")[0]["at"].alias("at"), F.col("a")[0]["length"].alias("length"), F.array_join(F.transform("a", lambda x: x["_body"]), TRAILER + MAGIC).alias("_body"))
-    return one.unionByName(many.select("file", "at", *(c.alias(n) for n, c in made(F.col("_body"), F.col("length")).items())))
+    many = many.select("file", "at", *made(F.col("_body"), F.col("length")))
+    return many.unionByName(one)
 
 
 def payload(head: Column, content: Column, length: Column) -> dict[str, Column]:
     """Of a record, for read(): page_id, record_type, refers_to, and the bytes and the digest of the payload read (of its own; a revisit has none)."""
     named = lambda name: F.nullif(F.regexp_extract(head, rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
     number = lambda name: F.nullif(F.regexp_extract(named(name), r"<urn:page:(-?[0-9]+)>", 1), F.lit("")).cast("long")
-    at = F.instr(content, TRAILER)  # the HTTP header is ASCII, so characters are bytes up to here
-    body = F.substring(content.cast("binary"), at + len(TRAILER), length.cast("int") - at - len(TRAILER) + 1)
-    body = F.when((named("WARC-Type") == "response") & (at > 0), body).otherwise(F.lit("").cast("binary"))
+    at = F.octet_length(F.substring_index(content.cast("string"), TRAILER, 1)) + len(TRAILER)
+    body = F.substring(content, at + 1, length.cast("int") - at)
+    body = F.when((named("WARC-Type") == "response") & (at <= length), body).otherwise(F.lit("").cast("binary"))
     return {"page_id": number("WARC-Record-ID"), "record_type": named("WARC-Type"), "refers_to": number("WARC-Refers-To"), "payload_bytes": F.octet_length(body).cast("long"), "payload_digest": F.sha1(body)}
 
 

@@ -19,8 +19,9 @@ def pages():
     return [*rows, (14, "u", "lead" + inner), (15, "u", "end")]
 
 
-@pytest.mark.parametrize("codec,parts,block", [("none", 1, None), ("gzip", 3, None), ("none", 1, 300)])
-def test_round_trip(spark, tmp_path, codec, parts, block):
+@pytest.mark.parametrize("codec,parts,block,few", [("none", 1, None, 10**6), ("gzip", 3, None, 0), ("none", 1, 300, 0)])
+def test_round_trip(spark, tmp_path, monkeypatch, codec, parts, block, few):
+    monkeypatch.setattr(warc, "FEW_PARTS", few)
     df = spark.createDataFrame(pages(), "page_id long, url string, html string").coalesce(1).repartition(parts) if parts > 1 else spark.createDataFrame(pages(), "page_id long, url string, html string").coalesce(1)
     path = f"{tmp_path}/w"
     warc.write(warc.records(warc.with_revisits(df)), path, codec)
