@@ -6,13 +6,19 @@ windows have equal anchors at equal places, and neighbouring windows share their
 suffixes that start at anchors (about one in fourteen) stand for all. Suffixes are partitioned by
 that prefix; a prefix that occurs once has a tree of one leaf and goes. What is left of a
 prefix are its contexts: the words around the anchor in which its windows lie. Equal contexts
-are one, counted. If a prefix has a single context that occurs more than once, all its windows
-repeat. Else its contexts' words are fetched and go, with those of other prefixes, to a group of
-bounded memory, whose suffixes are named by their nodes in the tree at depths 1, 2, 4, ...,
-`window` (sorting pairs of names doubles the depth): a node at the full depth over two or
-more occurrences is a repeat. A prefix with more than `GROUP_CONTEXTS` different contexts is
-too large for a group: its suffixes get longer prefixes, up to the whole window, and are counted
-by those. Windows that overlap join into maximal repeats of each document.
+(in two 64-bit hashes, of the anchor and of all words) are one, counted. If a prefix has a single
+context that occurs more than once, its tree is one path and all its windows repeat. Else its
+contexts' words are fetched and go, with those of other prefixes, to a group of bounded memory,
+whose suffixes are named by their nodes in the tree at depths 1, 2, 4, ..., `window` (sorting
+pairs of names doubles the depth): a node at the full depth over two or more occurrences is a
+repeat.
+
+A prefix with more than `GROUP_CONTEXTS` different contexts is too large for a group and gets longer,
+step by step: its windows are halved by where in them the anchor lies, and each half has in
+common the anchor and the words that all its windows have around it. That is the longer prefix;
+what shares it is a group if it is small enough, else it is halved again. At the end the
+prefix is a whole window, and a group one path, which is counted by its words and never gathered.
+Windows that overlap join into maximal repeats of each document.
 """
 
 from __future__ import annotations
@@ -39,7 +45,7 @@ def _key(id_col: str, text_col: str) -> Column:
 
 
 def anchors(docs: DataFrame, window: int) -> DataFrame:
-    """(id, tk, at, n, anchor, ctx): for each run of windows of a text (id, tk) that share an anchor, where they start, how many, and hashes of the anchor's prefix and of all their words."""
+    """(id, tk, at, n, d, anchor, ctx): for each run of windows of a text (id, tk) that share an anchor, where they start, how many, how far on the anchor is, and hashes of the anchor's prefix and of all their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, buf, off in slices(batches, 2):
@@ -59,12 +65,12 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
             d = doc[lo]
             take = pa.array(d)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(take), b.column(1).take(take), pa.array((lo - ptr[d]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(h[at[cut]].view(np.int64)), pa.array(roll.runs(lo, lo + size + window - 1).view(np.int64))],
-                names=["id", "tk", "at", "n", "anchor", "ctx"],
+                [b.column(0).take(take), b.column(1).take(take), pa.array((lo - ptr[d]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array((at[cut] - lo).astype(np.int32)), pa.array(h[at[cut]].view(np.int64)), pa.array(roll.runs(lo, lo + size + window - 1).view(np.int64))],
+                names=["id", "tk", "at", "n", "d", "anchor", "ctx"],
             )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "tk", "text").mapInArrow(run, f"id {kind}, tk long, at int, n int, anchor long, ctx long")
+    return docs.select("id", "tk", "text").mapInArrow(run, f"id {kind}, tk long, at int, n int, d int, anchor long, ctx long")
 
 
 def node_names(ids: np.ndarray, depth: int) -> np.ndarray:
@@ -77,22 +83,36 @@ def node_names(ids: np.ndarray, depth: int) -> np.ndarray:
     return name
 
 
+#: A context, or some of its windows: those in which the anchor lies lo to hi - 1 words on. key: a hash of the words that they all have.
+CONTEXT = "anchor long, ctx long, many long, n int, d int, lo int, hi int, key long, words string"
+_NAMES = [x.split()[0] for x in CONTEXT.split(", ")]
+
+
+def _own(n: np.ndarray, d: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of a context's windows whose anchor is lo to hi - 1 words on, and how many there are (0 or less: none)."""
+    first = np.maximum(0, d - hi + 1)
+    return first, np.minimum(n, d - lo + 1) - first
+
+
 def _trees(window: int):
-    """Contexts (anchor, ctx, many, n, words) of whole prefixes -> (anchor, ctx, mask): bit i says that the window i words on repeats."""
+    """CONTEXT rows of whole groups -> (anchor, ctx, mask): bit i says that the context's window i words on repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = list(batches)
         if not rows or not sum(b.num_rows for b in rows):
             return
         t = pa.Table.from_batches(rows).combine_chunks()
-        anchor, ctx, many, n = (t.column(i).to_numpy() for i in range(4))
-        first = np.unique(np.stack([anchor, ctx]), axis=1, return_index=True)[1]  # repeated rows of documents give a context twice
-        t, anchor, ctx, many, n = t.take(pa.array(first)).combine_chunks(), anchor[first], ctx[first], many[first], n[first]
-        for _, buf, off in slices(iter(t.select([4]).to_batches()), 0, 1 << 40):
+        named = lambda t: [t.column(k).to_numpy() for k in _NAMES[:7]]
+        anchor, ctx, many, n, d, lo, hi = named(t)
+        first = np.unique(np.stack([anchor, ctx, lo]), axis=1, return_index=True)[1]  # repeated rows of documents give a context twice
+        t = t.take(pa.array(first)).combine_chunks()
+        anchor, ctx, many, n, d, lo, hi = named(t)
+        start, n = _own(n, d, lo, hi)
+        for _, buf, off in slices(iter(t.select(["words"]).to_batches()), 0, 1 << 40):
             s, e, ptr = words(buf, off)
             node = node_names(word_hashes(buf, s, e), window)
             own = np.repeat(np.arange(len(n)), n)
-            step = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+            step = start[own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
             name = node[ptr[own] + step]
             deep = np.bincount(name, weights=many[own], minlength=int(node.max()) + 1)[name] > 1
             mask = np.bitwise_or.reduceat(np.where(deep, np.int64(1) << step, 0), np.cumsum(n) - n)
@@ -101,8 +121,29 @@ def _trees(window: int):
     return run
 
 
+def _halves(window: int):
+    """CONTEXT rows -> those of both halves of their windows, with longer prefixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, buf, off in slices(batches, len(_NAMES) - 1):
+            s, e, ptr = words(buf, off)
+            roll = Rolling(word_hashes(buf, s, e))
+            n, d, lo, hi = (b.column(k).to_numpy() for k in ("n", "d", "lo", "hi"))
+            mid = (lo + hi) // 2
+            for low, high in ((lo, mid), (mid, hi)):
+                there = np.flatnonzero(_own(n, d, low, high)[1] > 0)
+                at, low, high = ptr[there] + d[there], low[there], high[there]
+                key = roll.runs(at - low, at - high + window + 1)
+                take = pa.array(there)
+                columns = dict(zip(b.schema.names, (c.take(take) for c in b.columns), strict=True)) | {"lo": pa.array(low), "hi": pa.array(high), "key": pa.array(key.view(np.int64))}
+                yield pa.RecordBatch.from_arrays([columns[k] for k in _NAMES], names=_NAMES)
+
+    return run
+
+
 def _contexts(window: int):
-    """(id, tk, text, want: array<struct<anchor, ctx, many, at, n, large>>) -> a row for each context, or for each window of a large prefix's."""
+    """(text, want: array<struct<anchor, ctx, many, at, n, d>>) -> a CONTEXT row for each context."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -110,20 +151,37 @@ def _contexts(window: int):
             for text, want in zip(b.column(0), b.column(1), strict=True):
                 own = _WORD.findall(text.as_py())
                 for x in want.as_py():
-                    if x["large"]:
-                        for i in range(x["n"]):
-                            part = " ".join(own[x["at"] + i : x["at"] + i + window])
-                            key = int.from_bytes(hashlib.blake2b(part.encode(), digest_size=8).digest(), "little", signed=True)
-                            out.append((x["anchor"], x["ctx"], x["many"], i, "", key))
-                    else:
-                        out.append((x["anchor"], x["ctx"], x["many"], x["n"], " ".join(own[x["at"] : x["at"] + x["n"] + window - 1]), None))
-            cols = zip(*out, strict=True) if out else [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["anchor", "ctx", "many", "n", "words", "key"])
+                    out.append((x["anchor"], x["ctx"], x["many"], x["n"], x["d"], 0, window - PREFIX + 1, x["anchor"], " ".join(own[x["at"] : x["at"] + x["n"] + window - 1])))
+            cols = zip(*out, strict=True) if out else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=_NAMES)
 
     return run
 
 
+def _masks(parts: DataFrame, scratch: Scratch, window: int) -> DataFrame:
+    """CONTEXT rows of all prefixes -> (anchor, ctx, mask), from trees of groups whose prefixes are as long as they need to be."""
+    prefix, out = ["anchor", "lo", "key"], None
+
+    def more(masks: DataFrame) -> None:
+        nonlocal out
+        out = masks if out is None else out.union(masks)
+
+    while True:
+        sizes = parts.groupBy(*prefix).agg(F.count("*").alias("_n"))
+        large = scratch.save(sizes.where(F.col("_n") > GROUP_CONTEXTS).select(*prefix), "large")
+        done = large.isEmpty()
+        small = parts if done else parts.join(large, prefix, "left_anti")
+        groups = max(partitions(parts.sparkSession), -(-parts.count() // TASK_CONTEXTS))
+        more(small.repartition(groups, *prefix).mapInArrow(_trees(window), "anchor long, ctx long, mask long"))
+        if done:
+            return out
+        rest = scratch.save(parts.join(large, prefix, "left_semi"), "rest")
+        whole = rest.where("hi - lo = 1").withColumn("window", F.array_join(F.slice(F.split("words", " "), F.col("d") - F.col("lo") + 1, F.lit(window)), " "))
+        twice = whole.groupBy("anchor", "lo", "window").agg(F.sum("many").alias("_n")).where("_n > 1").drop("_n")
+        more(whole.join(twice, ["anchor", "lo", "window"], "left_semi").select("anchor", "ctx", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("d") - F.col("lo")).alias("mask")))
+        parts = scratch.save(rest.where("hi - lo > 1").mapInArrow(frugal(_halves(window)), CONTEXT), "halves")
+
+
 def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = 35) -> DataFrame:
     """docs(id, tk, text) -> (id, tk, marks array<struct<at int, mask long>>): bit i of a mask says that the window at word at + i starts elsewhere too."""
     if not PREFIX <= window <= PREFIX + 62:
@@ -132,28 +190,18 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = 35) -> Dat
     shared = runs.groupBy("anchor").agg(F.count("*").alias("_n"), F.min("ctx").alias("_lo"), F.max("ctx").alias("_hi")).where("_n > 1")
     shared = scratch.save(shared.select("anchor", (F.col("_lo") == F.col("_hi")).alias("same")), "prefixes")  # written, so that the joins' sides are both plain and a hot prefix can be split
     hits = scratch.save(runs.join(shared, "anchor"), "shared")
+    scratch.drop(runs)
 
-    mixed = hits.where("not same").groupBy("anchor", "ctx").agg(F.count("*").alias("many"), F.min(F.struct("id", "tk", "at", "n")).alias("w"))
-    mixed = scratch.save(mixed, "contexts")
-    sizes = scratch.save(mixed.groupBy("anchor").agg((F.count("*") > GROUP_CONTEXTS).alias("large")), "sizes")
-    want = mixed.join(sizes, "anchor").groupBy(F.col("w.id").alias("id"), F.col("w.tk").alias("tk"))
-    want = want.agg(F.collect_list(F.struct("anchor", "ctx", "many", "w.at", "w.n", "large")).alias("want"))  # as many as the text has anchors
+    mixed = hits.where("not same").groupBy("anchor", "ctx").agg(F.count("*").alias("many"), F.min(F.struct("id", "tk", "at", "n", "d")).alias("w"))
+    want = mixed.groupBy(F.col("w.id").alias("id"), F.col("w.tk").alias("tk"))
+    want = want.agg(F.collect_list(F.struct("anchor", "ctx", "many", "w.at", "w.n", "w.d")).alias("want"))  # as many as the text has anchors
     texts = docs.join(want, (docs.id.eqNullSafe(want.id)) & (docs.tk == want.tk)).select(docs.text, "want")
-    parts = scratch.save(texts.mapInArrow(frugal(_contexts(window)), "anchor long, ctx long, many long, n int, words string, key long"), "words")
+    parts = scratch.save(texts.mapInArrow(frugal(_contexts(window)), CONTEXT), "words")
+    masks = scratch.save(_masks(parts, scratch, window).where("mask <> 0").groupBy("anchor", "ctx").agg(F.bit_or("mask").alias("mask")), "masks")
 
-    small = parts.where("key is null").select("anchor", "ctx", "many", "n", "words")
-    groups = max(partitions(docs.sparkSession), -(-mixed.count() // TASK_CONTEXTS))
-    masks = small.repartition(groups, "anchor").mapInArrow(_trees(window), "anchor long, ctx long, mask long")
-    large = parts.where("key is not null").select("anchor", "ctx", "many", "n", "key").dropDuplicates(["anchor", "ctx", "n"])
-    deep = large.groupBy("key").agg(F.sum("many").alias("_n")).where("_n > 1").select("key")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("n"))
-    masks = masks.union(large.join(deep, "key").groupBy("anchor", "ctx").agg(F.bit_or(bit).alias("mask")))
-
-    masks = scratch.save(masks, "masks")
-
-    every = bit - 1
-    marks = hits.where("same").select("id", "tk", "at", every.alias("mask"))
-    marks = marks.union(hits.where("not same").join(masks, ["anchor", "ctx"]).select("id", "tk", "at", "mask")).where("mask <> 0")
+    marks = hits.where("same").select("id", "tk", "at", (bit - 1).alias("mask"))
+    marks = marks.union(hits.where("not same").join(masks, ["anchor", "ctx"]).select("id", "tk", "at", "mask"))
     return marks.groupBy("id", "tk").agg(F.collect_set(F.struct("at", "mask")).alias("marks"))  # as many as the text has anchors
 
 
@@ -176,8 +224,8 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     """docs with a column _lw_marks, the repeated windows of its text as in repeated_windows(), null if there are none.
 
     All columns of docs stay as they are; names beginning with _lw_ are taken. A null text
-    has no words. Repeated rows are occurrences of their own. An empty table gives an empty
-    result.
+    has no words; a very long one is read whole. Repeated rows are occurrences of their own, and a
+    null id is one like others. An empty table gives an empty result.
     """
     keyed = docs.withColumn("_lw_key", _key(id_col, text_col))
     found = repeated_windows(keyed.select(F.col(id_col).alias("id"), F.col("_lw_key").alias("tk"), no_null(text_col).alias("text")), Scratch(docs.sparkSession, "substring"), window)

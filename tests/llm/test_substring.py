@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodewell.llm import substring
 
@@ -42,9 +43,9 @@ def corpus(seed, n):
     return rows + [(n, None), (n + 1, ""), (n + 2, "x " * 300), (n + 3, rows[0][1]), (0, rows[0][1]), (None, rows[1][1])]
 
 
-@pytest.mark.parametrize("limit", [4096, 1])
+@pytest.mark.parametrize("limit", [4096, 6, 1])
 def test_brute_force(spark, docs_of, tmp_path, monkeypatch, limit):
-    monkeypatch.setattr(substring, "GROUP_CONTEXTS", limit)  # 1: every mixed prefix is a large one
+    monkeypatch.setattr(substring, "GROUP_CONTEXTS", limit)  # 1: every mixed prefix gets longer up to whole windows
     rows = corpus(limit, 60)
     docs_of(rows).write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((tuple(r) for r in substring.op4_substring_dedup(spark, str(tmp_path)).collect()), key=str)
@@ -58,3 +59,32 @@ def test_empty_and_extra_columns(spark, docs_of):
     d = docs_of([(1, f"one two\n{passage}\nthree"), (2, f"{passage}"), (3, None), (4, "clean text")]).withColumnRenamed("source", "marks")
     got = {r.doc_id: r for r in substring.remove_repeats(d).collect()}
     assert set(got) == {1, 3, 4} and got[1].text == "one two\nthree" and got[4].text == "clean text" and "marks" in got[1]
+
+
+def test_prefixes_lengthen(spark, docs_of, monkeypatch):
+    """Many copies of a text with changed words: their prefixes have many contexts, and grow until groups fit."""
+    from lodewell.llm._common import Scratch
+
+    r = random.Random(8)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(80):
+        own = list(base)
+        for _ in range(r.randint(1, 3)):
+            own[r.randrange(len(own))] = f"c{i}-{r.random()}"
+        rows.append((i, " ".join(own)))
+    rows += [(100, None), (101, ""), (102, " ".join(f"z{i % 700}" for i in range(60_000)))]
+    monkeypatch.setattr(substring, "GROUP_CONTEXTS", 8)
+    steps, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name, *a: steps.append(name) or save(self, df, name, *a))
+    docs = docs_of(rows).withColumns({c: F.lit("own") for c in ("id", "tk", "marks", "anchor", "key")})
+    found = substring.marked(docs).collect()
+    assert steps.count("halves") >= 3 and all(x.anchor == "own" for x in found)
+    removed = {x.doc_id: int(substring.covered(len(W.findall(x.text or "")), x["_lw_marks"], 35).sum()) for x in found}
+    seen = Counter(tuple(ws[j : j + 35]) for _, t in rows for ws in [W.findall(t or "")] for j in range(len(ws) - 34))
+    for i, t in rows:
+        ws, gone = W.findall(t or ""), set()
+        for j in range(len(ws) - 34):
+            if seen[tuple(ws[j : j + 35])] > 1:
+                gone.update(range(j, j + 35))
+        assert removed[i] == len(gone), i
