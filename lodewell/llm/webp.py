@@ -1,10 +1,12 @@
-"""Lossless WebP: a decoder of the whole format, and an encoder that writes prefix-coded literals.
-
-decode() reads prefix codes (simple and normal, one group or an image of groups), back-references
-with their two-dimensional distances, and the colour cache, and inverts the predictor,
-cross-colour, subtract-green and palette transforms. Images whose codes are literals of one
-length a channel, which is what encode() writes, are unpacked as whole arrays; all others symbol
-by symbol. Pixels are arrays of height x width x 4 bytes, in the order red, green, blue, alpha.
+"""Lossless WebP: a decoder of the whole format, and an encoder.
+
+A stream is read by prefix codes (simple and normal, one group or an image of groups), back-references
+with their two-dimensional distances, and the colour cache; the predictor, cross-colour,
+subtract-green and palette transforms are inverted. decode() reads one file symbol by symbol,
+decode_all() many: those without transforms and groups in lockstep (_vp8l), the others one by one.
+encode_all() writes prefix codes of each frame's own, back-references, and the cache where it
+is of use; it writes no transform, since none makes bytes of text fewer. Pixels are arrays of
+height x width x 4 bytes, in the order red, green, blue, alpha.
 """
 
 from __future__ import annotations
@@ -19,17 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, no_null
+from . import _vp8l
+from ._common import Scratch, frugal, no_null
+from ._vp8l import CACHE_HASH, LENGTH_ORDER, PLANE, riff
 
 MAX_SIDE = 1 << 14
-#: Fixed by the format: the order in which lengths of the code for code lengths are stored.
-LENGTH_ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
-#: Short distances: offsets in the plane, the nearest first, of equals the highest row, then from the left.
-PLANE = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y > 0 or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, -p[1], -p[0]))
 GREEN, RED, BLUE, ALPHA, DISTANCE = range(5)
-CHANNEL = [1, 0, 2, 3]  # where green, red, blue, alpha are in a pixel
-_SHIFT = [8, 16, 0, 24]
 SAMPLES = 576
+#: Rows of a stored frame (a long text has several frames), and bytes of pixels that are encoded or decoded at once.
+FRAME_ROWS, AT_ONCE = 14, 1 << 22
 
 
 class Bits:
@@ -63,14 +63,6 @@ class Prefix:
         if not lengths or self.only is None and sum(1 << (15 - n) for n in lengths.values()) != 1 << 15:
             raise ValueError("a prefix code must be complete")
 
-    @property
-    def uniform(self) -> int | None:
-        """The one length of all codes; 0 for a single symbol."""
-        if self.only is not None:
-            return 0
-        found = set(self.lengths.values())
-        return found.pop() if len(found) == 1 else None
-
     def table(self) -> list[tuple[int, int]]:
         if self._table is None:
             self.top = max(self.lengths.values())
@@ -146,9 +138,6 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     sizes = [256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40]
     groups = [[read_prefix(bits, n) for n in sizes] for _ in range(count)]
     n = width * height
-    if count == 1 and not cache_bits and max(groups[0][GREEN].lengths) < 256:
-        if all(c.uniform is not None for c in groups[0][:4]):
-            return _literals(bits, groups[0], n)
     out, i = [0] * n, 0
     cache = [0] * (1 << cache_bits) if cache_bits else None
     fresh = 0  # pixels that are in the cache
@@ -176,34 +165,13 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
             i += length
         else:
             while fresh < i:
-                cache[(0x1E35A7BD * out[fresh] & 0xFFFFFFFF) >> (32 - cache_bits)] = out[fresh]
+                cache[(CACHE_HASH * out[fresh] & 0xFFFFFFFF) >> (32 - cache_bits)] = out[fresh]
                 fresh += 1
             out[i] = cache[s - 280]
             i += 1
     return np.array(out, np.uint32)
 
 
-def _literals(bits: Bits, group: list[Prefix], n: int) -> np.ndarray:
-    sizes = [c.uniform for c in group[:4]]
-    each = sum(sizes)
-    if bits.at + each * n > 8 * len(bits.data):
-        raise ValueError("the stream ends early")
-    first = bits.at >> 3
-    raw = np.frombuffer(bits.data, np.uint8)[first : (bits.at + each * n + 7) >> 3]
-    rows = np.unpackbits(raw, bitorder="little")[bits.at & 7 :][: each * n].reshape(n, each)
-    bits.at += each * n
-    out, at = np.zeros(n, np.uint32), 0
-    for c, size, shift in zip(group, sizes, _SHIFT, strict=False):
-        symbols = np.array(sorted(c.lengths), np.uint32)
-        if size:
-            code = np.packbits(rows[:, at : at + size][:, ::-1], axis=1, bitorder="little")[:, 0]  # codes have their highest bit first
-            out |= symbols[code] << np.uint32(shift)
-        else:
-            out |= symbols[0] << np.uint32(shift)
-        at += size
-    return out
-
-
 def _planes(argb: np.ndarray) -> np.ndarray:
     """Packed pixels as red, green, blue, alpha."""
     return np.stack([argb >> np.uint32(s) & np.uint32(255) for s in (16, 8, 0, 24)], axis=-1).astype(np.int32)
@@ -324,111 +292,91 @@ def decode_stream(data: bytes) -> np.ndarray:
     return img.astype(np.uint8)
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The pixels of a WebP file with a lossless image."""
+def _stream(data: bytes) -> bytes:
+    """The lossless bit stream of a WebP file."""
     if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
         raise ValueError("not a WebP file")
     at, end = 12, 8 + struct.unpack_from("<I", data, 4)[0]
     while at + 8 <= min(end, len(data)):
         kind, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
         if kind == b"VP8L":
-            return decode_stream(data[at + 8 : at + 8 + size])
+            return data[at + 8 : at + 8 + size]
         at += 8 + size + (size & 1)
     raise ValueError("no lossless image in the file")
 
 
-def _length_code(n: int) -> tuple[str, dict[int, str]]:
-    """The stored code for code lengths 0, n and runs, and its codes as bits in the order of the stream."""
-    lengths = {n: 2, 17: 2, 18: 2, 0: 3, 16: 3}
-    head = "".join(format(lengths.get(s, 0), "03b")[::-1] for s in LENGTH_ORDER)
-    codes, code, last = {}, 0, 0
-    for symbol, size in sorted(lengths.items(), key=lambda x: (x[1], x[0])):
-        code <<= size - last
-        codes[symbol] = format(code, f"0{size}b")
-        code, last = code + 1, size
-    return format(len(LENGTH_ORDER) - 4, "04b")[::-1] + head, codes
-
-
-_LENGTH_CODES = {n: _length_code(n) for n in range(1, 9)}
-
-
-def _prefix_bits(symbols: np.ndarray, n: int, alphabet: int) -> str:
-    """A prefix code in which 2**n symbols have codes of n bits."""
-    if n == 0:
-        return "101" + format(int(symbols[0]), "08b")[::-1]
-    head, codes = _LENGTH_CODES[n]
-    out, at = ["0", head, "0"], 0
-
-    def zeros(run: int) -> None:
-        while run:
-            if run >= 11:
-                step = min(run, 138)
-                out.append(codes[18] + format(step - 11, "07b")[::-1])
-            elif run >= 3:
-                step = run
-                out.append(codes[17] + format(step - 3, "03b")[::-1])
-            else:
-                step = 1
-                out.append(codes[0])
-            run -= step
+def decode(data: bytes) -> np.ndarray:
+    """The pixels of a WebP file with a lossless image."""
+    return decode_stream(_stream(data))
+
 
-    cut = np.flatnonzero(np.diff(symbols) != 1) + 1
-    for part in np.split(symbols, cut):
-        zeros(int(part[0]) - at)
-        out.append(codes[n])
-        run = len(part) - 1
-        while run:
-            step = min(run, 6) if run >= 3 else 1
-            out.append(codes[16] + format(step - 3, "02b")[::-1] if step >= 3 else codes[n])
-            run -= step
-        at = int(part[-1]) + 1
-    zeros(alphabet - at)
-    return "".join(out)
+def decode_all(files: list[bytes]) -> list[np.ndarray]:
+    """The pixels of each of many files."""
+    streams = [_stream(f) for f in files]
+    out = []
+    for stream, got in zip(streams, _vp8l.decode(streams) if streams else [], strict=True):
+        if got is None:
+            out.append(decode_stream(stream))
+        else:
+            argb, width, height = got
+            out.append(argb.astype("<u4").view(np.uint8).reshape(height, width, 4)[..., [2, 1, 0, 3]])
+    return out
 
 
-_REVERSED = [np.array([_reverse(c, n) for c in range(1 << n)], np.uint8) for n in range(9)]
+def encode_all(images: list[np.ndarray], told: dict[str, int] | None = None) -> list[bytes]:
+    """A WebP file of each of many images (height x width x 4 bytes). told: gets the sums of _vp8l.encode()'s counts."""
+    if not images:
+        return []
+    for x in images:
+        if not (0 < x.shape[0] <= MAX_SIDE and 0 < x.shape[1] <= MAX_SIDE):
+            raise ValueError("sides must be 1 to 16384")
+    flat = np.concatenate([x.reshape(-1, 4)[:, [2, 1, 0, 3]] for x in images])
+    streams, counts = _vp8l.encode(np.ascontiguousarray(flat).view("<u4").ravel().astype(np.uint32), np.array([x.shape[1] for x in images]), np.array([x.shape[0] for x in images]))
+    if told is not None:
+        for k, n in counts.items():
+            told[k] = told.get(k, 0) + n
+    return [riff(s) for s in streams]
 
 
 def encode(pixels: np.ndarray) -> bytes:
-    """A WebP file of pixels (height x width x 4 bytes): literals, with codes of one length for each channel."""
-    height, width, _ = pixels.shape
-    if not (0 < width <= MAX_SIDE and 0 < height <= MAX_SIDE):
-        raise ValueError("sides must be 1 to 16384")
-    flat = pixels.reshape(-1, 4)
-    bits = [format(width - 1, "014b")[::-1], format(height - 1, "014b")[::-1], "1000", "0", "0", "0"]
-    columns = []
-    for c, alphabet in zip(CHANNEL, (280, 256, 256, 256), strict=True):
-        there = np.bincount(flat[:, c], minlength=256) > 0
-        n = (int(there.sum()) - 1).bit_length()
-        spare = (1 << n) - int(there.sum())
-        there[np.flatnonzero(~there)[:spare]] = True
-        symbols = np.flatnonzero(there)
-        bits.append(_prefix_bits(symbols, n, alphabet))
-        if n:
-            code = np.zeros(256, np.uint8)
-            code[symbols] = _REVERSED[n]
-            columns.append(np.unpackbits(code[flat[:, c]][:, None], axis=1, bitorder="little", count=n))
-    bits.append("1000")  # the distance code: one symbol, never read
-    head = np.frombuffer("".join(bits).encode(), np.uint8) & 1
-    body = np.concatenate([head, np.concatenate(columns, axis=1).ravel()]) if columns else head
-    data = b"\x2f" + np.packbits(body, bitorder="little").tobytes()
-    pad = b"\0" * (len(data) & 1)
-    return b"RIFF" + struct.pack("<I", 12 + len(data) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(data)) + data + pad
+    return encode_all([pixels])[0]
 
 
-def store(payload: bytes, width: int = SAMPLES // 4) -> bytes:
-    """Bytes (a multiple of four times width) as one WebP file, or several on end if they have over 16384 rows."""
+def _cut(payload: bytes, width: int) -> list[np.ndarray]:
     rows = np.frombuffer(payload, np.uint8).reshape(-1, width, 4)
-    return b"".join(encode(rows[at : at + MAX_SIDE]) for at in range(0, len(rows), MAX_SIDE))
+    return [rows[at : at + FRAME_ROWS] for at in range(0, len(rows), FRAME_ROWS)]
 
 
-def frames(media: bytes) -> Iterator[np.ndarray]:
-    """The pixels of each WebP file of a byte string."""
-    at = 0
+def store(payload: bytes, width: int = SAMPLES // 4) -> bytes:
+    """Bytes (a multiple of four times width) as WebP files on end, of FRAME_ROWS rows each."""
+    return b"".join(encode_all(_cut(payload, width)))
+
+
+def _files(media: bytes) -> list[bytes]:
+    out, at = [], 0
     while at < len(media):
         size = 8 + struct.unpack_from("<I", media, at + 4)[0]
-        yield decode(media[at : at + size])
+        out.append(media[at : at + size])
         at += size
+    return out
+
+
+def frames(media: bytes) -> list[np.ndarray]:
+    """The pixels of each WebP file of a byte string."""
+    return decode_all(_files(media))
+
+
+def _in_parts(values: list[list], size, run) -> list[list]:
+    """run() over the items of all values together, AT_ONCE bytes at a time, and its results by value."""
+    flat, out, at, bytes_ = [x for v in values for x in v], [], 0, 0
+    for i, x in enumerate(flat):
+        bytes_ += size(x)
+        if bytes_ >= AT_ONCE:
+            out += run(flat[at : i + 1])
+            at, bytes_ = i + 1, 0
+    out += run(flat[at:])
+    done = iter(out)
+    return [[next(done) for _ in v] for v in values]
 
 
 def feature(images: list[np.ndarray]) -> str:
@@ -440,45 +388,50 @@ def feature(images: list[np.ndarray]) -> str:
 
 
 def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", multiple: int = SAMPLES) -> DataFrame:
-    """(id, n_bytes, media): each text's bytes, filled up with 255 to a positive multiple, as lossless WebP. A null text is empty."""
+    """(id, n_bytes, media): each text's bytes, filled up with 255 to a positive multiple, as lossless WebP.
+
+    A null text is empty; a very long one has several frames. Ids may be null and rows repeated;
+    no other column of docs is looked at, whatever its name. An empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = [t.as_py().encode() for t in b.column(1)]
-            media = [store(t + b"\xff" * (-len(t) % multiple or multiple * (not t)), multiple // 4) for t in raw]
+            cut = [_cut(t + b"\xff" * (-len(t) % multiple or multiple * (not t)), multiple // 4) for t in raw]
+            media = [b"".join(x) for x in _in_parts(cut, lambda x: x.nbytes, encode_all)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in raw], pa.int64()), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), no_null(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, media binary")
+    return docs.select(F.col(id_col).alias("id"), no_null(text_col).alias("text")).mapInArrow(frugal(run, 2048), f"id {kind}, n_bytes long, media binary")
 
 
 def decode_column(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """media's rows with frames: array<struct<width int, height int, pixels binary>>, pixels in rows of red, green, blue, alpha. Null media have null frames; broken media are an error."""
+    """media's rows with frames: array<struct<width int, height int, pixels binary>>, pixels in rows of red, green, blue, alpha. Null media have null frames; broken media are an error; a column named frames is replaced."""
 
     @F.pandas_udf("array<struct<width: int, height: int, pixels: binary>>")
     def read(col):
         import pandas as pd
 
         shown = lambda x: {"width": x.shape[1], "height": x.shape[0], "pixels": x.tobytes()}
-        return pd.Series([None if m is None else [shown(f) for f in frames(m)] for m in col])
+        found = _in_parts([[] if m is None else _files(m) for m in col], lambda x: 2 * len(x), decode_all)
+        return pd.Series([None if m is None else [shown(f) for f in x] for m, x in zip(col, found, strict=True)])
 
     return media.withColumn("frames", read(media_col))
 
 
 def op6_webp_media(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    stored = Scratch(spark, "media").save(encode_column(docs), "webp")
+    stored = Scratch(spark, "media").save(encode_column(docs), "webp", "none")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for media in b.column(2):
-                m = media.as_py()
-                images = list(frames(m))
+            media = b.column(2).to_pylist()
+            for m, images in zip(media, _in_parts([_files(m) for m in media], lambda x: 2 * len(x), decode_all), strict=True):
                 payload = b"".join(i.tobytes() for i in images)
                 out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature(images)))
             cols = zip(*out, strict=True) if out else [()] * 6
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return stored.mapInArrow(digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.mapInArrow(frugal(digest, 2048), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from lodewell.llm import webp
+from lodewell.llm import _vp8l, webp
 
 
 class Out:
@@ -309,6 +309,54 @@ def test_every_feature(seed):
         kinds = [3, *(k for k in kinds if k == 0)]
     data = encode(img, r, kinds, r.choice([0, 1, 4, 11]), seed % 4 == 1)
     assert (webp.decode(data) == img).all(), kinds
+    plain = encode(img, r, [], r.choice([0, 1, 4, 11]), False)
+    for got in webp.decode_all([data, webp.encode(img), plain, data]):
+        assert (got == img).all(), kinds
+
+
+def test_lockstep_reads_foreign_streams():
+    """Streams of the independent encoder without transforms and groups: most are read in lockstep, and give the same as one by one."""
+    files = []
+    for seed in range(60):
+        r, g = random.Random(seed), np.random.default_rng(seed)
+        colours = g.integers(0, 256, (r.choice([1, 2, 3, 13, 60]), 4), dtype=np.uint8)
+        img = colours[g.integers(0, len(colours), (r.randint(1, 12), r.randint(1, 23)))]
+        img[len(img) // 2 :] = img[: len(img) - len(img) // 2]
+        files.append(encode(img, r, [], r.choice([0, 1, 4, 11]), False))
+    found = _vp8l.decode([webp._stream(f) for f in files])
+    assert sum(x is not None for x in found) >= 50
+    for f, got, x in zip(files, webp.decode_all(files), found, strict=True):
+        assert (webp.decode(f) == got).all() and (x is None or x[1:] == got.shape[1::-1])
+
+
+def test_what_the_encoder_writes():
+    """On texts: codes of unequal lengths everywhere, copies and cached pixels in their share, and fewer bytes than with literals alone."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()
+    told, total, stored = {}, 0, 0
+    for t in texts:
+        raw = (t or "").encode()
+        raw += b"\xff" * (-len(raw) % 576 or 576 * (not raw))
+        images = webp._cut(raw, 144)
+        files = webp.encode_all(images, told)
+        assert all((webp.decode(f) == i).all() for f, i in zip(files, images, strict=True))
+        total, stored = total + len(raw), stored + sum(map(len, files))
+    share = {k: told[k] / told["frames"] for k in ("frames_with_cache", "frames_with_copies")} | {k: told[k] * 4 / total for k in ("literals", "cached", "copied")}
+    print(share, stored / total)
+    assert share["frames_with_copies"] > 0.8 and share["frames_with_cache"] > 0.3 and share["cached"] > 0.02 and share["copied"] > 0.05 and stored < 0.6 * total
+
+
+@pytest.mark.parametrize("used", [1, 2, 3, 7, 100, 344])
+def test_code_lengths(used):
+    g = np.random.default_rng(used)
+    counts = np.zeros((50, 344), np.int64)
+    for row in counts:
+        row[g.choice(344, used, False)] = np.maximum(1, g.pareto(0.7, used)).clip(0, 50_000).astype(np.int64)
+    size = _vp8l.code_lengths(counts).astype(int)
+    assert ((size > 0) == (counts > 0)).all() and size.max() <= _vp8l.LIMIT
+    if used > 1:
+        assert (np.where(size > 0, 2.0 ** -size, 0).sum(1) == 1).all()
 
 
 def test_plane_is_the_format_s():
@@ -328,8 +376,9 @@ def test_round_trip(n):
 def test_broken():
     good = webp.encode(np.arange(576, dtype=np.int64).astype(np.uint8).reshape(1, 144, 4))
     for bad in (b"", good[:11], good[:60], b"RIFF" + good[4:8] + b"WEBX" + good[12:]):
-        with pytest.raises((ValueError, struct.error)):
-            webp.decode(bad)
+        for read in (webp.decode, lambda x: webp.decode_all([good, x])):
+            with pytest.raises((ValueError, struct.error)):
+                read(bad)
 
 
 def test_query(spark, docs_of, tmp_path):
@@ -346,3 +395,5 @@ def test_query(spark, docs_of, tmp_path):
     media = webp.decode_column(webp.encode_column(docs_of([(1, "abc"), (2, None)])))
     assert {r.id: bytes(r.frames[0].pixels)[:4] for r in media.collect()} == {1: b"abc\xff", 2: b"\xff" * 4}
     assert webp.encode_column(docs_of([])).count() == 0
+    same = [r for r in webp.encode_column(docs_of([(1, "again " * 50_000), (1, "again " * 50_000), (None, "again " * 50_000)])).collect()]
+    assert len({bytes(r.media) for r in same}) == 1 and b"".join(i.tobytes() for i in webp.frames(same[0].media)).rstrip(b"\xff") == b"again " * 50_000
