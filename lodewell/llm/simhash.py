@@ -58,6 +58,16 @@ def fingerprint(text: str | None, shingle_words: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def of_sets(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """SimHash of each of many sets of 64-bit hashes that lie on end; an empty one has 0."""
+    size, full = np.diff(off), np.flatnonzero(np.diff(off) > 0)
+    out = np.zeros(len(size), np.uint64)
+    for i in range(64 if len(full) else 0):
+        ones = np.add.reduceat((h >> np.uint64(i) & np.uint64(1)).astype(np.int64), off[full])
+        out[full] |= (2 * ones > size[full]).astype(np.uint64) << np.uint64(i)
+    return out
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
     """(id, tk long, fp long): a hash of the text, and the fingerprint's bits as a signed long. One row per input row."""
 
