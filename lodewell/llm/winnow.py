@@ -10,13 +10,20 @@ below), so that the least number is the least hash at the rightmost place.
 
 from __future__ import annotations
 
+import json
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import no_null, partitions
 
 PRIME, BASE, LAST = (1 << 31) - 1, 1_000_003, (1 << 31) - 1
-K, WINDOW = 5, 16
+#: Texts that share K + WINDOW - 1 = 10 words share a mark; about two words in nine have one.
+K, WINDOW = 3, 8
+#: Text in a range of ids, and ranges at most (beyond 8 TB ranges grow).
+RANGE_BYTES, RANGES_MOST = 8 << 20, 1 << 20
 
 
 def _shifted(a: Column, by: int, f) -> Column:
@@ -38,7 +45,8 @@ def winnow(df: DataFrame, text_col: str, out_col: str, k: int = K, window: int =
 
     Upper and lower case are alike. A text of fewer than k words has one k-gram, of all its words;
     one of fewer than w k-grams has one window, of them all; null and wordless texts have the
-    hash 0 at place 0. Columns _lw_a, _lw_g and _lw_m must not be there.
+    hash 0 at place 0; very long texts are read whole. All other columns are kept; _lw_a, _lw_g and
+    _lw_m are taken. An empty table gives an empty result.
     """
     a, g, m = F.col("_lw_a"), F.col("_lw_g"), F.col("_lw_m")
     words = F.array_remove(F.split(F.lower(no_null(text_col)), r"[\x20\x09-\x0D]+"), "")
@@ -79,25 +87,40 @@ def likeness(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def with_next(docs: DataFrame, id_col: str, fields: dict[str, str], buckets: int | None = None) -> DataFrame:
-    """docs with columns of the next row in ascending order of the id (after the last: the first).
+def _upto(x: Column, ends: list, kind: str) -> Column:
+    """How many of the sorted ends are less than x: a block of them by the blocks' last ones, then inside the block."""
+    m = max(1, math.isqrt(len(ends)))
+    blocks = [ends[i : i + m] for i in range(0, len(ends), m)]
+    table = lambda v, depth: F.from_json(F.lit(json.dumps(v, default=str)), "array<" * depth + kind + ">" * depth)  # noqa: E731  folded into one literal
+    block = F.size(F.filter(table([b[-1] for b in blocks], 1), lambda e: e < x))
+    inside = F.size(F.filter(F.coalesce(F.get(table(blocks, 2), block), F.array().cast(f"array<{kind}>")), lambda e: e < x))
+    return block * m + F.when(block < len(blocks), inside).otherwise(len(ends) - len(blocks) * m)
+
+
+def with_next(docs: DataFrame, id_col: str, fields: dict[str, str], buckets: int | None = None, derive: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """derive(docs) with columns of the next row in ascending order of the id (after the last: the first).
 
-    fields: new name by column. Rows are dealt to ranges of ids that hold about as many each; in a
-    range the next row is a window function's, and from the end of a range it is the next
-    range's first. Null ids come first; equal ids are in order of the fields.
+    fields: new name by column. Rows are dealt to ranges of ids of RANGE_BYTES of the fields' strings
+    each, so that tasks keep their size as the table grows; in a range the next row is a window
+    function's, and from the end of a range it is the next range's first. Null ids come first; equal
+    ids are in order of the fields, and share a range, as do all null ones. derive adds columns to
+    rows, and is called for all of them and once more for the first of each range. Names beginning
+    with _lw_ are taken, all other columns are kept. An empty table gives an empty result.
     """
-    n = min(4096, buckets or max(64, partitions(docs.sparkSession)))
-    ends = docs.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)], 100 * n)).first()[0] or []  # n numbers
-    ends = sorted(set(ends))
-    kind = docs.schema[id_col].dataType
-    bucket = F.size(F.filter(F.array(*map(F.lit, ends)).cast(f"array<{kind.simpleString()}>"), lambda x: x < F.col(id_col))) if ends else F.lit(0)
-    docs = docs.withColumn("_lw_bucket", F.when(F.col(id_col).isNull(), F.lit(0)).otherwise(bucket))
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = [f.name for f in docs.schema.fields if f.name in fields and f.dataType.simpleString() == "string"]
+    size = docs.agg(*(F.sum(F.octet_length(c)) for c in texts)).first() if texts and not buckets else [0]
+    n = buckets or max(partitions(docs.sparkSession), min(RANGES_MOST, -(-sum(x or 0 for x in size) // RANGE_BYTES)))
+    ids = docs.where(F.col(id_col).isNotNull()).select(id_col).repartitionByRange(n, id_col)  # by a sample of Spark's
+    ends = sorted(r.e for r in ids.groupBy(F.spark_partition_id()).agg(F.max(id_col).alias("e")).collect())[:-1]  # n numbers
+    docs = docs.withColumn("_lw_bucket", F.when(F.col(id_col).isNull(), F.lit(0)).otherwise(_upto(F.col(id_col), ends, kind)) if ends else F.lit(0))
     order = Window.partitionBy("_lw_bucket").orderBy(id_col, *fields)
-    own = docs.withColumn("_lw_next", F.lead(F.struct(*fields)).over(order))
+    own = derive(docs).withColumn("_lw_next", F.lead(F.struct(*fields)).over(order))
 
     least = docs.groupBy("_lw_bucket").agg(F.min(F.struct(F.col(id_col).isNotNull().alias("f"), F.col(id_col).alias("i"))).alias("m"))
-    heads = docs.select("_lw_bucket", F.col(id_col).alias("_lw_i"), *fields).join(F.broadcast(least.select("_lw_bucket", "m")), "_lw_bucket")  # n rows
-    heads = heads.where(F.col("_lw_i").eqNullSafe(F.col("m.i"))).groupBy("_lw_bucket").agg(F.min(F.struct(*fields)).alias("_lw_head"))
+    first = F.broadcast(least.select(F.col("_lw_bucket").alias("_lw_of"), "m"))  # n rows
+    heads = docs.join(first, (F.col("_lw_bucket") == F.col("_lw_of")) & F.col(id_col).eqNullSafe(F.col("m.i")), "left_semi")
+    heads = derive(heads).groupBy("_lw_bucket").agg(F.min(F.struct(*fields)).alias("_lw_head"))
     ring = Window.orderBy("_lw_bucket")  # n rows
     following = least.select("_lw_bucket", F.lag("_lw_bucket").over(ring).alias("p"), F.max("_lw_bucket").over(Window.partitionBy()).alias("z"))
     following = following.select("_lw_bucket", F.coalesce("p", "z").alias("_lw_before"))
@@ -108,7 +131,7 @@ def with_next(docs: DataFrame, id_col: str, fields: dict[str, str], buckets: int
 
 def op8_winnowing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", no_null("text").alias("text"))
-    docs = with_next(winnow(docs, "text", "own"), "doc_id", {"text": "next_text", "own": "next"})
+    docs = with_next(docs, "doc_id", {"text": "next_text", "own": "next"}, derive=lambda d: winnow(d, "text", "own"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     docs = docs.withColumn("n_chars", F.char_length("text"))
     docs = docs.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - half), F.substring("next_text", F.lit(1), half)))

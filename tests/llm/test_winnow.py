@@ -4,6 +4,7 @@ import re
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lodewell.llm import winnow
 
@@ -63,3 +64,23 @@ def test_guarantee():
         texts = [" ".join([*(str(r.random()) for _ in range(r.randint(0, 60))), *shared, *(str(r.random()) for _ in range(r.randint(0, 60)))]) for _ in range(2)]
         a, b = ({h for h, _ in brute(t)} for t in texts)
         assert a & b
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 30, 200])
+def test_ranges(spark, docs_of, n):
+    r = random.Random(n)
+    rows = [(r.randrange(-500, 500), f"t{i}") for i in range(300)] + [(None, "none"), (None, "also none")]
+    docs = docs_of(rows).withColumn("mine", F.col("text"))
+    got = winnow.with_next(docs, "doc_id", {"text": "after"}, buckets=n).collect()
+    ring = sorted(((i is not None, i or 0, t) for i, t in rows), key=lambda x: (x[0], x[1], x[2]))
+    want = {t: ring[(j + 1) % len(ring)][2] for j, (_, _, t) in enumerate(ring)}
+    assert {x.text: x.after for x in got} == want and len(got) == len(rows) and all(x.mine == x.text for x in got)
+    ends = sorted({r.randrange(1000) for _ in range(n)})
+    x = spark.range(-1, 1001)
+    assert all(y.u == sum(e < y.id for e in ends) for y in x.select("id", winnow._upto(F.col("id"), ends, "bigint").alias("u")).collect())
+
+
+def test_very_long_text(spark, docs_of):
+    text = " ".join(f"w{i % 997}" for i in range(200_000))
+    got = winnow.winnow(docs_of([(1, text)]).withColumn("own", F.lit("x")), "text", "c").first()
+    assert [(c >> 31) for c in got.c] == [h for h, _ in brute(text)] and got.own == "x"
