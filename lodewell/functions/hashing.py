@@ -51,3 +51,8 @@ def djb2(*parts: Column) -> Column:
 def chunk_id(path: Column, name: Column, kind: Column) -> Column:
     """A chunk's identity. Parts are not separated, so chunks of one path, name and kind share it."""
     return djb2(path, name, kind)
+
+
+def path_key(path: Column) -> Column:
+    """The name under which a workspace's path is registered."""
+    return djb2(path)

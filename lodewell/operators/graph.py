@@ -6,7 +6,6 @@ constant Potts objective: the sum over communities of w - gamma * n * (n - 1) /
 
 from __future__ import annotations
 
-import tempfile
 from collections import defaultdict
 
 import numpy as np
@@ -15,9 +14,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..sources.scratch import scratch_dir
 
 GAMMA, NEIGHBOURS, BLOCK = 0.05, 32, 2048
 MIN_GAIN = 1e-10
+#: Terms of a label vocabulary that are broadcast.
+LABELS = 100_000
 
 
 def knn(vectors: DataFrame, k: int = NEIGHBOURS, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
@@ -101,10 +103,8 @@ def dense_relabel(labels: DataFrame) -> DataFrame:
 
 def _checkpointed(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp())
-    elif sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(f"{scratch_dir(df.sparkSession)}/checkpoints")
     return df.checkpoint()
 
 
@@ -255,6 +255,20 @@ def rebalance(labels: DataFrame, dim: int, min_snr: float = 2.0, least: int = 10
     return sizes(labels).withColumn("action", F.when(n > dim / min_snr**2, "split").when(n < least, "merge").otherwise("keep"))
 
 
+def labelled(bundles: DataFrame, vocabulary: DataFrame, similarity=V.dot) -> DataFrame:
+    """(community, label, score): the term of vocabulary(label, vector) that is nearest to each community's bundle; equal ones by name.
+
+    The vocabulary is a list that someone wrote, and is broadcast below LABELS terms; a larger one is joined as it comes.
+    """
+    words = vocabulary.select("label", "vector")
+    if words.count() <= LABELS:
+        words = F.broadcast(words)
+    both = bundles.select("community", "bundle").join(words, F.lit(True))
+    scored = both.select("community", "label", similarity(F.col("bundle"), F.col("vector")).alias("score"))
+    best = scored.groupBy("community").agg(F.min(F.struct((-F.round("score", 9)).alias("s"), "label", "score")).alias("m"))
+    return best.select("community", "m.label", "m.score")
+
+
 def adaptive_gamma(edges: DataFrame, share: float = 0.8) -> DataFrame:
     return edges.agg((share * F.avg("sim")).alias("gamma"))
 

@@ -5,6 +5,8 @@ Ranks are by the score rounded to nine digits and then by id, so that equal scor
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -34,10 +36,11 @@ def _phrase_count(tokens: Column, phrase: list[str]) -> Column:
 
 
 def bm25(docs: DataFrame, id_col: str, text_cols: list[str], query: str, n: int | None = None) -> DataFrame:
-    """(id, bm25): documents that have every term of the query, best first.
+    """(id, bm25): documents that have every term of the query, best first, without an index.
 
     A term with an underscore is a phrase, which lies in one column. A term that occurs twice in
-    the query counts twice. Two scans and no shuffle but that of the corpus statistics, one row.
+    the query counts twice. Two scans of the corpus and no shuffle but that of its statistics, one
+    row; sources.lexical has the same over a stored index.
     """
     terms = T.query_terms(query)
     if not terms:
@@ -48,12 +51,17 @@ def bm25(docs: DataFrame, id_col: str, text_cols: list[str], query: str, n: int
     counts = [sum((_phrase_count(F.col(t), p) for t in each), F.lit(0)).alias(f"_f{i}") for i, p in enumerate(different)]
     d = d.select(id_col, sum((F.size(t) for t in each), F.lit(0)).alias("_len"), *counts)
     stats = d.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(f"_f{i}") > 0).alias(f"_n{i}") for i in range(len(different))))
-    hits = d.where(" and ".join(f"_f{i} > 0" for i in range(len(different)))).crossJoin(F.broadcast(stats))  # one row
+    return scored(d, stats, id_col, [terms.count(p) for p in different], n)
+
+
+def scored(d: DataFrame, stats: DataFrame, id_col: str, times: list[int], n: int | None) -> DataFrame:
+    """(id, bm25) of d(id, _len, _f0, ...), best first: counts of terms that occur in the query so many times; stats is one row of _n, _avg and _n0, ..."""
+    hits = d.where(" and ".join([f"_f{i} > 0" for i in range(len(times))] or ["false"])).crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
-    for i, p in enumerate(different):
+    for i, many in enumerate(times):
         f, has = F.col(f"_f{i}").cast("double"), F.col(f"_n{i}").cast("double")
         idf = F.greatest(F.log((F.col("_n") - has + 0.5) / (has + 0.5)), F.lit(LEAST_IDF))
-        score = score + terms.count(p) * idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
+        score = score + many * idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
     return ranked(hits.select(id_col, score.alias("bm25")), "bm25", id_col, n)
 
 
@@ -69,9 +77,9 @@ def postings(docs: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc"), F.explode(words).alias("term")).groupBy("term", "doc").agg(F.count("*").alias("tf"))
 
 
-def vector_topk(vectors: DataFrame, query, k: int | None, id_col: str = "vec_id", vector_col: str = "embedding", score: str = "score") -> DataFrame:
-    """(id, score): the k nearest by dot product; not-a-number is left out."""
-    s = vectors.select(id_col, V.dot(F.col(vector_col), V.literal(query)).alias(score)).where(~F.isnan(score))
+def vector_topk(vectors: DataFrame, query, k: int | None, id_col: str = "vec_id", vector_col: str = "embedding", score: str = "score", similarity: Callable[[Column, Column], Column] = V.dot) -> DataFrame:
+    """(id, score): the k nearest by dot product, or another similarity of two vectors; not-a-number is left out."""
+    s = vectors.select(id_col, similarity(F.col(vector_col), V.literal(query)).alias(score)).where(~F.isnan(score))
     return ranked(s, score, id_col, k)
 
 

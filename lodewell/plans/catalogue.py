@@ -6,8 +6,6 @@ vectors, notes, cache entries and paths. Floats are rounded to six digits.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +15,12 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import chunking, graph, incremental, retrieval
 from ..sources import scan
+from ..sources.lexical import LexicalIndex
+from ..sources.scratch import scratch_dir
+from ..sources.vectors import VectorIndex
 
 QUERIES: dict = {}
+_indexes: dict[tuple[str, str], str] = {}  # stored indexes of an application, by what they are of
 ORACLE_SQL: dict[str, str] = {}
 WEIGHT, MIN_SCORE, TOP, LAMBDA = 0.5, 0.2, 5, 0.8
 N = retrieval.candidates(TOP)
@@ -207,6 +209,22 @@ def lsh_topk(spark, at):
     return retrieval.lsh_topk(v, query_vector(v), 10).withColumn("score", six("score"))
 
 
+def vector_index(spark, at) -> VectorIndex:
+    """The stored index of the embeddings, built by an application's first query that needs it."""
+    key = (spark.sparkContext.applicationId, f"{at}#vectors")
+    if key not in _indexes:
+        path = f"{scratch_dir(spark)}/vectors-{len(_indexes)}"
+        VectorIndex.build(read(spark, at, "embeddings"), "vec_id", "embedding", path)
+        _indexes[key] = path
+    return VectorIndex(spark, _indexes[key])
+
+
+@query
+def ann_topk(spark, at):
+    v = read(spark, at, "embeddings")
+    return vector_index(spark, at).search(query_vector(v), 10).select(F.col("id").alias("vec_id"), six("score").alias("score"))
+
+
 @query
 def index_remove_remap(spark, at):
     return incremental.reindex_positions(read(spark, at, "embeddings").where("vec_id % 5 <> 0").select("vec_id"), "vec_id")
@@ -235,6 +253,25 @@ sql("bundle_routing_topk", f"""with {BUNDLE}, r as (select b.label, sum(b.v * q.
 select vec_id, {six_sql("s")} as score from (select vec_id, {dot_sql("embedding", Q0)} s from embeddings where label in (select label from r)) order by round(s, 9) desc, vec_id limit 10""")
 
 
+@query
+def zero_shot_labels(spark, at):
+    """Each community's nearest term: the first vector of each label stands for a term's."""
+    v = read(spark, at, "embeddings")
+    first = v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vector"))
+    terms = first.select(F.concat(F.lit("term"), F.col("label").cast("string")).alias("label"), "vector")
+    return graph.labelled(graph.bundles(v, "label"), terms).withColumn("score", six("score"))
+
+
+sql("zero_shot_labels", f"""with {BUNDLE}, t as (select 'term' || label as name, unnest(arg_min(embedding, vec_id))::double x, unnest(range(0, 64))::int dim from embeddings group by label),
+s as (select b.label community, t.name, sum(b.v * t.x) s from b join t using (dim) group by all)
+select community, name as label, {six_sql("s")} as score from s qualify row_number() over (partition by community order by round(s, 9) desc, name) = 1""")
+
+
+@query
+def workspace_keys(spark, at):
+    return read(spark, at, "documents").select("doc_id", H.path_key(F.concat(F.lit("/home/"), F.col("source"), F.lit("/"), F.col("lang"))).alias("key"))
+
+
 @query
 def community_hubs(spark, at):
     return graph.hubs(edges(spark, at), labels(spark, at))
@@ -273,16 +310,35 @@ g{name} as (select count(*)::double n, avg(l) av, {", ".join(f"count(*) filter (
 {name} as (select doc_id, {score} bm25 from f{name}, g{name} where {" and ".join(f"f{i} > 0" for i in range(len(terms)))} order by round(bm25, 9) desc, doc_id{f" limit {n}" if n else ""})"""
 
 
+def lexical_index(spark, at) -> LexicalIndex:
+    """The stored index of the documents' sources and texts: built by the first query of an application that needs it, read by the others."""
+    key = (spark.sparkContext.applicationId, at)
+    if key not in _indexes:
+        path = f"{scratch_dir(spark)}/lexical-{len(_indexes)}"
+        LexicalIndex.build(read(spark, at, "documents"), "doc_id", ["source", "text"], path)
+        _indexes[key] = path
+    return LexicalIndex(spark, _indexes[key])
+
+
 def lexical(spark, at, words: str, n: int | None) -> DataFrame:
-    return retrieval.bm25(read(spark, at, "documents"), "doc_id", ["source", "text"], words, n)
+    return lexical_index(spark, at).search(words, n, "doc_id")
 
 
 @query
 def postings(spark, at):
-    return retrieval.postings(read(spark, at, "documents"), "doc_id", ["source", "text"]).where(F.col("term").isin("und", "von", "the", "der", "que", "src1"))
+    return lexical_index(spark, at).postings()
+
 
+sql("postings", f"with {DOC} select term, doc_id as doc, count(*) as tf from (select doc_id, unnest(list_concat(a, b)) term from d) group by all")
 
-sql("postings", f"with {DOC} select term, doc_id as doc, count(*) as tf from (select doc_id, unnest(list_concat(a, b)) term from d) where term in ('und', 'von', 'the', 'der', 'que', 'src1') group by all")
+
+@query
+def bm25_scan(spark, at):
+    """Without an index: two scans of the corpus."""
+    return retrieval.bm25(read(spark, at, "documents"), "doc_id", ["source", "text"], "und von", 40).withColumn("bm25", six("bm25"))
+
+
+sql("bm25_scan", f"with {bm25_sql(['und', 'von'], 40)} select doc_id, {six_sql('bm25')} as bm25 from h")
 
 
 @query
@@ -491,6 +547,9 @@ def fnv1a_hash_whole(spark, at):
     return read(spark, at, "documents").select("doc_id", H.fnv1a(F.col("text")).alias("hash"))
 
 
+sql("workspace_keys", f"select doc_id, {hash_sql("('/home/' || source || '/' || lang)", 5381, '(h * 33 + b) % 18446744073709551616::hugeint')} as key from documents")
+
+
 def first_word() -> Column:
     return F.regexp_extract("text", r"^\S+", 0)
 
@@ -740,7 +799,7 @@ def stream_incremental(spark, at):
     """The documents' ids and languages, taken in as a stream of files, the last row of each id kept."""
     from ..streaming.incremental import stream_rows
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()).rstrip("/") + f"/stream-{spark.sparkContext.applicationId}-{id(spark):x}-{stream_incremental.runs}"
+    base = f"{scratch_dir(spark)}/stream-{stream_incremental.runs}"
     stream_incremental.runs += 1
     d = read(spark, at, "documents").select("doc_id", "lang", F.lit(1).alias("seq"))
     d.repartition(2).write.parquet(f"{base}/in")

@@ -1,14 +1,20 @@
-"""The index of a workspace: versioned Parquet tables, replaced as one.
-
-A version is a folder with chunks, vectors, files, cached embeddings and notes; the last one is in
-force. A new version is written under another name and put in force by one rename, so a reader or
-a crash sees either all of an update or none. All file access is through Spark's file systems.
+"""The index of a workspace: versions of Parquet tables, replaced as one.
+
+A version is a small manifest that says in which folder each table is (chunks, their inverted
+index, vectors, files, cached embeddings, notes); the last one is in force. A commit writes the
+tables that change, and puts a new manifest in force by one rename, so a reader or a crash sees
+either all of an update or none; what a failed update has written is deleted. Updates lock the
+index before they begin, so a second one fails at once. All file access is through Spark's file
+systems.
 """
 
 from __future__ import annotations
 
+import contextlib
+import json
 import time
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,14 +28,17 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import chunking, graph, incremental, retrieval
 from . import scan
+from .lexical import LexicalIndex
 
+LOCK_HOURS = 24
 TABLES = {"chunks": schemas.CHUNK, "vectors": schemas.VECTOR, "files": schemas.FILE, "cache": schemas.CACHE, "notes": schemas.NOTE}
 
 
 class Index:
-    def __init__(self, spark: SparkSession, path: str, embedder: Embedder | None = None, settings: Settings | None = None):
+    def __init__(self, spark: SparkSession, path: str, embedder: Embedder | None = None, settings: Settings | None = None, similarity: Callable = V.dot):
         self.spark, self.path = spark, path.rstrip("/")
         self.embedder, self.settings = embedder or HashingEmbedder(), settings or Settings()
+        self.similarity = similarity  # of two columns of vectors, higher is nearer
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -44,32 +53,82 @@ class Index:
     def version(self) -> str | None:
         return max(self._versions(), default=None)
 
-    def table(self, name: str) -> DataFrame:
-        now = self.version()
-        if now is None or not self._fs.exists(self._path(f"{self.path}/{now}/{name}")):
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{now}/{name}")
+    def manifest(self, version: str | None = None) -> dict[str, str]:
+        """The folder of each table of a version, by default of the one in force."""
+        version = version or self.version()
+        if version is None:
+            return {}
+        stream = self._fs.open(self._path(f"{self.path}/{version}/manifest.json"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
-    def commit(self, **tables: DataFrame) -> str:
-        """A new version with these tables, the others as they were."""
+    def table(self, name: str) -> DataFrame:
+        at = self.manifest().get(name)
+        return self.spark.createDataFrame([], TABLES[name]) if at is None else self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/data/{at}")
+
+    def lexical(self) -> LexicalIndex | None:
+        """The chunks' inverted index; built anew if it doesn't fit the chunks."""
+        made = self.manifest()
+        if "chunks" not in made:
+            return None
+        if made.get("lexical_of") != made["chunks"]:
+            self.commit(chunks=None)
+            made = self.manifest()
+        return LexicalIndex(self.spark, f"{self.path}/data/{made['lexical']}")
+
+    @contextlib.contextmanager
+    def _locked(self) -> Iterator[None]:
+        """Holds the index for one update; a lock of over LOCK_HOURS is one of a driver that died."""
+        at = self._path(f"{self.path}/.lock")
+        if self._fs.exists(at) and time.time() - self._fs.getFileStatus(at).getModificationTime() / 1000 > LOCK_HOURS * 3600:
+            self._fs.delete(at, False)
+        if not self._fs.createNewFile(at):
+            raise StorageError(f"another update of {self.path} is running")
+        try:
+            yield
+        finally:
+            self._fs.delete(at, False)
+
+    def commit(self, **tables: DataFrame | None) -> str:
+        """A new version with these tables, the others as they were (not written again). chunks=None: only their inverted index anew."""
         now = self.version()
-        new, staged = f"v-{int(now[2:]) + 1 if now else 1:012d}", f"{self.path}/.staged-{uuid.uuid4().hex}"
-        for name in TABLES:
-            if name in tables:
-                tables[name].write.parquet(f"{staged}/{name}")
-            elif now is not None:
-                self.table(name).write.parquet(f"{staged}/{name}")
-        if self._fs.exists(self._path(f"{self.path}/{new}")):
-            raise StorageError("another update came between")
-        if not self._fs.rename(self._path(staged), self._path(f"{self.path}/{new}")):
-            raise StorageError("the version can't be put in force")
+        made, id_ = self.manifest(now), uuid.uuid4().hex
+        new, staged, written = f"v-{int(now[2:]) + 1 if now else 1:012d}", f"{self.path}/.staged-{id_}", []
+        try:
+            for name, df in tables.items():
+                if df is not None:
+                    written.append(f"{name}-{id_}")
+                    df.write.parquet(f"{self.path}/data/{written[-1]}")
+                    made[name] = written[-1]
+            if "chunks" in tables:
+                written.append(f"lexical-{id_}")
+                chunks = self.spark.read.schema(TABLES["chunks"]).parquet(f"{self.path}/data/{made['chunks']}")
+                LexicalIndex.build(chunks, "id", ["name", "source"], f"{self.path}/data/{written[-1]}")
+                made |= {"lexical": written[-1], "lexical_of": made["chunks"]}
+            out = self._fs.create(self._path(f"{staged}/manifest.json"))
+            out.write(bytearray(json.dumps(made).encode()))
+            out.close()
+            if self._fs.exists(self._path(f"{self.path}/{new}")):
+                raise StorageError("another update came between")
+            if not self._fs.rename(self._path(staged), self._path(f"{self.path}/{new}")):
+                raise StorageError("the version can't be put in force")
+        except BaseException:
+            for at in (staged, *(f"{self.path}/data/{x}" for x in written)):
+                self._fs.delete(self._path(at), True)
+            raise
         return new
 
     def vacuum(self) -> int:
-        """Deletes versions before the current one."""
-        old = self._versions()[:-1]
+        """Deletes versions before the current one, and tables that only they have."""
+        old, made = self._versions()[:-1], set(self.manifest().values())
         for name in old:
             self._fs.delete(self._path(f"{self.path}/{name}"), True)
+        data = self._path(f"{self.path}/data")
+        for x in self._fs.listStatus(data) if self._fs.exists(data) else []:
+            if x.getPath().getName() not in made:
+                self._fs.delete(x.getPath(), True)
         return len(old)
 
     # indexing
@@ -81,7 +140,11 @@ class Index:
         return self.apply(listing)
 
     def apply(self, listing: DataFrame) -> dict[str, int]:
-        """The same for a listing (rel_path, mtime_ns, size, content) of all files there are."""
+        """The same for a listing (rel_path, mtime_ns, size, content) of all files there are. Fails at once if another update is running."""
+        with self._locked():
+            return self._apply(listing)
+
+    def _apply(self, listing: DataFrame) -> dict[str, int]:
         known = self.table("files")
         state = incremental.classify(listing.drop("content"), known).where("state <> 'unchanged'").persist()
         counts = {r.state: r["count"] for r in state.groupBy("state").count().collect()}
@@ -129,14 +192,15 @@ class Index:
 
     def candidates(self, query: str, top_k: int, weight: float, prefix: str | None = None, query_prefix: str = "") -> DataFrame:
         """The chunks that a search for k looks at, with score and vector. prefix filters after they are chosen, so fewer than k may be left."""
+        lexical_index = self.lexical() if weight > 0 else None
         vectors, chunks = self.table("vectors"), self.table("chunks")
         first = vectors.first()
         q = self.embedder.embed_batch([query_prefix + query])[0]
         if first is not None and len(first.vector) != len(q):
             raise StorageError(f"the index has vectors of {len(first.vector)} dimensions, the embedder of {len(q)}: reindex")
         n = retrieval.candidates(top_k)
-        semantic = retrieval.vector_topk(vectors, q, n, "id", "vector", "cos")
-        lexical = retrieval.normalized(retrieval.bm25(chunks, "id", ["name", "source"], query, n)) if weight > 0 else self.spark.createDataFrame([], "id string, bm25 double")
+        semantic = retrieval.vector_topk(vectors, q, n, "id", "vector", "cos", self.similarity)
+        lexical = retrieval.normalized(lexical_index.search(query, n)) if lexical_index is not None else self.spark.createDataFrame([], "id string, bm25 double")
         rows = retrieval.hybrid(semantic, lexical, "id", self.settings.search.min_score, weight).join(chunks, "id")
         if prefix:
             rows = rows.where(F.col("source_path").startswith(prefix))
@@ -158,7 +222,7 @@ class Index:
     def find_notes(self, query: str, top_k: int = 5) -> DataFrame:
         """Notes by similarity, without a threshold."""
         q = self.embedder.embed_batch([query])[0]
-        s = self.table("notes").withColumn("score", V.dot(F.col("vector"), V.literal(q)))
+        s = self.table("notes").withColumn("score", self.similarity(F.col("vector"), V.literal(q)))
         best = retrieval.ranked(s, "score", "id", top_k)
         return best.withColumn("rank", F.row_number().over(Window.orderBy(F.round("score", 9).desc(), "id"))).drop("vector")
 
