@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: A word, for every operator that works on words.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a record batch that goes to a Python worker.
+ARROW_ROWS = 2048
 _local: dict[str, str] = {}
 
 
@@ -22,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder in spark.checkpoint.dir; a temporary one only where none is set and executors are in the driver's process (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     key = spark.sparkContext.applicationId
     if key not in _local:
         _local[key] = "file://" + tempfile.mkdtemp(prefix="lodewell-")
@@ -50,8 +54,14 @@ class Scratch:
         return f"{self.root}/{self._n:03d}-{name}"
 
     def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        at = self.path(name)
-        df.write.option("compression", codec).parquet(at)
+        """Writes a table and reads it again. Python stages in it get record batches of few rows, whatever the session's setting."""
+        at, conf, key = self.path(name), self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = conf.get(key)
+        conf.set(key, ARROW_ROWS)
+        try:
+            df.write.option("compression", codec).parquet(at)
+        finally:
+            conf.set(key, before)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._scratch_path = at
         return out

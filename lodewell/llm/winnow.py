@@ -22,8 +22,8 @@ from ._common import no_null, partitions
 PRIME, BASE, LAST = (1 << 31) - 1, 1_000_003, (1 << 31) - 1
 #: Texts that share K + WINDOW - 1 = 10 words share a mark; about two words in nine have one.
 K, WINDOW = 3, 8
-#: Text in a range of ids, and ranges at most (beyond 8 TB ranges grow).
-RANGE_BYTES, RANGES_MOST = 8 << 20, 1 << 20
+#: Text in a range of ids, and ranges at most (beyond 1 TB ranges grow, to 100 MB at 100 TB).
+RANGE_BYTES, RANGES_MOST = 1 << 20, 1 << 20
 
 
 def _shifted(a: Column, by: int, f) -> Column:
@@ -81,6 +81,12 @@ def printed(chosen: str | Column) -> Column:
     return F.lower(F.array_join(F.transform(chosen, lambda x: F.lpad(F.hex(F.shiftright(x, 31)), 8, "0")), ""))
 
 
+def steps(chosen: str) -> Column:
+    """How far each chosen hash is from the one before (the first: from the text's begin), a byte each: the places, for windows of at most 127."""
+    low = lambda x: x.bitwiseAND(F.lit(LAST))
+    return F.transform(chosen, lambda x, i: (F.coalesce(low(F.get(F.col(chosen), i - 1)), F.lit(LAST)) - low(x)).cast("tinyint"))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard similarity of two columns of hashes()."""
     both = F.size(F.array_intersect(a, b))
@@ -131,13 +137,17 @@ def with_next(docs: DataFrame, id_col: str, fields: dict[str, str], buckets: int
 
 def op8_winnowing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", no_null("text").alias("text"))
-    docs = with_next(docs, "doc_id", {"text": "next_text", "own": "next"}, derive=lambda d: winnow(d, "text", "own"))
+
+    def marked(d: DataFrame) -> DataFrame:  # five bytes a mark are dealt out
+        return winnow(d, "text", "own").withColumns({"steps": steps("own"), "own": F.transform("own", lambda x: F.shiftright(x, 31).cast("int"))})
+
+    docs = with_next(docs, "doc_id", {"text": "next_text", "own": "next"}, derive=marked)
     half = F.floor(F.col("n_chars") / 2).cast("int")
     docs = docs.withColumn("n_chars", F.char_length("text"))
     docs = docs.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - half), F.substring("next_text", F.lit(1), half)))
     docs = winnow(docs, "edited", "other")
-    docs = docs.withColumns({f"_{k}": hashes(k) for k in ("own", "next", "other")})
+    docs = docs.withColumns({f"_{k}": F.array_distinct(k) for k in ("own", "next")} | {"_other": hashes("other").cast("array<int>")})
     return docs.select(
-        "doc_id", F.col("n_chars").cast("long"), F.sha2("edited", 256).alias("edited_sha256"), printed("own").alias("fingerprint"), printed("other").alias("edited_fingerprint"),
-        likeness(F.col("_own"), F.col("_other")).alias("near_edited"), likeness(F.col("_own"), F.col("_next")).alias("near_next"), places("own").cast("array<int>").alias("places"),
+        "doc_id", F.col("n_chars").cast("long"), F.sha2("edited", 256).alias("edited_sha256"), F.lower(F.array_join(F.transform("own", lambda x: F.lpad(F.hex(x), 8, "0")), "")).alias("fingerprint"),
+        printed("other").alias("edited_fingerprint"), likeness(F.col("_own"), F.col("_other")).alias("near_edited"), likeness(F.col("_own"), F.col("_next")).alias("near_next"), "steps",
     )

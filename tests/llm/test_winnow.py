@@ -49,6 +49,9 @@ def test_query(spark, docs_of, tmp_path):
         like = lambda x, y: len(x & y) / len(x | y)
         hexed = lambda s: "".join(f"{x:08x}" for x, _ in brute(s))
         want.append((str(i if has else None), len(t), hashlib.sha256(e.encode()).hexdigest(), hexed(t), hexed(e), round(like(a, b), 9), round(like(a, c), 9)))
+    for r in got:
+        places = [sum(r.steps[: i + 1]) for i in range(len(r.steps))]
+        assert any(places == [p for _, p in brute(t)] and "".join(f"{h:08x}" for h, _ in brute(t)) == r.fingerprint for _, t in rows)
     assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == sorted(want)
     docs_of([]).write.parquet(f"{tmp_path}/e/documents.parquet")
     assert winnow.op8_winnowing(spark, f"{tmp_path}/e").count() == 0
