@@ -139,7 +139,8 @@ def op8_winnowing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", no_null("text").alias("text"))
 
     def marked(d: DataFrame) -> DataFrame:  # five bytes a mark are dealt out
-        return winnow(d, "text", "own").withColumns({"steps": steps("own"), "own": F.transform("own", lambda x: F.shiftright(x, 31).cast("int"))})
+        d = winnow(d, "text", "marks")
+        return d.withColumns({"steps": steps("marks"), "own": F.transform("marks", lambda x: F.shiftright(x, 31).cast("int"))}).drop("marks")
 
     docs = with_next(docs, "doc_id", {"text": "next_text", "own": "next"}, derive=marked)
     half = F.floor(F.col("n_chars") / 2).cast("int")
