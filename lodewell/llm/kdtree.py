@@ -1,13 +1,15 @@
 """Sharding by a k-d tree over metadata, in built-in column functions only.
 
-Every dimension is scaled to 31 bits over the whole table. A node that is to become k shards
-is split along the dimension in which its rows spread widest, at the weighted quantile
-floor(k/2)/k of bytes (the median where k is even), and so on until each leaf is one shard.
-Quantiles are found by histograms: a node's keys (the coordinate, then a hash of the row, so
-that equal coordinates can be parted anywhere) are summed in up to 4096 bins; the bin that
-holds the quantile is divided again until it weighs next to nothing. A pass is one
-aggregation for all nodes of a level; nodes are at most as many as shards, and no task gathers
-a node's rows.
+Every dimension is scaled to 31 bits over the whole table; strings count by their rank among the
+table's different values. A node that is to become k shards is split along the dimension in
+which its rows spread widest, at the weighted quantile floor(k/2)/k of bytes (the median where k
+is even). Either the number of shards is given, and k is shared out from the root down, or the
+bytes that a shard may have, and a node is split until it has no more (k is its bytes over
+those, rounded up, whatever its parent was to become). Quantiles are found by histograms: a node's
+keys (the coordinate, then a hash of the row, so that equal coordinates can be parted anywhere)
+are summed in up to 4096 bins; the bin that holds the quantile is divided again until it weighs
+next to nothing. A pass is one aggregation for all nodes of a level. Nodes are tables, joined to
+the rows by their number: the driver only counts them, and no task gathers a node's rows.
 """
 
 from __future__ import annotations
@@ -15,102 +17,108 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch, no_null
+from ._common import Scratch, no_null, partitions
 
 BITS = 31
 TOP = (1 << BITS) - 1
+#: Bins of a node's histogram at most and at least, and those of a level's nodes together.
+BINS, LEAST_BINS, ALL_BINS = 4096, 64, 1 << 20
 
 
-def text_coordinate(c: str) -> Column:
-    """The first six bytes of a string as a number, so that order is kept; null is -1."""
-    digits = F.rpad(F.hex(F.substring(F.col(c).cast("binary"), 1, 6)), 12, "0")
-    return F.coalesce(F.conv(digits, 16, 10).cast("long"), F.lit(-1))
+def with_rank(rows: DataFrame, name: str, of: str, scratch: Scratch) -> DataFrame:
+    """rows with a long column: how many different values of column `of` are less than its own; null is -1. Names beginning with _lw_ are taken."""
+    values = rows.select(F.col(of).alias("_lw_value")).where("_lw_value is not null").distinct()
+    values = values.repartitionByRange(partitions(rows.sparkSession), "_lw_value").sortWithinPartitions("_lw_value").withColumn("_lw_m", F.monotonically_increasing_id())
+    values = scratch.save(values, "values")  # numbers hold from here on
+    values = values.withColumns({"_lw_p": F.shiftright("_lw_m", 33), "_lw_i": F.col("_lw_m").bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = values.groupBy("_lw_p").agg(F.count("*").alias("_lw_n"))  # a row a partition
+    ahead = counts.select("_lw_p", (F.sum("_lw_n").over(Window.orderBy("_lw_p")) - F.col("_lw_n")).alias("_lw_a"))
+    ranks = values.join(ahead, "_lw_p").select("_lw_value", (F.col("_lw_a") + F.col("_lw_i")).alias("_lw_rank"))
+    return rows.join(ranks, rows[of] == ranks["_lw_value"], "left").withColumn(name, F.coalesce("_lw_rank", F.lit(-1)).cast("long")).drop("_lw_value", "_lw_rank")
 
 
-def shard(rows: DataFrame, dims: dict[str, Column], size: Column, shards: int | None = None, target_bytes: int | None = None, tolerance: float = 0.001, bins: int = 4096) -> DataFrame:
+def _key(names: list[str]) -> Column:
+    """A row's place along dimension _lw_d: the coordinate, then the row's hash."""
+    return F.coalesce(*(F.when(F.col("_lw_d") == i, F.shiftleft(F.col(n), BITS).bitwiseOR(F.col("_lw_hash"))) for i, n in enumerate(names)))
+
+
+def _cuts(rows: DataFrame, names: list[str], nodes: DataFrame, enough: float, scratch: Scratch) -> DataFrame:
+    """nodes(_lw_node, _lw_d, _lw_lo, _lw_hi, _lw_need) with _lw_t: the key from which on a node's rows are right of the quantile, need bytes being left of it."""
+    width, found, col = max(LEAST_BINS, min(BINS, ALL_BINS // max(1, nodes.count()))), None, F.col
+    step = F.floor((col("_lw_hi") - col("_lw_lo")) / width).cast("long") + 1
+    while True:
+        at = rows.join(nodes.withColumn("_lw_step", step), "_lw_node").withColumn("_lw_key", _key(names)).where("_lw_key between _lw_lo and _lw_hi")
+        hist = at.groupBy("_lw_node", F.floor((col("_lw_key") - col("_lw_lo")) / col("_lw_step")).cast("long").alias("_lw_bin")).agg(F.sum("_lw_size").alias("_lw_own"))
+        hist = hist.withColumn("_lw_upto", F.sum("_lw_own").over(Window.partitionBy("_lw_node").orderBy("_lw_bin")))
+        bins = hist.join(nodes.select("_lw_node", "_lw_need"), "_lw_node").where("_lw_upto >= _lw_need and _lw_upto - _lw_own < _lw_need").drop("_lw_need")
+        got = nodes.withColumn("_lw_step", step).join(bins, "_lw_node", "left")  # at most one bin a node; none: no bytes are left of the quantile
+        start, below = col("_lw_lo") + col("_lw_bin") * col("_lw_step"), col("_lw_upto") - col("_lw_own")
+        done = col("_lw_bin").isNull() | (col("_lw_own") <= enough) | (col("_lw_step") == 1)
+        nearer = col("_lw_need") - below > col("_lw_own") / 2  # the quantile is nearer to the bin's end
+        t = F.when(col("_lw_bin").isNull(), col("_lw_lo")).when(nearer, start + col("_lw_step")).otherwise(start)
+        got = scratch.save(got.select("_lw_node", "_lw_d", start.alias("_lw_lo"), (start + col("_lw_step") - 1).alias("_lw_hi"), (col("_lw_need") - below).alias("_lw_need"), F.when(done, t).alias("_lw_t")), "bins")
+        own = got.where("_lw_t is not null").select("_lw_node", "_lw_d", "_lw_t")
+        found = own if found is None else found.union(own)
+        nodes = got.where("_lw_t is null").drop("_lw_t")
+        if nodes.isEmpty():
+            return found
+
+
+def shard(rows: DataFrame, dims: dict[str, Column], size: Column, shards: int | None = None, target_bytes: int | None = None, tolerance: float = 0.001) -> DataFrame:
     """rows with shard int (0 up, in the tree's order) and slot long (gapless from 0 in each shard).
 
     dims: numeric columns by name; null is least. Either the number of shards is given or the
-    bytes to reach. Shards differ in bytes by about a row and `tolerance` of a shard for each
-    level of the tree. Rows are of their own, repeated ones too. Columns whose names begin with _lw_ must
-    not be there. An empty table gives an empty result.
+    bytes that none is to exceed. Given a number, shards differ in bytes by about a row and
+    `tolerance` of a shard for each level of the tree; a row larger than target_bytes is a shard
+    alone. Rows are of their own, repeated ones too. Columns named shard or slot are replaced, all
+    others are kept; names beginning with _lw_ are taken. An empty table gives an empty result.
     """
-    scratch = Scratch(rows.sparkSession, "kdtree")
+    scratch, col = Scratch(rows.sparkSession, "kdtree"), F.col
     names = [f"_lw_{i}" for i in range(len(dims))]
-    rows = rows.withColumns(dict(zip(names, (c.cast("double") for c in dims.values()), strict=True)) | {"_lw_size": size.cast("long"), "_lw_node": F.lit(1).cast("long"), "_lw_row": F.monotonically_increasing_id()})
-    held = rows = scratch.save(rows, "rows")  # row numbers hold from here on
-    rows = rows.withColumn("_lw_hash", F.xxhash64("_lw_row").bitwiseAND(F.lit(TOP)))
+    rows = rows.withColumns(dict(zip(names, (c.cast("double") for c in dims.values()), strict=True)) | {"_lw_size": size.cast("long"), "_lw_row": F.monotonically_increasing_id()})
+    held = rows = scratch.save(rows.drop("shard", "slot"), "rows")  # row numbers hold from here on
     ends = rows.agg(F.sum("_lw_size").alias("bytes"), *(f(n).alias(f"{f.__name__}{n}") for n in names for f in (F.min, F.max))).first()
     total = ends["bytes"] or 0
-    count = shards or max(1, round(total / target_bytes))
+    count = shards or max(1, -(-total // target_bytes))
     for n in names:
         lo, hi = ends[f"min{n}"], ends[f"max{n}"]
-        scaled = F.floor((F.col(n) - F.lit(lo)) / F.lit((hi - lo) or 1.0) * F.lit(float(TOP))).cast("long") if hi is not None else F.lit(0)
+        scaled = F.floor((col(n) - F.lit(lo)) / F.lit((hi - lo) or 1.0) * F.lit(float(TOP))).cast("long") if hi is not None else F.lit(0)
         rows = rows.withColumn(n, F.coalesce(scaled, F.lit(0)).cast("long"))
-    enough = tolerance * total / count
-    col, parts = F.col, {1: count}
-    while max(parts.values()) > 1:
-        wide = [(F.max(n) - F.min(n)).alias(f"w{n}") for n in names]
-        nodes = rows.groupBy("_lw_node").agg(F.sum("_lw_size").alias("bytes"), *wide, *(F.min(n).alias(f"a{n}") for n in names), *(F.max(n).alias(f"z{n}") for n in names)).collect()  # shards at most
-        plan = {}
-        for x in nodes:
-            if (k := parts[x["_lw_node"]]) > 1:
-                d = max(range(len(names)), key=lambda i: (x[f"w{names[i]}"], -i))
-                plan[x["_lw_node"]] = [d, x[f"a{names[d]}"] << BITS, ((x[f"z{names[d]}"] + 1) << BITS) - 1, x["bytes"] * (k // 2) / k, 0]
-        open_ = set(plan)
-        width = max(64, min(bins, (1 << 20) // max(1, len(plan))))
-        key = lambda d: F.coalesce(*(F.when(d == i, F.shiftleft(col(n), BITS).bitwiseOR(col("_lw_hash"))) for i, n in enumerate(names)))
-        while open_:
-            at = _lookup(rows, {v: [plan[v][0], plan[v][1], plan[v][2], -(-(plan[v][2] - plan[v][1] + 1) // width)] for v in open_}, ["d", "a", "z", "step"])
-            at = at.withColumn("key", key(col("d"))).where((col("key") >= col("a")) & (col("key") <= col("z")))
-            hist = at.groupBy("_lw_node", F.floor((col("key") - col("a")) / col("step")).cast("long").alias("bin")).agg(F.sum("_lw_size").alias("own"))
-            run = Window.partitionBy("_lw_node").orderBy("bin")
-            hist = hist.withColumn("upto", F.sum("own").over(run))
-            hist = _lookup(hist, {v: [plan[v][3] - plan[v][4]] for v in open_}, ["need"]).where((col("upto") >= col("need")) & (col("upto") - col("own") < col("need")))
-            found = {x["_lw_node"]: x for x in hist.collect()}  # a row a node
-            for v in list(open_):
-                if v not in found:  # no bytes left of the quantile
-                    open_.discard(v)
-                    continue
-                x, step = found[v], -(-(plan[v][2] - plan[v][1] + 1) // width)
-                below, own = x["upto"] - x["own"], x["own"]
-                start = plan[v][1] + x["bin"] * step
-                if own <= enough or step == 1:
-                    nearer = plan[v][3] - plan[v][4] - below > own / 2  # the quantile is nearer to the bin's end
-                    plan[v][1] = start + step if nearer else start
-                    open_.discard(v)
-                else:
-                    plan[v][1:3], plan[v][4] = [start, start + step - 1], plan[v][4] + below
-        moved = _lookup(rows, {v: [p[0], p[1]] for v, p in plan.items()}, ["d", "t"])
-        side = F.when(col("d").isNull(), col("_lw_node")).otherwise(2 * col("_lw_node") + F.when(key(col("d")) >= col("t"), 1).otherwise(0))
-        rows = moved.withColumn("_lw_node", side.cast("long")).drop("d", "t")
-        parts = {v: k for v, k in parts.items() if k == 1} | {w: n for v, k in parts.items() if k > 1 for w, n in ((2 * v, k // 2), (2 * v + 1, k - k // 2))}
-        rows = scratch.save(rows, "level")
+    rows = rows.withColumns({"_lw_hash": F.xxhash64("_lw_row").bitwiseAND(F.lit(TOP)), "_lw_node": F.lit(1).cast("long"), "_lw_k": F.lit(count).cast("long")})
+    while True:
+        spread = {n: F.max(n) - F.min(n) for n in names}
+        stats = rows.groupBy("_lw_node", "_lw_k").agg(F.sum("_lw_size").alias("_lw_bytes"), F.count("*").alias("_lw_rows"), *(f(n).alias(f"{f.__name__}{n}") for n in names for f in (F.min, F.max)), F.greatest(*spread.values(), F.lit(0)).alias("_lw_widest"))
+        if not shards:
+            stats = stats.withColumn("_lw_k", F.when(col("_lw_rows") > 1, F.ceil(col("_lw_bytes") / target_bytes)).otherwise(1))
+        d = F.coalesce(*(F.when(col(f"max{n}") - col(f"min{n}") == col("_lw_widest"), i) for i, n in enumerate(names)))
+        pick = lambda f: F.coalesce(*(F.when(col("_lw_d") == i, col(f"{f}{n}")) for i, n in enumerate(names)))
+        nodes = stats.where("_lw_k > 1").withColumn("_lw_d", d)
+        need = col("_lw_bytes") * F.floor(col("_lw_k") / 2) / col("_lw_k")
+        nodes = scratch.save(nodes.select("_lw_node", "_lw_d", F.shiftleft(pick("min"), BITS).alias("_lw_lo"), (F.shiftleft(pick("max") + 1, BITS) - 1).alias("_lw_hi"), need.alias("_lw_need")), "nodes")
+        if nodes.isEmpty():
+            break
+        moved = rows.join(_cuts(rows, names, nodes, tolerance * total / count, scratch), "_lw_node", "left")
+        right, half = F.when(_key(names) >= col("_lw_t"), 1).otherwise(0), F.floor(col("_lw_k") / 2).cast("long")
+        moved = moved.withColumns({"_lw_node": F.when(col("_lw_d").isNull(), col("_lw_node")).otherwise(2 * col("_lw_node") + right), "_lw_k": F.when(col("_lw_d").isNull(), col("_lw_k")).when(right == 1, col("_lw_k") - half).otherwise(half)})
+        rows = scratch.save(moved.drop("_lw_d", "_lw_t"), "level")
         scratch.drop(held)
         held = rows
-    order = sorted(parts, key=lambda v: format(v, "b"))
-    rows = _lookup(rows, {v: [i] for i, v in enumerate(order)}, ["shard"]).withColumn("shard", col("shard").cast("int"))
-    rows = rows.withColumn("_lw_sub", F.pmod(F.shiftright("_lw_hash", 8), F.lit(16)))
+    leaves = rows.select("_lw_node").distinct()
+    leaves = leaves.select("_lw_node", (F.row_number().over(Window.orderBy(F.bin("_lw_node"))) - 1).cast("int").alias("shard"))  # a row a shard
+    rows = rows.join(leaves, "_lw_node").withColumn("_lw_sub", F.pmod(F.shiftright("_lw_hash", 8), F.lit(16)))
     subs = rows.groupBy("shard", "_lw_sub").agg(F.count("*").alias("_lw_n"))
     subs = subs.withColumn("_lw_ahead", F.sum("_lw_n").over(Window.partitionBy("shard").orderBy("_lw_sub")) - col("_lw_n")).drop("_lw_n")
     number = F.row_number().over(Window.partitionBy("shard", "_lw_sub").orderBy("_lw_hash", "_lw_row"))
     rows = rows.join(subs, ["shard", "_lw_sub"]).withColumn("slot", (number - 1 + col("_lw_ahead")).cast("long"))
-    return rows.drop("_lw_node", "_lw_size", "_lw_hash", "_lw_row", "_lw_sub", "_lw_ahead", *names)
-
-
-def _lookup(df: DataFrame, values: dict[int, list], names: list[str]) -> DataFrame:
-    """df with columns of each node's numbers, null where it has none: joined from a table of one row a node."""
-    if not values:
-        return df.withColumns({n: F.lit(None).cast("double" if n == "need" else "long") for n in names})
-    kind = lambda n, v: f"{v!r}D" if n == "need" else f"{v}L"
-    rows = ", ".join(f"({v}L, {', '.join(kind(n, x) for n, x in zip(names, xs, strict=True))})" for v, xs in values.items())
-    return df.join(df.sparkSession.sql(f"select * from values {rows} as t(_lw_node, {', '.join(names)})"), "_lw_node", "left")
+    return rows.drop("_lw_node", "_lw_k", "_lw_size", "_lw_hash", "_lw_row", "_lw_sub", "_lw_ahead", *names)
 
 
 def op2_kdtree_sharding(spark, sf_dir: str, shards: int = 40) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "ranks")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
-    rows = docs.select("doc_id", size.alias("size"), F.crc32(no_null("text").cast("binary")).alias("text_crc32"), "lang", "source")
-    dims = {"lang": text_coordinate("lang"), "source": text_coordinate("source"), "size": F.log2(F.col("size"))}
+    rows = scratch.save(docs.select("doc_id", size.alias("size"), F.crc32(no_null("text").cast("binary")).alias("text_crc32"), "lang", "source"), "sizes")
+    for name in ("lang", "source"):
+        rows = with_rank(rows, f"{name}_rank", name, scratch)
+    dims = {"lang": F.col("lang_rank"), "source": F.col("source_rank"), "size": F.log2(F.col("size"))}
     out = shard(rows, dims, F.col("size"), shards=shards)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodewell.llm import kdtree
@@ -45,3 +46,52 @@ def test_small(spark, docs_of, tmp_path):
     assert len(kdtree.op2_kdtree_sharding(spark, f"{tmp_path}/s").collect()) == 3
     df = docs_of([(i, "abc") for i in range(100)])
     assert kdtree.shard(df, {"n": F.col("doc_id")}, F.lit(10), target_bytes=100).agg(F.count_distinct("shard")).first()[0] == 10
+
+
+def plain_tree(rows, k):
+    """Shards of (key..., size, id) rows by a k-d tree in memory: widest dimension, weighted quantile, down to k shards."""
+    if k == 1 or not rows:
+        return [rows] if k == 1 else [[]] * k
+    dims = len(rows[0]) - 2
+    d = max(range(dims), key=lambda i: (max(r[i] for r in rows) - min(r[i] for r in rows), -i))
+    rows = sorted(rows, key=lambda r: r[d])
+    need, upto, at = sum(r[-2] for r in rows) * (k // 2) / k, 0, 0
+    while at < len(rows) and upto < need:
+        upto += rows[at][-2]
+        at += 1
+    if at and upto - need > rows[at - 1][-2] / 2:  # nearer to the row's begin
+        at -= 1
+    return plain_tree(rows[:at], k // 2) + plain_tree(rows[at:], k - k // 2)
+
+
+@pytest.mark.parametrize("shards", [2, 7, 40])
+def test_against_a_plain_tree(spark, shards):
+    r = random.Random(shards)
+    xs, ys = r.sample(range(10**6), 1500), r.sample(range(3 * 10**6), 1500)  # no coordinate twice, so there are no ties to part
+    rows = [(i, float(x), float(y), r.randint(1, 50)) for i, (x, y) in enumerate(zip(xs, ys, strict=True))]
+    df = spark.createDataFrame(rows, "id long, x double, y double, size long")
+    got = {x.id: x.shard for x in kdtree.shard(df, {"x": F.col("x"), "y": F.col("y")}, F.col("size"), shards=shards, tolerance=0.0).collect()}
+    lo, hi = {c: min(x[c] for x in rows) for c in (1, 2)}, {c: max(x[c] for x in rows) for c in (1, 2)}
+    scaled = [(*(int((x[c] - lo[c]) / (hi[c] - lo[c]) * kdtree.TOP) for c in (1, 2)), x[3], x[0]) for x in rows]
+    want = {x[-1]: n for n, part in enumerate(plain_tree(scaled, shards)) for x in part}
+    assert got == want
+
+
+def test_target_bytes_is_never_exceeded(spark, docs_of):
+    r = random.Random(3)
+    rows = [(i, "x" * r.choice([1, 5, 50, 400])) for i in range(700)] + [(1000 + i, "same") for i in range(500)] + [(5000, "z" * 9000)]
+    df = docs_of(rows).withColumns({c: F.lit("own") for c in ("shard", "slot", "d", "t", "a", "z", "step", "need", "key", "bin")})
+    out = kdtree.shard(df, {"n": F.col("doc_id"), "l": F.length("text")}, F.length("text"), target_bytes=2000)
+    got = out.groupBy("shard").agg(F.sum(F.length("text")).alias("b"), F.count("*").alias("n")).collect()
+    assert all(x.b <= 2000 or x.n == 1 for x in got) and len(got) <= 2.5 * sum(len(t) for _, t in rows) / 2000
+    assert sorted(x.shard for x in got) == list(range(len(got))) and {(x.d, x.t, x.key) for x in out.collect()} == {("own",) * 3}
+
+
+def test_ranks(spark, docs_of):
+    from lodewell.llm._common import Scratch
+
+    names = [None, "", "http://a.example/very/long/shared/prefix/1", "http://a.example/very/long/shared/prefix/2", "é", "z", "z"] + [f"domain0.{i}" for i in range(40)]
+    rows = [(i, "t", None, n) for i, n in enumerate(names * 2)]
+    got = kdtree.with_rank(docs_of(rows), "rank", "source", Scratch(spark, "t")).collect()
+    order = sorted({n.encode() for n in names if n is not None})
+    assert len(got) == len(rows) and all(x["rank"] == (-1 if x.source is None else order.index(x.source.encode())) for x in got)
