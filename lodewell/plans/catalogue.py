@@ -525,7 +525,7 @@ sql("notes_scan", "select conv_id, turn, text, case when turn % 5 = 4 then '' el
 
 # scalar functions
 
-BYTES = "list_transform(range(1, octet_length({0}) + 1), lambda i: ('0x' || substr(hex({0}), 2 * i - 1, 2))::int::hugeint)"
+BYTES = "list_transform(regexp_extract_all(hex({0}), '..'), lambda x: ('0x' || x)::int::hugeint)"
 
 
 def hash_sql(text: str, seed: int, step: str) -> str:
@@ -535,16 +535,10 @@ def hash_sql(text: str, seed: int, step: str) -> str:
 
 @query
 def fnv1a_hash(spark, at):
-    return read(spark, at, "documents").select("doc_id", H.fnv1a(F.left("text", F.lit(200))).alias("hash"))
-
-
-sql("fnv1a_hash", f"select doc_id, {hash_sql('left(text, 200)', 0xCBF29CE484222325, 'xor(h, b) * 1099511628211::hugeint % 18446744073709551616::hugeint')} as hash from documents")
+    return read(spark, at, "documents").select("doc_id", H.fnv1a(F.col("text")).alias("hash"))
 
 
-@query
-def fnv1a_hash_whole(spark, at):
-    """Of every byte; fnv1a_hash's SQL is of a prefix, so tests hold this one against brute force."""
-    return read(spark, at, "documents").select("doc_id", H.fnv1a(F.col("text")).alias("hash"))
+sql("fnv1a_hash", f"select doc_id, {hash_sql('text', 0xCBF29CE484222325, 'xor(h, b) * 1099511628211::hugeint % 18446744073709551616::hugeint')} as hash from documents")
 
 
 sql("workspace_keys", f"select doc_id, {hash_sql("('/home/' || source || '/' || lang)", 5381, '(h * 33 + b) % 18446744073709551616::hugeint')} as key from documents")
@@ -564,16 +558,10 @@ sql("djb2_chunk_id", f"select doc_id, {hash_sql('(source || regexp_extract(text,
 
 @query
 def sanitize_query(spark, at):
-    return read(spark, at, "documents").select("doc_id", T.sanitize_query(F.left("text", F.lit(80))).alias("query"))
-
-
-sql("sanitize_query", r"""select doc_id, array_to_string(list_transform(list_filter(regexp_split_to_array(left(text, 80), '[^\p{L}\p{N}_]+'), lambda x: x <> ''), lambda x: '"' || x || '"'), ' ') as query from documents""")
+    return read(spark, at, "documents").select("doc_id", T.sanitize_query(F.col("text")).alias("query"))
 
 
-@query
-def sanitize_query_whole(spark, at):
-    """Of the whole text; sanitize_query's SQL is of a prefix, so tests hold this one against brute force."""
-    return read(spark, at, "documents").select("doc_id", T.sanitize_query(F.col("text")).alias("query"))
+sql("sanitize_query", r"""select doc_id, array_to_string(list_transform(list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}_]+'), lambda x: x <> ''), lambda x: '"' || x || '"'), ' ') as query from documents""")
 
 
 @query

@@ -1,4 +1,4 @@
-"""Queries over whole texts that have no SQL, against brute force on long texts."""
+"""Queries over whole texts, against brute force on long texts."""
 
 import re
 
@@ -20,11 +20,18 @@ def fnv1a(text):
     return f"{h:016x}"
 
 
-def test_fnv1a_hash_whole(spark, tmp_path):
-    got = rows_of(spark, tmp_path, "fnv1a_hash_whole")
+def test_fnv1a_hash(spark, tmp_path):
+    got = rows_of(spark, tmp_path, "fnv1a_hash")
     assert got == [fnv1a(t) for t in TEXTS] and len(set(got)) == len(TEXTS)
 
 
-def test_sanitize_query_whole(spark, tmp_path):
-    got = rows_of(spark, tmp_path, "sanitize_query_whole")
+def test_kernel():
+    from lodewell.functions import hashing
+
+    for texts in ([], [""], ["é" * n for n in range(50)], ["a" * 5000, "", *["b" * n for n in range(0, 3000, 7)]]):
+        assert [f"{h:016x}" for h in hashing.fnv1a_of([t.encode() for t in texts]).tolist()] == [fnv1a(t) for t in texts]
+
+
+def test_sanitize_query(spark, tmp_path):
+    got = rows_of(spark, tmp_path, "sanitize_query")
     assert got == [" ".join(f'"{w}"' for w in re.findall(r"\w+", t)) for t in TEXTS]
