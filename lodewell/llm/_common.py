@@ -46,7 +46,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/lodewell/{tag}-{uuid.uuid4().hex}"
-        self._n = 0
+        self._n, self._saved = 0, []
         atexit.register(self.drop)
 
     def path(self, name: str) -> str:
@@ -64,8 +64,16 @@ class Scratch:
             conf.set(key, before)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._scratch_path = at
+        self._saved.append(out)
         return out
 
+    def keep(self, *needed: DataFrame) -> None:
+        """Deletes all tables that were saved but those needed on."""
+        for df in self._saved:
+            if not any(df is x for x in needed):
+                self.drop(df)
+        self._saved = list(needed)
+
     def drop(self, df: DataFrame | None = None) -> None:
         at = self.root if df is None else df._scratch_path
         try:

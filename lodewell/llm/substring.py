@@ -202,7 +202,9 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = 35) -> Dat
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("n"))
     marks = hits.where("same").select("id", "tk", "at", (bit - 1).alias("mask"))
     marks = marks.union(hits.where("not same").join(masks, ["anchor", "ctx"]).select("id", "tk", "at", "mask"))
-    return marks.groupBy("id", "tk").agg(F.collect_set(F.struct("at", "mask")).alias("marks"))  # as many as the text has anchors
+    marks = scratch.save(marks.groupBy("id", "tk").agg(F.collect_set(F.struct("at", "mask")).alias("marks")), "marks")  # as many as the text has anchors
+    scratch.keep(marks)
+    return marks
 
 
 def covered(n_words: int, marks: list[dict] | None, window: int) -> np.ndarray:
