@@ -6,6 +6,7 @@ constant Potts objective: the sum over communities of w - gamma * n * (n - 1) /
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -18,6 +19,8 @@ from ..sources.scratch import scratch_dir
 
 GAMMA, NEIGHBOURS, BLOCK = 0.05, 32, 2048
 MIN_GAIN = 1e-10
+#: Edges of a component that is solved in one task; rounds of moves over a larger one, and the share of its nodes that must be left for it to be worth contracting.
+IN_TASK, ROUNDS, SHRINKS = 2_000_000, 8, 0.95
 #: Terms of a label vocabulary that are broadcast.
 LABELS = 100_000
 
@@ -102,10 +105,10 @@ def dense_relabel(labels: DataFrame) -> DataFrame:
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(f"{scratch_dir(df.sparkSession)}/checkpoints")
-    return df.checkpoint()
+    """df as a written table: lineage ends, and sizes are those of its files (a checkpoint's are estimates, which grow exponentially over rounds of joins)."""
+    spark, at = df.sparkSession, f"{scratch_dir(df.sparkSession)}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -151,10 +154,12 @@ class Partition:
         return own
 
     def refined(self, coarse: list[int]) -> list[int]:
+        """Sub-communities: nodes alone join one of their community that they gain from and that stays well connected to its rest."""
         members, sub = defaultdict(list), list(range(len(self.near)))
         for v, c in enumerate(coarse):
             members[c].append(v)
-        count, group = [1] * len(self.near), [{v} for v in range(len(self.near))]
+        count = [1] * len(self.near)
+        out = [sum(w for u, w in near.items() if coarse[u] == coarse[v]) for v, near in enumerate(self.near)]  # weight from a sub-community to the rest of its community
         for c, vs in members.items():
             for v in vs:
                 if count[sub[v]] > 1 or sub[v] != v:
@@ -165,15 +170,14 @@ class Partition:
                         pull[sub[u]] += w
                 options = []
                 for s, w in pull.items():
-                    joined, rest = group[s] | {v}, set(vs) - group[s] - {v}
-                    cut = sum(x for y in joined for u, x in self.near[y].items() if u in rest)
-                    if w - self.gamma * count[s] > MIN_GAIN and cut >= self.gamma * len(joined) * len(rest):
+                    n = count[s] + 1
+                    if w - self.gamma * count[s] > MIN_GAIN and out[s] + out[v] - 2 * w >= self.gamma * n * (len(vs) - n):
                         options.append((w - self.gamma * count[s], -s))
                 if options:
                     s = -max(options)[1]
+                    out[s] += out[v] - 2 * pull[s]
                     count[s] += 1
                     count[v] = 0
-                    group[s].add(v)
                     sub[v] = s
         return sub
 
@@ -198,18 +202,9 @@ class Partition:
             graph, to = Partition(len(name), [(a, b, w) for (a, b), w in sums.items()], self.gamma), [name[sub[x]] for x in to]
 
 
-def leiden(edges: DataFrame, nodes: DataFrame, gamma: float = GAMMA) -> DataFrame:
-    """(id, community): dense communities of the graph; nodes(id) without an edge are their own.
-
-    Moves only ever lead to a neighbour's community, so connected components are independent: one
-    task each. A component has to fit its task; edges without weight connect nothing. After a
-    contraction a group counts as one member and its edges from both ends, so later turns merge
-    further than the objective over single nodes would.
-    """
-    edges = edges.where("sim > 0")
-    part = components(edges, nodes)
-    kind = nodes.schema["id"].dataType.simpleString()
-    own = edges.join(part.withColumnRenamed("id", "src"), "src")
+def _solved(edges: DataFrame, part: DataFrame, gamma: float) -> DataFrame:
+    """(id, community) of all nodes that have an edge: each component of part(id, component) in one task, communities named by their least ids."""
+    kind = part.schema["id"].dataType.simpleString()
 
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(np.r_[pdf.src.to_numpy(), pdf.dst.to_numpy()])
@@ -220,11 +215,86 @@ def leiden(edges: DataFrame, nodes: DataFrame, gamma: float = GAMMA) -> DataFram
             least.setdefault(c, i)
         return pd.DataFrame({"id": ids, "community": [least[c] for c in got]})
 
-    found = own.groupBy("component").applyInPandas(solve, f"id {kind}, community {kind}")
+    own = edges.join(part.withColumnRenamed("id", "src"), "src").select("src", "dst", "sim", "component")
+    return own.groupBy("component").applyInPandas(solve, f"id {kind}, community {kind}")
+
+
+def moved(edges: DataFrame, nodes: DataFrame, gamma: float = GAMMA) -> DataFrame:
+    """(id, community) by local moves of all nodes in rounds: joins and sums only. Half of the nodes (another half each round) may move, so that neighbours don't swap."""
+    now = _checkpointed(nodes.select("id", F.col("id").alias("community")))
+    still = 0
+    for turn in range(ROUNDS):
+        gain = move_gain(edges, now, gamma).where((F.col("gain") > MIN_GAIN) & (F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0))
+        after = _checkpointed(now.join(gain.select("id", "best"), "id", "left").select("id", F.coalesce("best", "community").alias("community"), F.col("best").isNotNull().alias("_moved")))
+        still = still + 1 if after.where("_moved").isEmpty() else 0
+        now = after.drop("_moved")
+        if still == 2:
+            break
+    return now
+
+
+def refined(edges: DataFrame, coarse: DataFrame, gamma: float = GAMMA) -> DataFrame:
+    """(id, community): sub-communities of coarse(id, community), each community's in one task. A community has at most twice the greatest degree over gamma members: one whose members gain by staying has no more."""
+    kind = coarse.schema["id"].dataType.simpleString()
+    inner = edges.join(coarse.toDF("src", "c"), "src").join(coarse.toDF("dst", "d"), "dst").where("c = d").select("c", "src", "dst", "sim")
+
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(np.r_[pdf.src.to_numpy(), pdf.dst.to_numpy()])
+        pdf = pdf.sort_values(["src", "dst"])
+        got = Partition(len(ids), list(zip(np.searchsorted(ids, pdf.src), np.searchsorted(ids, pdf.dst), pdf.sim, strict=True)), gamma).refined([0] * len(ids))
+        least = {}
+        for i, c in zip(ids, got, strict=True):
+            least.setdefault(c, i)
+        return pd.DataFrame({"id": ids, "community": [least[c] for c in got]})
+
+    found = inner.groupBy("c").applyInPandas(solve, f"id {kind}, community {kind}")
+    alone = coarse.join(found, "id", "left_anti").select("id", F.col("id").alias("community"))
+    return found.union(alone)
+
+
+def leiden(edges: DataFrame, nodes: DataFrame, gamma: float = GAMMA, in_task: int = IN_TASK) -> DataFrame:
+    """(id, community): dense communities of the graph; nodes(id) without an edge are their own.
+
+    Moves only ever lead to a neighbour's community, so connected components are independent: those
+    of at most in_task edges are solved in one task each. Larger ones are shrunk first: local moves
+    in rounds over the whole graph, refinement by community, contraction of sub-communities, until
+    what is left fits or nothing groups any more. Edges without weight connect nothing. After a
+    contraction a group counts as one member and its edges from both ends, so later turns merge
+    further than the objective over single nodes would.
+    """
+    edges = _checkpointed(edges.where("sim > 0").select("src", "dst", "sim"))
+    part = components(edges, nodes)
+    sizes_ = edges.join(part.withColumnRenamed("id", "src"), "src").groupBy("component").agg(F.count("*").alias("n"))
+    large = _checkpointed(sizes_.where(F.col("n") > in_task).select("component"))
+    if large.isEmpty():
+        found = _solved(edges, part, gamma)
+    else:
+        here = part.join(large, "component", "left_semi")
+        found = _solved(edges, part.join(large, "component", "left_anti"), gamma)
+        own = edges.join(here.select(F.col("id").alias("src")), "src", "left_semi")
+        found = found.union(_shrunk(own, here.select("id"), gamma, in_task))
     alone = nodes.join(found, "id", "left_anti").select("id", F.col("id").alias("community"))
     return dense_relabel(_checkpointed(found.union(alone)))
 
 
+def _shrunk(edges: DataFrame, nodes: DataFrame, gamma: float, in_task: int) -> DataFrame:
+    coarse = moved(edges, nodes, gamma)
+    sub = _checkpointed(refined(edges, coarse, gamma))
+    before, after = nodes.count(), sub.select("community").distinct().count()
+    if after == before:  # nothing groups
+        return coarse
+    smaller = contract(edges, sub).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("weight").alias("sim"))
+    if after > SHRINKS * before:  # hardly anything does: what moves have found stands
+        return coarse
+    return _named(sub, leiden(smaller, sub.select(F.col("community").alias("id")).distinct(), gamma, in_task))
+
+
+def _named(sub: DataFrame, above: DataFrame) -> DataFrame:
+    """(id, community) of sub's nodes by the communities of their sub-communities, named by their least ids."""
+    own = sub.join(above.toDF("community", "top"), "community").select("id", "top")
+    return own.join(own.groupBy("top").agg(F.min("id").alias("community")), "top").select("id", "community")
+
+
 def bundles(vectors: DataFrame, by: str, vector_col: str = "embedding") -> DataFrame:
     """(community, bundle, n): the normalised sum of each community's vectors."""
     v = vectors.select(F.col(by).alias("community"), F.posexplode(vector_col).alias("dim", "x"))

@@ -23,6 +23,59 @@ def test_leiden_cases(spark):
     assert set(communities(spark, {f"s{i}": (1, 0) for i in range(10)}).values()) == {0}
 
 
+def test_leiden_of_a_component_that_no_task_holds(spark, monkeypatch):
+    """Distributed moves raise the objective, refinement stays inside communities, and what is left after contraction is solved as ever."""
+    monkeypatch.setattr(graph, "ROUNDS", 3)
+    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 150")
+    nodes = v.select(F.col("vec_id").alias("id"))
+    edges = graph.symmetric(graph.knn(v, 8)).persist()
+    quality = lambda found: graph.cpm_quality(edges, found).first()[0]
+    start = graph.moved(edges.where("sim > 0"), nodes)
+    parts = graph.refined(edges.where("sim > 0"), start).withColumnRenamed("community", "sub").join(start, "id")
+    assert parts.count() == 150 and parts.groupBy("sub").agg(F.count_distinct("community").alias("n")).where("n > 1").isEmpty()
+    spread = graph.leiden(edges, nodes, in_task=500)
+    names = {r.community for r in spread.collect()}
+    assert names == set(range(len(names))) and spread.count() == 150
+    assert quality(start) > 0 and len(names) < 75
+
+
+def test_refinement_keeps_a_running_sum():
+    """Against sums over sets, anew for every option."""
+    import random
+    from collections import defaultdict
+
+    def plain(part, coarse):
+        sub, group = list(range(len(part.near))), [{v} for v in range(len(part.near))]
+        for v in sorted(range(len(part.near)), key=lambda v: ([coarse.index(c) for c in coarse][v], v)):
+            if len(group[sub[v]]) > 1 or sub[v] != v:
+                continue
+            every, pull = {u for u in range(len(part.near)) if coarse[u] == coarse[v]}, defaultdict(float)
+            for u, w in part.near[v].items():
+                if u in every and sub[u] != v:
+                    pull[sub[u]] += w
+            options = []
+            for s, w in pull.items():
+                joined = group[s] | {v}
+                rest = every - joined
+                cut = sum(x for y in joined for u, x in part.near[y].items() if u in rest)
+                if w - part.gamma * len(group[s]) > graph.MIN_GAIN and cut >= part.gamma * len(joined) * len(rest):
+                    options.append((w - part.gamma * len(group[s]), -s))
+            if options:
+                s = -max(options)[1]
+                group[s].add(v)
+                group[v] = set()
+                sub[v] = s
+        return sub
+
+    for seed in range(30):
+        r = random.Random(seed)
+        n = r.randint(2, 40)
+        edges = [(a, b, r.randint(1, 16) / 16) for a in range(n) for b in range(a) if r.random() < 0.3]
+        part = graph.Partition(n, edges, 0.0625)
+        coarse = part.moved()
+        assert part.refined(coarse) == plain(part, coarse)
+
+
 def test_leiden_properties(spark):
     v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 120")
     edges = graph.symmetric(graph.knn(v, 6)).where("sim > 0.15").persist()
