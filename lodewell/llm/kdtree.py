@@ -42,9 +42,9 @@ def _key(names: list[str]) -> Column:
     return F.coalesce(*(F.when(F.col("_lw_d") == i, F.shiftleft(F.col(n), BITS).bitwiseOR(F.col("_lw_hash"))) for i, n in enumerate(names)))
 
 
-def _cuts(rows: DataFrame, names: list[str], nodes: DataFrame, enough: float, scratch: Scratch) -> DataFrame:
-    """nodes(_lw_node, _lw_d, _lw_lo, _lw_hi, _lw_need) with _lw_t: the key from which on a node's rows are right of the quantile, need bytes being left of it."""
-    width, found, col = max(LEAST_BINS, min(BINS, ALL_BINS // max(1, nodes.count()))), None, F.col
+def _cuts(rows: DataFrame, names: list[str], nodes: DataFrame, enough: float, most: int, scratch: Scratch) -> DataFrame:
+    """nodes(_lw_node, _lw_d, _lw_lo, _lw_hi, _lw_need) with _lw_t: the key from which on a node's rows are right of the quantile, need bytes being left of it. There are `most` nodes at most."""
+    width, found, col = max(LEAST_BINS, min(BINS, ALL_BINS // most)), None, F.col
     step = F.floor((col("_lw_hi") - col("_lw_lo")) / width).cast("long") + 1
     while True:
         at = rows.join(nodes.withColumn("_lw_step", step), "_lw_node").withColumn("_lw_key", _key(names)).where("_lw_key between _lw_lo and _lw_hi")
@@ -85,7 +85,8 @@ def shard(rows: DataFrame, dims: dict[str, Column], size: Column, shards: int |
         scaled = F.floor((col(n) - F.lit(lo)) / F.lit((hi - lo) or 1.0) * F.lit(float(TOP))).cast("long") if hi is not None else F.lit(0)
         rows = rows.withColumn(n, F.coalesce(scaled, F.lit(0)).cast("long"))
     rows = rows.withColumns({"_lw_hash": F.xxhash64("_lw_row").bitwiseAND(F.lit(TOP)), "_lw_node": F.lit(1).cast("long"), "_lw_k": F.lit(count).cast("long")})
-    while True:
+    level = 0
+    while not shards or level < (shards - 1).bit_length():
         spread = {n: F.max(n) - F.min(n) for n in names}
         stats = rows.groupBy("_lw_node", "_lw_k").agg(F.sum("_lw_size").alias("_lw_bytes"), F.count("*").alias("_lw_rows"), *(f(n).alias(f"{f.__name__}{n}") for n in names for f in (F.min, F.max)), F.greatest(*spread.values(), F.lit(0)).alias("_lw_widest"))
         if not shards:
@@ -95,14 +96,14 @@ def shard(rows: DataFrame, dims: dict[str, Column], size: Column, shards: int |
         nodes = stats.where("_lw_k > 1").withColumn("_lw_d", d)
         need = col("_lw_bytes") * F.floor(col("_lw_k") / 2) / col("_lw_k")
         nodes = scratch.save(nodes.select("_lw_node", "_lw_d", F.shiftleft(pick("min"), BITS).alias("_lw_lo"), (F.shiftleft(pick("max") + 1, BITS) - 1).alias("_lw_hi"), need.alias("_lw_need")), "nodes")
-        if nodes.isEmpty():
+        if not shards and nodes.isEmpty():
             break
-        moved = rows.join(_cuts(rows, names, nodes, tolerance * total / count, scratch), "_lw_node", "left")
+        moved = rows.join(_cuts(rows, names, nodes, tolerance * total / count, min(count, 1 << level), scratch), "_lw_node", "left")
         right, half = F.when(_key(names) >= col("_lw_t"), 1).otherwise(0), F.floor(col("_lw_k") / 2).cast("long")
         moved = moved.withColumns({"_lw_node": F.when(col("_lw_d").isNull(), col("_lw_node")).otherwise(2 * col("_lw_node") + right), "_lw_k": F.when(col("_lw_d").isNull(), col("_lw_k")).when(right == 1, col("_lw_k") - half).otherwise(half)})
         rows = scratch.save(moved.drop("_lw_d", "_lw_t"), "level")
         scratch.drop(held)
-        held = rows
+        held, level = rows, level + 1
     leaves = rows.select("_lw_node").distinct()
     leaves = leaves.select("_lw_node", (F.row_number().over(Window.orderBy(F.bin("_lw_node"))) - 1).cast("int").alias("shard"))  # a row a shard
     rows = rows.join(leaves, "_lw_node").withColumn("_lw_sub", F.pmod(F.shiftright("_lw_hash", 8), F.lit(16)))
