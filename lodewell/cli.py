@@ -13,6 +13,7 @@ from . import formatting
 from .config import Settings, expand_home, portable
 from .server import Server
 from .sources.index import Index, search_workspaces
+from .sources.registry import Registry
 
 
 def parser() -> argparse.ArgumentParser:
@@ -73,7 +74,7 @@ def main(argv: list[str] | None = None) -> None:
         return
     spark = SparkSession.builder.appName("lodewell").getOrCreate()
     roots = [expand_home(w, home) for w in settings.index.workspaces] or [os.getcwd()]
-    indexes = {root: Index(spark, args.index or f"{root}/.lodewell", settings=settings) for root in roots}
+    indexes = {root: Index(spark, args.index or Registry().add(root), settings=settings) for root in roots}
     if args.command == "serve":
         return Server(indexes[roots[0]], roots[0]).serve()
     if args.command in ("query", "hook"):
@@ -83,6 +84,8 @@ def main(argv: list[str] | None = None) -> None:
             shown = formatting.FORMATS[getattr(args, "format", "grouped")](search_workspaces(there, text)).first()[0]
         print(formatting.hook_response("UserPromptSubmit", shown) if args.command == "hook" else shown)
         return
+    if args.command == "gc":
+        print(f"{Registry().gc()} entries of workspaces that are gone")
     for root, index in indexes.items():
         print(root, index.reindex(root) if args.command == "reindex" else f"{index.gc_cache(args.days)} cached vectors dropped")
 

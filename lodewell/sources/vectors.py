@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators import retrieval
 
-SAMPLE, PROBED = 200_000, 0.5
+SAMPLE, PROBED = 200_000, 0.6
 
 
 class VectorIndex:
