@@ -15,7 +15,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import chunking, graph, incremental, retrieval
 from ..sources import scan
-from ..sources.lexical import LexicalIndex
+from ..sources.lexical import LexicalIndex, spread
 from ..sources.scratch import scratch_dir
 from ..sources.vectors import VectorIndex
 
@@ -535,7 +535,7 @@ def hash_sql(text: str, seed: int, step: str) -> str:
 
 @query
 def fnv1a_hash(spark, at):
-    return read(spark, at, "documents").select("doc_id", H.fnv1a(F.col("text")).alias("hash"))
+    return spread(read(spark, at, "documents").select("doc_id", "text")).select("doc_id", H.fnv1a(F.col("text")).alias("hash"))
 
 
 sql("fnv1a_hash", f"select doc_id, {hash_sql('text', 0xCBF29CE484222325, 'xor(h, b) * 1099511628211::hugeint % 18446744073709551616::hugeint')} as hash from documents")
@@ -558,7 +558,7 @@ sql("djb2_chunk_id", f"select doc_id, {hash_sql('(source || regexp_extract(text,
 
 @query
 def sanitize_query(spark, at):
-    return read(spark, at, "documents").select("doc_id", T.sanitize_query(F.col("text")).alias("query"))
+    return spread(read(spark, at, "documents").select("doc_id", "text")).select("doc_id", T.sanitize_query(F.col("text")).alias("query"))
 
 
 sql("sanitize_query", r"""select doc_id, array_to_string(list_transform(list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}_]+'), lambda x: x <> ''), lambda x: '"' || x || '"'), ' ') as query from documents""")
@@ -616,7 +616,7 @@ sql("json_extract", "select event_id, coalesce(try_cast(json_extract_string(prop
 @query
 def markdown_sections(spark, at):
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 3 == 1, F.concat(F.lit("## "), x)).otherwise(x))
-    d = read(spark, at, "documents").select("doc_id", F.array_join(lines, "\n").alias("md"))
+    d = spread(read(spark, at, "documents").select("doc_id", "text")).select("doc_id", F.array_join(lines, "\n").alias("md"))
     s = chunking.markdown_sections(d, "doc_id", "md")
     return s.select("doc_id", F.col("ord").cast("int").alias("ord"), F.md5(F.col("name").cast("binary")).alias("name"), F.md5(F.col("source").cast("binary")).alias("source"), F.md5(F.col("embed_text").cast("binary")).alias("embed_text"))
 
