@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.lexical import spread
 from ._common import frugal, held_out
 
 UND = "und"
@@ -174,7 +175,7 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> Data
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
     model = fit(docs.where(~held_out("doc_id", 2, 4)))
     out = identify(docs.select("doc_id", "text"), model)
     return out.select(F.col("id").alias("doc_id"), held_out("id", 2, 4).alias("held_out"), "lang_pred", "score", "rejected")

@@ -33,6 +33,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.lexical import spread
 from ._common import Scratch, held_out, no_null, partitions
 from ._words import LOWER, mix, slices, word_hashes, words
 
@@ -320,7 +321,7 @@ class KneserNey:
 
 
 def op10_kneser_ney(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     model = KneserNey.fit(docs.where(~held_out("doc_id", 2, 7)))
     out = model.score(docs.select("doc_id", "text"))
     return out.select(F.col("id").alias("doc_id"), held_out("id", 2, 7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", F.expr("pow(10D, -score / n_tokens)").alias("perplexity"))

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.lexical import spread
 from ._common import Scratch, frugal, no_null
 
 TOKENIZER = "byte_bpe_50k"
@@ -200,7 +201,7 @@ def pack(parts: DataFrame, scratch: Scratch, length: int = SEQUENCE, rounds: int
 
 
 def op7_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     scratch = Scratch(spark, "packing")
     found = scratch.save(pieces(docs), "pieces")
     return pack(found, scratch).withColumnRenamed("id", "doc_id")

@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.lexical import spread
 from ._common import WORD, Scratch, frugal, no_null
 from ._graph import connected_components
 
@@ -181,5 +182,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op3_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return near_duplicates(docs).select(F.col("id").alias("doc_id"), hex_print().alias("fingerprint"), "component_id")

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.lexical import spread
 from . import _vp8l
 from ._common import Scratch, frugal, no_null
 from ._vp8l import CACHE_HASH, LENGTH_ORDER, PLANE, riff
@@ -420,7 +421,7 @@ def decode_column(media: DataFrame, media_col: str = "media") -> DataFrame:
 
 
 def op6_webp_media(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     stored = Scratch(spark, "media").save(encode_column(docs), "webp", "none")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
