@@ -6,7 +6,8 @@ size, and each packs its own by best-fit decreasing. Lower bounds from dual-feas
 composition) say how few bins a partition's pieces need. A partition whose bins meet its bound
 keeps all but its emptiest bin; one with a gap hands over every bin that has room. What is
 handed over is dealt anew, by another hash and to fewer partitions, and packed again, until the
-bins in all meet the bound of all pieces or a single partition has repacked the rest.
+bins in all meet the bound of all pieces, a single partition has repacked the rest, or a turn has
+saved no bin.
 """
 
 from __future__ import annotations
@@ -167,36 +168,36 @@ def _repack(turn: int, last: bool, length: int):
     return run
 
 
-def pack(parts: DataFrame, scratch: Scratch, length: int = SEQUENCE, rounds: int = 6) -> DataFrame:
+def pack(parts: DataFrame, scratch: Scratch, length: int = SEQUENCE) -> DataFrame:
     """parts with sequence_id long and offset long: which sequence a piece is in, and where.
 
     parts has the columns of pieces() (others are kept). Offsets in a sequence run on from 0
-    without gaps. Every row is a piece of its own, repeated rows too; an empty table gives an
-    empty result. Columns named sequence_id, offset or beginning with _lw_ must not be there.
+    without gaps. Every row is a piece of its own, repeated rows too, which are dealt to
+    partitions like others; an empty table gives an empty result. Columns named sequence_id or
+    offset are replaced; names beginning with _lw_ are taken.
     """
+    parts = parts.drop("sequence_id", "offset")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields)
     counts = parts.groupBy("length").count().collect()  # `length` rows at most
     bound = lower_bound(np.array([r[0] for r in counts]), np.array([r[1] for r in counts]), length)
-    waiting, done, fixed = parts, None, 0
+    waiting, done, fixed, turn, before = parts, None, 0, 0, None
     left = sum(r[1] for r in counts)
-    for turn in range(rounds):
+    while True:
         n = max(1, -(-left // PARTITION_PIECES)) if turn else max(1, -(-left // (PARTITION_PIECES // 4)))
-        last = n == 1 or turn == rounds - 1
-
-        salted = waiting.withColumn("_lw_part", F.pmod(F.xxhash64("id", "piece", "ids_crc32", F.lit(turn)), F.lit(n)).cast("int"))
-        packed = salted.groupBy("_lw_part").applyInPandas(_repack(turn, last, length), f"{kinds}, sequence_id long, offset long, _lw_again boolean")
+        salted = waiting.withColumn("_lw_part", F.pmod(F.xxhash64("id", "piece", F.monotonically_increasing_id(), F.lit(turn)), F.lit(n)).cast("int"))
+        packed = salted.groupBy("_lw_part").applyInPandas(_repack(turn, n == 1, length), f"{kinds}, sequence_id long, offset long, _lw_again boolean")
         packed = scratch.save(packed, f"packed{turn}")
         kept = packed.where("not _lw_again").drop("_lw_again")
         done = kept if done is None else done.union(kept)
-        fixed += kept.where("offset = 0").count()
-        if last:
+        if n == 1:
             break
-        waiting = packed.where("_lw_again").select(*parts.columns)
-        left = waiting.count()
-        again = packed.where("_lw_again and offset = 0").count()
-        if fixed + again == bound or not left:  # certified: no packing has fewer
+        fixed += kept.where("offset = 0").count()
+        again = packed.where("_lw_again").agg(F.count("*"), F.count_if(F.col("offset") == 0)).first()
+        left, now = again[0], fixed + again[1]
+        if now == bound or not left or (before is not None and now >= before):  # certified, or a turn that has saved nothing
             done = done.union(packed.where("_lw_again").drop("_lw_again"))
             break
+        waiting, before, turn = packed.where("_lw_again").select(*parts.columns), now, turn + 1
     return done
 
 

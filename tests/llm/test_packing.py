@@ -76,3 +76,31 @@ def test_query(spark, docs_of, tmp_path, monkeypatch):
     assert bound <= len(seqs) <= bound + 2
     docs_of([]).write.parquet(f"{tmp_path}/e/documents.parquet")
     assert packing.op7_best_fit_packing(spark, f"{tmp_path}/e").count() == 0
+
+
+def test_repeated_rows_are_parted(spark, docs_of, monkeypatch):
+    """A third of all pieces are one row: no partition packs them all, and the result is as good as the bound allows."""
+    from pyspark.sql import functions as F
+
+    from lodewell.llm._common import Scratch
+
+    monkeypatch.setattr(packing, "PARTITION_PIECES", 400)
+    rows = [(7, 0, 0, 900, 1)] * 600 + [(i, 0, 0, 1 + i % 700, i) for i in range(1200)]
+    parts = spark.createDataFrame(rows, "id long, piece int, start long, length long, ids_crc32 long").withColumns({"sequence_id": F.lit("old"), "mine": F.lit("kept")})
+    scratch = Scratch(spark, "t")
+    seen, run = [], packing._repack
+    monkeypatch.setattr(packing, "_repack", lambda turn, last, length: seen.append(last) or run(turn, last, length))
+    got = packing.pack(parts, scratch).collect()
+    assert len(got) == len(rows) and {r.mine for r in got} == {"kept"} and len(seen) > 1
+    seqs = {}
+    for r in got:
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in seqs.values():
+        at = 0
+        for o, n in sorted(own):
+            assert o == at
+            at += n
+        assert at <= 2048
+    first = {r.sequence_id >> 32 for r in got if r.id == 7 and r.sequence_id >> 56 == 0}
+    assert len(first) > 3  # the repeated row was in several partitions
+    assert len(seqs) <= packing.best_fit_decreasing(np.array([x[3] for x in rows]), 2048)[2] + 3  # as one partition with them all would
