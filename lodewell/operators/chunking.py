@@ -61,13 +61,35 @@ def _span(lines: list[str], node: ast.AST) -> str:
     return b"\n".join(first).decode()
 
 
-def _python(text: str, starlark: bool = False) -> list[tuple[str, str, str]]:
+#: Lines without indent that go on with the statement before, and those that belong to the one after.
+_ON, _AHEAD = re.compile(r"[\])}]|(?:else|elif|except|finally)\b|#|$"), re.compile(r"@")
+
+
+def _trees(text: str) -> list[ast.AST]:
+    """The syntax trees of a file: one, or if it can't be parsed those of its top-level statements that can."""
     try:
-        tree = ast.parse(text)
+        return [ast.parse(text)]
     except (SyntaxError, ValueError):
-        return []
+        pass
+    lines, starts, ahead = text.split("\n"), [], False
+    for i, line in enumerate(lines):
+        if line[:1].isspace() or _ON.match(line):
+            continue
+        if not ahead:
+            starts.append(i)
+        ahead = bool(_AHEAD.match(line))
+    out = []
+    for a, b in zip(starts, [*starts[1:], len(lines)], strict=True):
+        try:
+            out.append(ast.increment_lineno(ast.parse("\n".join(lines[a:b])), a))
+        except (SyntaxError, ValueError):
+            continue
+    return out
+
+
+def _python(text: str, starlark: bool = False) -> list[tuple[str, str, str]]:
     lines, found = text.replace("\r\n", "\n").split("\n"), []
-    for node in ast.walk(tree):
+    for node in (n for tree in _trees("\n".join(lines)) for n in ast.walk(tree)):
         if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
             found.append((node, "function", node.name))
         elif isinstance(node, ast.ClassDef) and not starlark:
@@ -102,7 +124,7 @@ def _end(bare: str, at: int) -> int:
     return len(bare)
 
 
-_RUST = re.compile(r"^[ \t]*((?:pub(?:\([^)]*\))?[ \t]+)?(?:(?:async|const|unsafe|default|extern(?:[ \t]+\"[^\"]*\")?)[ \t]+)*(fn|struct|enum|trait|impl)\b[ \t]*([A-Za-z_]\w*)?)", re.M)
+_RUST = re.compile(r"(?:^|(?<=[{};]))[ \t]*((?:pub(?:\([^)]*\))?[ \t]+)?(?:(?:async|const|unsafe|default|extern(?:[ \t]+\"[^\"]*\")?)[ \t]+)*(fn|struct|enum|trait|impl)\b[ \t]*([A-Za-z_]\w*)?)", re.M)
 _RUST_KINDS = {"fn": "function", "struct": "struct", "enum": "enum", "trait": "trait", "impl": "impl"}
 
 

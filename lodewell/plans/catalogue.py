@@ -6,6 +6,8 @@ vectors, notes, cache entries and paths. Floats are rounded to six digits.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -644,6 +646,55 @@ def chunk_files(spark, at):
     return chunking.chunk_files(files)
 
 
+#: What a parser finds in SOURCES, written by hand: path, kind, name and where in the text each chunk begins and ends.
+CHUNKS = [
+    ("a/lib.rs", "struct", "P", "pub struct P { x: u8 }"),
+    ("a/lib.rs", "impl", "(anonymous)", "impl P {\n    fn new() -> Self { P { x: 1 } }\n}"),
+    ("a/lib.rs", "function", "new", "fn new() -> Self { P { x: 1 } }"),
+    ("a/lib.rs", "impl", "(anonymous)", "impl Clone for P { fn clone(&self) -> P { P { x: 0 } } }"),
+    ("a/lib.rs", "function", "clone", "fn clone(&self) -> P { P { x: 0 } }"),
+    ("a/m.py", "class", "A", "class A:\n    def f(self):\n        def g():\n            return 1\n        return g"),
+    ("a/m.py", "function", "f", "def f(self):\n        def g():\n            return 1\n        return g"),
+    ("a/m.py", "function", "g", "def g():\n            return 1"),
+    ("a/m.py", "function", "h", "def h():\n    pass"),
+    ("a/m.go", "type_decl", "A", "type (\n\tA struct{ x int }\n\tB int\n)"),
+    ("a/m.go", "type_decl", "B", "type (\n\tA struct{ x int }\n\tB int\n)"),
+    ("a/m.go", "method", "F", "func (a A) F() int { return a.x }"),
+    ("a/m.go", "function", "G", "func G() {}"),
+    ("a/c.yaml", "block_mapping", "a", "a:\n  b: 1\n  c:\n    d: x"),
+    ("a/c.yaml", "block_mapping", "b", "b: 1"),
+    ("a/c.yaml", "block_mapping", "c", "c:\n    d: x"),
+    ("a/c.yaml", "block_mapping", "d", "d: x"),
+    ("a/c.yaml", "block_mapping", "e", "e: 2"),
+    ("a/BUILD", "expression", "load", 'load(":x.bzl", "y")'),
+    ("a/BUILD", "expression", "rule", 'rule(name = "p")'),
+    ("a/BUILD", "expression", "rule", 'rule(name = "q")'),
+    ("a/BUILD", "function", "m", "def m():\n    pass"),
+    ("a/r.md", "section", "(preamble)", "intro"),
+    ("a/r.md", "section", "One", "# One\ntext\n```"),
+    ("a/r.md", "section", "in a fence", "# in a fence\n```"),
+    ("a/r.md", "section", "tag", "#tag"),
+]
+
+
+def text_sql(x: str) -> str:
+    """A string as SQL, control characters by their codes."""
+    return "(" + " || ".join(f"'{p}'" if p >= " " else f"chr({ord(p)})" for p in re.split(r"([\n\t])", x.replace("'", "''")) if p) + ")"
+
+
+sql("chunk_files", "select source_path, (row_number() over (partition by source_path order by i) - 1)::int as ord, kind, name, source, source as embed_text from (values " + ", ".join(f"({i}, {', '.join(map(text_sql, c))})" for i, c in enumerate(CHUNKS)) + ") as t(i, source_path, kind, name, source)")
+TWO = {"a0": (1, 0), "a1": (0.94, 0.342), "a2": (0.94, -0.342), "b0": (-1, 0), "b1": (-0.94, 0.342), "b2": (-0.94, -0.342)}
+
+
+@query
+def leiden_two_clusters(spark, at):
+    v = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in TWO.items()], "id string, vector array<double>")
+    return graph.leiden(graph.symmetric(graph.knn(v, 8, "id", "vector")), v.select("id"))
+
+
+sql("leiden_two_clusters", "select id, case when id < 'b' then 0 else 1 end as community from (values ('a0'), ('a1'), ('a2'), ('b0'), ('b1'), ('b2')) t(id)")
+
+
 @query
 def scan_filter_paths(spark, at):
     path = F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "")
