@@ -146,6 +146,7 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, max
     roots = connected_components(links(distinct.select("fp"), max_bits, list_limit), scratch)
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = scratch.save(named, "named")
+    scratch.keep(prints, named)
     return prints, named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
 
 

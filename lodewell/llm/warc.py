@@ -178,6 +178,7 @@ def read(spark, path: str, fields: Callable[[Column, Column, Column], dict[str,
     owner = F.last(F.when(F.col("_chained"), F.col("pos")), True).over(Window.partitionBy("file").orderBy("pos"))
     owned = numbers.join(chain.withColumn("_chained", F.lit(True)), ["file", "pos"], "left").withColumn("_chained", F.coalesce("_chained", F.lit(False))).withColumn("owner", owner)
     owned = scratch.save(owned.where("owner is not null").select("file", "block", "row", "pos", "at", "first", "length", "owner", F.count("*").over(Window.partitionBy("file", "owner")).alias("_n")), "owned")
+    scratch.keep(pieces, owned)
 
     key = ["file", "block", "row"]
     made = lambda body, length: [c.alias(n) for n, c in fields(*_parsed(body)[:2], length).items()]
