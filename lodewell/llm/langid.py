@@ -149,7 +149,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score, rejected), one row for each of docs."""
+    """(id, lang_pred, score, rejected), one row for each of docs.
+
+    Texts that are null, empty or without letters are `und`, scored 0 and rejected; very long ones are
+    read whole. Ids may be null and rows repeated; no other column is looked at, whatever its
+    name. An empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,12 +167,13 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with _lw_lang: struct<lang string, score double, rejected boolean> of each text."""
+    """docs with _lw_lang: struct<lang string, score double, rejected boolean> of each text, as in identify(). All other columns are kept; _lw_lang is taken."""
     at, kinds = docs.columns.index(text_col), [("lang", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = zip(*model.predict(b.column(at).to_pylist()), strict=True)
+            found = model.predict(b.column(at).to_pylist())
+            cols = zip(*found, strict=True) if found else [()] * 3
             found = pa.StructArray.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, kinds, strict=True)], names=[n for n, _ in kinds])
             yield pa.RecordBatch.from_arrays([*b.columns, found], names=[*b.schema.names, "_lw_lang"])
 

@@ -303,7 +303,11 @@ class KneserNey:
         return c[of], np.log10(p)[of_both]
 
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(id, n_tokens, n_known, train_tokens, base_score, score), one row for each of docs; a null text is its end alone."""
+        """(id, n_tokens, n_known, train_tokens, base_score, score), one row for each of docs.
+
+        A null or empty text is its end alone; a very long one is read whole. Ids may be null and rows
+        repeated; no other column is looked at, whatever its name. An empty table gives an empty result.
+        """
         model, most = self, float(self.train_tokens + self.vocabulary + 1)
 
         def run(batches):

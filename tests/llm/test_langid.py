@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 
 from lodewell.llm import langid
@@ -42,3 +44,19 @@ def test_parts_of_long_texts():
         assert (langid.counts(t) == whole).all()
     finally:
         langid._PART = langid_part
+
+
+def test_repeated_rows_nulls_and_clashes(spark, docs_of):
+    from pyspark.sql import functions as F
+
+    words = {"en": "the house and the people of this land were there with water", "de": "der mann und die frau sind nicht in dem haus gewesen", "fr": "les gens de la ville sont dans une maison avec leurs amis"}
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choices(words[k].split(), k=40)), k) for i, k in enumerate(list(words) * 20)]
+    model = langid.fit(docs_of(rows))
+    asked = [(1, words["de"]), (1, words["de"]), (None, words["fr"]), (2, None), (3, ""), (4, "12 345"), (5, (words["en"] + " ") * 5000)]
+    docs = docs_of(asked).withColumns({c: F.lit("own") for c in ("score", "lang_pred", "rejected", "id")})
+    got = sorted((str(x.id), x.lang_pred, x.rejected) for x in langid.identify(docs, model).collect())
+    assert got == [("1", "de", False), ("1", "de", False), ("2", "und", True), ("3", "und", True), ("4", "und", True), ("5", "en", False), ("None", "fr", False)]
+    kept = langid.with_language(docs, model).collect()
+    assert len(kept) == len(asked) and {x.score for x in kept} == {"own"} and sum(not x["_lw_lang"].rejected for x in kept) == 4
+    assert langid.identify(docs_of([]), model).count() == 0 and langid.with_language(docs_of([]), model).count() == 0
