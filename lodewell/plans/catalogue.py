@@ -836,7 +836,7 @@ sql("index_stats", "select count(distinct source) as files, count(*) as chunks,
 @query
 def stream_incremental(spark, at):
     """The documents' ids and languages, taken in as a stream of files, the last row of each id kept."""
-    from ..streaming.incremental import stream_rows
+    from ..streaming.incremental import current, stream_rows
 
     base = f"{scratch_dir(spark)}/stream-{stream_incremental.runs}"
     stream_incremental.runs += 1
@@ -844,10 +844,7 @@ def stream_incremental(spark, at):
     d.repartition(2).write.parquet(f"{base}/in")
     d.where("doc_id % 4 = 0").select("doc_id", F.lit("xx").alias("lang"), F.lit(2).alias("seq")).coalesce(1).write.mode("append").parquet(f"{base}/in")
     stream_rows(spark, f"{base}/in", d.schema, f"{base}/log", f"{base}/out", "doc_id", "seq")
-    fs = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/out")
-    done = [s.getPath().getName() for s in fs.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(fs)]
-    last = max(int(n[1:]) for n in done)
-    return spark.read.schema(d.schema).parquet(f"{base}/out/v{last}").select("doc_id", "lang")
+    return current(spark, f"{base}/out", d.schema).select("doc_id", "lang")
 
 
 stream_incremental.runs = 0

@@ -128,3 +128,19 @@ def test_registry(spark, tmp_path):
     assert len(registry.all()) == 2 and registry.gc() == 1
     registry.remove(str(tmp_path / "b"))
     assert registry.all() == [str(tmp_path / "c" / ".lodewell")] and not (tmp_path / "b" / ".lodewell").exists()
+
+
+def test_stream_rewrites_the_buckets_it_has_keys_of(spark, tmp_path):
+    from lodewell.streaming.incremental import _manifest, current, stream_rows
+
+    schema = "k long, v string, seq int"
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    run = lambda: stream_rows(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema, f"{tmp_path}/log", f"{tmp_path}/out", "k", "seq", buckets=8)
+    put([(i, "a", 1) for i in range(100)])
+    run()
+    put([(3, "b", 2), (200, "new", 1), (4, "old", 0)])
+    run()
+    last, own = _manifest(spark, f"{tmp_path}/out")
+    assert last == 1 and sorted(set(own.values())) == [0, 1] and sum(v == 1 for v in own.values()) <= 3
+    got = {r.k: r.v for r in current(spark, f"{tmp_path}/out", schema).collect()}
+    assert got == {i: "a" for i in range(100)} | {3: "b", 200: "new"}
