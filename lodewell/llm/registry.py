@@ -5,6 +5,7 @@ from .langid import op9_language_id
 from .lm import op10_kneser_ney
 from .mixing import OP1_SQL, op1_mixing
 from .packing import op7_best_fit_packing
+from .resample import OP12_SQL, op12_importance_resampling
 from .simhash import op3_simhash_near_dedup
 from .substring import op4_substring_dedup
 from .warc import OP5_SQL, op5_warc
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_winnowing": op8_winnowing,
     "op9_language_id": op9_language_id,
     "op10_kneser_ney": op10_kneser_ney,
+    "op12_importance_resampling": op12_importance_resampling,
 }
-ORACLE_SQL = {"op1_mixing": OP1_SQL, "op5_warc": OP5_SQL}
+ORACLE_SQL = {"op1_mixing": OP1_SQL, "op5_warc": OP5_SQL, "op12_importance_resampling": OP12_SQL}
