@@ -8,6 +8,7 @@ from .packing import op7_best_fit_packing
 from .resample import OP12_SQL, op12_importance_resampling
 from .simhash import op3_simhash_near_dedup
 from .substring import op4_substring_dedup
+from .trie import OP13_SQL, op13_conversation_trie
 from .warc import OP5_SQL, op5_warc
 from .webp import op6_webp_media
 from .winnow import op8_winnowing
@@ -24,5 +25,6 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_kneser_ney": op10_kneser_ney,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_conversation_trie": op13_conversation_trie,
 }
-ORACLE_SQL = {"op1_mixing": OP1_SQL, "op5_warc": OP5_SQL, "op12_importance_resampling": OP12_SQL}
+ORACLE_SQL = {"op1_mixing": OP1_SQL, "op5_warc": OP5_SQL, "op12_importance_resampling": OP12_SQL, "op13_conversation_trie": OP13_SQL}
