@@ -2,6 +2,7 @@
 
 from .kdtree import op2_kdtree_sharding
 from .langid import op9_language_id
+from .licenses import op11_license_scans
 from .lm import op10_kneser_ney
 from .mixing import OP1_SQL, op1_mixing
 from .packing import op7_best_fit_packing
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_winnowing": op8_winnowing,
     "op9_language_id": op9_language_id,
     "op10_kneser_ney": op10_kneser_ney,
+    "op11_license_scans": op11_license_scans,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_conversation_trie": op13_conversation_trie,
 }
