@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -40,3 +40,18 @@ def _drop(spark: SparkSession, at: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     except Exception:  # the session has ended: the folder's owner clears it
         pass
+
+
+def saved(df: DataFrame, tag: str) -> DataFrame:
+    """df as a written table: lineage ends there, and sizes are those of its files (a checkpoint's are estimates, which grow exponentially over rounds of joins)."""
+    spark, at = df.sparkSession, f"{scratch_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._scratch_path = at
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that saved() wrote, once nothing reads them any more."""
+    for df in tables:
+        _drop(df.sparkSession, df._scratch_path)
