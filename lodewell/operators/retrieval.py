@@ -122,15 +122,3 @@ def mmr(cands: DataFrame, k: int, lam: float, id_col: str, by: str | None = None
 
     return cands.select(*keys, id_col, score, vector_col).groupBy(*keys).applyInPandas(select, out)
 
-
-def lsh_topk(vectors: DataFrame, query, k: int, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = 16, bits: int = 4, seed: int = 7) -> DataFrame:
-    """Approximate nearest vectors: those that share a bucket of random hyperplanes with the query in some table, ranked exactly."""
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, len(query)))
-    side = planes @ np.asarray(query, float) >= 0
-    same = F.lit(False)
-    for t in range(tables):
-        here = F.lit(True)
-        for b in range(bits):
-            here = here & ((V.dot(F.col(vector_col), V.literal(planes[t, b])) >= 0) == F.lit(bool(side[t, b])))
-        same = same | here
-    return vector_topk(vectors.where(same), query, k, id_col, vector_col)

@@ -15,7 +15,7 @@ from .. import formatting
 from ..functions import hashing as H
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import chunking, graph, incremental, retrieval
+from ..operators import chunking, graph, incremental, proximity, retrieval
 from ..sources import scan
 from ..sources.lexical import LexicalIndex, spread
 from ..sources.scratch import scratch_dir
@@ -69,10 +69,11 @@ def six_sql(x: str) -> str:
 @query
 def vector_topk(spark, at):
     v = read(spark, at, "embeddings")
-    return retrieval.vector_topk(v, query_vector(v), 10).withColumn("score", six("score"))
+    return proximity.batch_topk(fiftieth(spark, at), v, 10).withColumn("score", six("score"))
 
 
-sql("vector_topk", f"select vec_id, {six_sql('s')} as score from (select vec_id, {dot_sql('embedding', Q0)} s from embeddings) order by round(s, 9) desc, vec_id limit 10")
+sql("vector_topk", f"""select q.vec_id as query, v.vec_id, {six_sql(dot_sql('q.embedding', 'v.embedding'))} as score, row_number() over (partition by q.vec_id order by round({dot_sql('q.embedding', 'v.embedding')}, 9) desc, v.vec_id)::int as rank
+from embeddings q, embeddings v where q.vec_id % 50 = 0 qualify rank <= 10""")
 
 
 @query
@@ -205,12 +206,6 @@ def leiden(spark, at):
     return graph.leiden(edges(spark, at), read(spark, at, "embeddings").select(F.col("vec_id").alias("id")))
 
 
-@query
-def lsh_topk(spark, at):
-    v = read(spark, at, "embeddings")
-    return retrieval.lsh_topk(v, query_vector(v), 10).withColumn("score", six("score"))
-
-
 def vector_index(spark, at) -> VectorIndex:
     """The stored index of the embeddings, built by an application's first query that needs it."""
     key = (spark.sparkContext.applicationId, f"{at}#vectors")
@@ -221,10 +216,16 @@ def vector_index(spark, at) -> VectorIndex:
     return VectorIndex(spark, _indexes[key])
 
 
+def fiftieth(spark, at) -> DataFrame:
+    """The queries of searches: every vector whose id is divisible by 50."""
+    return read(spark, at, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "embedding")
+
+
 @query
 def ann_topk(spark, at):
-    v = read(spark, at, "embeddings")
-    return vector_index(spark, at).search(query_vector(v), 10).select(F.col("id").alias("vec_id"), six("score").alias("score"))
+    """By the proximity graph."""
+    got = vector_index(spark, at).search_batch(fiftieth(spark, at), 10, vector_col="embedding")
+    return got.select("query", F.col("id").alias("vec_id"), six("score").alias("score"), "rank")
 
 
 @query

@@ -29,8 +29,11 @@ from ..functions import vectors as V
 from ..operators import chunking, graph, incremental, retrieval
 from . import scan
 from .lexical import LexicalIndex
+from .vectors import VectorIndex
 
 LOCK_HOURS = 24
+#: Parts of the vector index, one an update, from which on an update writes it as one.
+PARTS = 8
 TABLES = {"chunks": schemas.CHUNK, "vectors": schemas.VECTOR, "files": schemas.FILE, "cache": schemas.CACHE, "notes": schemas.NOTE}
 
 
@@ -64,8 +67,15 @@ class Index:
         finally:
             stream.close()
 
+    def vectors(self) -> VectorIndex | None:
+        """The chunks' vector index, as of the version in force."""
+        at = self.manifest().get("vectors")
+        return None if at is None else VectorIndex(self.spark, f"{self.path}/vectors", self.similarity, at)
+
     def table(self, name: str) -> DataFrame:
         at = self.manifest().get(name)
+        if name == "vectors" and at is not None:
+            return self.vectors().rows().select("id", "vector")
         return self.spark.createDataFrame([], TABLES[name]) if at is None else self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/data/{at}")
 
     def lexical(self) -> LexicalIndex | None:
@@ -91,11 +101,13 @@ class Index:
         finally:
             self._fs.delete(at, False)
 
-    def commit(self, **tables: DataFrame | None) -> str:
-        """A new version with these tables, the others as they were (not written again). chunks=None: only their inverted index anew."""
+    def commit(self, vectors: VectorIndex | None = None, **tables: DataFrame | None) -> str:
+        """A new version with these tables and this state of the vector index, the others as they were (not written again). chunks=None: only their inverted index anew."""
         now = self.version()
         made, id_ = self.manifest(now), uuid.uuid4().hex
         new, staged, written = f"v-{int(now[2:]) + 1 if now else 1:012d}", f"{self.path}/.staged-{id_}", []
+        if vectors is not None:
+            made["vectors"] = vectors.version
         try:
             for name, df in tables.items():
                 if df is not None:
@@ -129,6 +141,9 @@ class Index:
         for x in self._fs.listStatus(data) if self._fs.exists(data) else []:
             if x.getPath().getName() not in made:
                 self._fs.delete(x.getPath(), True)
+        index = self.vectors()
+        if index is not None:
+            index.vacuum()
         return len(old)
 
     # indexing
@@ -162,19 +177,24 @@ class Index:
         new = probed.where("hit").drop("hit").unionByName(missed)
 
         gone = state.select(F.col("rel_path").alias("source_path"))
-        old = self.table("chunks").join(gone, "source_path", "left_anti")
-        kept = self.table("vectors").join(old.select("id"), "id", "left_semi")
+        known_chunks, index = self.table("chunks"), self.vectors()
+        old = known_chunks.join(gone, "source_path", "left_anti")
         chunks = old.unionByName(new.select("id", "kind", "name", "source_path", "source", F.lit(None).cast("long").alias("community_id")))
-        vectors = kept.unionByName(new.select("id", "vector"))
         files = known.join(state.select("rel_path"), "rel_path", "left_anti").unionByName(fresh.select("rel_path", "mtime_ns", "size"))
         cache = self.table("cache").unionByName(missed.select("content_hash", "vector", F.lit(int(time.time())).alias("created_at")).dropDuplicates(["content_hash"]))
-        if vectors.isEmpty():
-            labelled = chunks
+        if index is None:
+            index = VectorIndex.build(new, "id", "vector", f"{self.path}/vectors")
         else:
-            edges = graph.symmetric(graph.knn(vectors, id_col="id", vector_col="vector"))
-            labelled = incremental.assign(chunks, graph.leiden(edges, vectors.select("id")).withColumnRenamed("community", "community_id"), "id", "community_id")
+            index.remove(known_chunks.join(gone, "source_path", "left_semi").select("id").join(new.select("id"), "id", "left_anti"))
+            index.insert(new.select("id", "vector"))
+            if len(index.made["parts"]) > PARTS:
+                index.compact()
+        index.similarity = self.similarity
+        labelled = chunks
+        if index.made["n"]:
+            labelled = incremental.assign(chunks, graph.leiden(graph.symmetric(index.edges()), index.rows().select("id")).withColumnRenamed("community", "community_id"), "id", "community_id")
         stats = {**{k: counts.get(k, 0) for k in ("new", "changed", "deleted")}, "chunks": probed.count(), "cache_hits": probed.where("hit").count()}
-        self.commit(chunks=labelled.select(*self.table("chunks").columns), vectors=vectors, files=files, cache=cache.select(*self.table("cache").columns))
+        self.commit(vectors=index, chunks=labelled.select(*self.table("chunks").columns), files=files, cache=cache.select(*self.table("cache").columns))
         for df in (state, probed, missed):
             df.unpersist()
         return stats
@@ -193,13 +213,16 @@ class Index:
     def candidates(self, query: str, top_k: int, weight: float, prefix: str | None = None, query_prefix: str = "") -> DataFrame:
         """The chunks that a search for k looks at, with score and vector. prefix filters after they are chosen, so fewer than k may be left."""
         lexical_index = self.lexical() if weight > 0 else None
-        vectors, chunks = self.table("vectors"), self.table("chunks")
-        first = vectors.first()
+        chunks, index = self.table("chunks"), self.vectors()
         q = self.embedder.embed_batch([query_prefix + query])[0]
-        if first is not None and len(first.vector) != len(q):
-            raise StorageError(f"the index has vectors of {len(first.vector)} dimensions, the embedder of {len(q)}: reindex")
         n = retrieval.candidates(top_k)
-        semantic = retrieval.vector_topk(vectors, q, n, "id", "vector", "cos", self.similarity)
+        if index is None:
+            semantic, vectors = self.spark.createDataFrame([], "id string, cos double"), self.table("vectors")
+        else:
+            if index.lists and index.centroids.shape[1] != len(q):
+                raise StorageError(f"the index has vectors of {index.centroids.shape[1]} dimensions, the embedder of {len(q)}: reindex")
+            asked = self.spark.createDataFrame([(0, [float(x) for x in q])], "query int, vector array<double>")
+            semantic, vectors = index.nearest(asked, n).select("id", F.col("score").alias("cos")), index.rows().select("id", "vector")
         lexical = retrieval.normalized(lexical_index.search(query, n)) if lexical_index is not None else self.spark.createDataFrame([], "id string, bm25 double")
         rows = retrieval.hybrid(semantic, lexical, "id", self.settings.search.min_score, weight).join(chunks, "id")
         if prefix:

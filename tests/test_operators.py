@@ -94,15 +94,6 @@ def test_knn_over_blocks(spark):
     assert sorted(map(tuple, graph.knn(v, 5, block=20).select("src", "dst", "rank").collect())) == sorted(map(tuple, graph.knn(v, 5).select("src", "dst", "rank").collect()))
 
 
-def test_lsh_recall(spark):
-    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
-    hit = 0
-    for i in (0, 5, 9):
-        q = v.where(F.col("vec_id") == i).first().embedding
-        hit += len({r.vec_id for r in retrieval.vector_topk(v, q, 10).collect()} & {r.vec_id for r in retrieval.lsh_topk(v, q, 10, tables=40).collect()})
-    assert hit >= 27
-
-
 def test_mmr():
     rel, vecs, ids = np.array([0.9, 0.89, 0.5]), np.array([[1.0, 0], [1.0, 0.01], [0, 1.0]]), ["a", "b", "c"]
     order = lambda lam, k=3: [ids[i] for i, _ in retrieval.mmr_order(rel, vecs, ids, k, lam)]

@@ -15,7 +15,6 @@ from lodewell.operators import retrieval
 from lodewell.sources.index import Index
 from lodewell.sources.lexical import LexicalIndex
 from lodewell.sources.registry import Registry, path_key
-from lodewell.sources.vectors import VectorIndex
 
 TEXTS = [("a", "one", "of the people of the land"), ("b", "of", "the of"), ("c", None, "Of_the THE of the"), ("d", "", ""), ("e", "x", None), ("f", "und von", "von und von " * 30), ("g", "of of of", "of of")]
 
@@ -44,31 +43,6 @@ def test_lexical_reads_its_terms_only(spark, lexical):
     assert empty.search("the").count() == 0 and empty.postings().count() == 0
 
 
-@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
-def test_recall_of_vector_lists(spark, tmp_path, sf):
-    """As queried: the share of lists that a search reads by default finds 0.9 of the ten nearest or more."""
-    v = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
-    index = VectorIndex.build(v, "vec_id", "embedding", str(tmp_path))
-    rows = spark.read.parquet(f"{tmp_path}/vectors").collect()
-    at, of, ids = np.array([r.vector for r in rows], float), np.array([r.list for r in rows]), np.array([r.id for r in rows])
-    assert len(rows) == v.count()
-    hit = read = 0
-    queries = [i for i in range(len(rows)) if ids[i] % 10 == 0][:200]
-    for i in queries:
-        score = at @ at[i]
-        best = set(ids[np.lexsort((ids, -np.round(score, 9)))[:10]])
-        there = np.isin(of, index.nearest(at[i]))
-        own = np.flatnonzero(there)
-        hit += len(best & set(ids[own[np.lexsort((ids[own], -np.round(score[own], 9)))[:10]]]))
-        read += there.mean()
-    print(sf, hit / len(queries) / 10, read / len(queries))
-    assert hit >= 9 * len(queries)
-    got = [r.id for r in index.search(at[queries[0]].tolist(), 10).collect()]
-    exact = [r.vec_id for r in retrieval.vector_topk(v, at[queries[0]].tolist(), 10).collect()]
-    assert got[0] == exact[0] and len(set(got) & set(exact)) >= 8
-    assert [r.id for r in index.search(at[queries[0]].tolist(), 10, probes=len(index.lists)).collect()] == exact
-
-
 def chunks_of(index):
     return sorted(r.name for r in index.table("chunks").collect())
 
