@@ -14,7 +14,7 @@ KINDS = {
     "method": "method", "type_decl": "type", "block_mapping": "mapping", "expression": "expression", "section": "section",
 }
 #: Tags that older tables have.
-LEGACY = {"function_item": "function", "function_definition": "function", "function_declaration": "function", "struct_item": "struct", "enum_item": "enum", "trait_item": "trait", "impl_item": "impl", "class_definition": "class", "method_declaration": "method", "type_declaration": "type_decl", "block_mapping_pair": "block_mapping", "expression_statement": "expression"}
+LEGACY = {"function_item": "function", "function_definition": "function", "function_declaration": "function", "struct_item": "struct", "enum_item": "enum", "trait_item": "trait", "impl_item": "impl", "class_definition": "class", "method_declaration": "method", "type_declaration": "type_decl", "type_spec": "type_decl", "block_mapping_pair": "block_mapping", "expression_statement": "expression"}
 
 
 def _plain() -> tuple[str, str]:

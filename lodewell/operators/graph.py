@@ -6,7 +6,6 @@ constant Potts objective: the sum over communities of w - gamma * n * (n - 1) /
 
 from __future__ import annotations
 
-import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -15,12 +14,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..sources.scratch import scratch_dir
+from ..sources.scratch import dropped, saved
 
 GAMMA, NEIGHBOURS, BLOCK = 0.05, 32, 2048
 MIN_GAIN = 1e-10
-#: Edges of a component that is solved in one task; rounds of moves over a larger one, and the share of its nodes that must be left for it to be worth contracting.
-IN_TASK, ROUNDS, SHRINKS = 2_000_000, 8, 0.95
+#: Edges up to which a component, or a community that is refined, is one task's. Larger ones are solved by joins, to the same end: no node gains by moving, sub-communities are well connected.
+IN_TASK = 2_000_000
 #: Terms of a label vocabulary that are broadcast.
 LABELS = 100_000
 
@@ -105,10 +104,7 @@ def dense_relabel(labels: DataFrame) -> DataFrame:
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    """df as a written table: lineage ends, and sizes are those of its files (a checkpoint's are estimates, which grow exponentially over rounds of joins)."""
-    spark, at = df.sparkSession, f"{scratch_dir(df.sparkSession)}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return saved(df, "graph")
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -219,24 +215,64 @@ def _solved(edges: DataFrame, part: DataFrame, gamma: float) -> DataFrame:
     return own.groupBy("component").applyInPandas(solve, f"id {kind}, community {kind}")
 
 
+def _side(community: str, turn: int):
+    """0 or 1 by a hash: in a turn communities of side 0 give nodes, those of side 1 take them."""
+    return F.pmod(F.xxhash64(community, F.lit(turn)), F.lit(2))
+
+
+def _best_offers(options: DataFrame, node: str, to: str, turn: int, own: str) -> DataFrame:
+    """Of options(node, own, to, gain) each node's best one from a giving to a taking community."""
+    can = options.where((_side(own, turn) == 0) & (_side(to, turn) == 1))
+    first = F.row_number().over(Window.partitionBy(node).orderBy(F.round("gain", 9).desc(), to))
+    return can.withColumn("_f", first).where("_f = 1").drop("_f")
+
+
+def _nth(by: list[str], node: str):
+    return F.row_number().over(Window.partitionBy(*by).orderBy(F.col("gain").desc(), node))
+
+
+def move_options(edges: DataFrame, labels: DataFrame, gamma: float = GAMMA) -> DataFrame:
+    """(id, own, c, gain): all communities that a node gains by moving to."""
+    to = labels.select(F.col("id").alias("dst"), F.col("community").alias("c"))
+    n = sizes(labels)
+    pull = both_ways(edges).join(to, "dst").groupBy(F.col("src").alias("id"), "c").agg(F.sum("sim").alias("w"))
+    own = labels.withColumnRenamed("community", "own")
+    stay = own.join(pull.withColumnRenamed("c", "own").withColumnRenamed("w", "here"), ["id", "own"], "left").join(n.withColumnRenamed("community", "own").withColumnRenamed("n", "own_n"), "own")
+    stay = stay.select("id", "own", (F.coalesce("here", F.lit(0.0)) - gamma * (F.col("own_n") - 1)).alias("stay"))
+    seen = pull.join(n.withColumnRenamed("community", "c"), "c").join(stay, "id").where("c <> own")
+    return seen.select("id", "own", "c", (F.col("w") - gamma * F.col("n") - F.col("stay")).alias("gain")).where(F.col("gain") > MIN_GAIN)
+
+
 def moved(edges: DataFrame, nodes: DataFrame, gamma: float = GAMMA) -> DataFrame:
-    """(id, community) by local moves of all nodes in rounds: joins and sums only. Half of the nodes (another half each round) may move, so that neighbours don't swap."""
-    now = _checkpointed(nodes.select("id", F.col("id").alias("community")))
-    still = 0
-    for turn in range(ROUNDS):
-        gain = move_gain(edges, now, gamma).where((F.col("gain") > MIN_GAIN) & (F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0))
-        after = _checkpointed(now.join(gain.select("id", "best"), "id", "left").select("id", F.coalesce("best", "community").alias("community"), F.col("best").isNotNull().alias("_moved")))
-        still = still + 1 if after.where("_moved").isEmpty() else 0
-        now = after.drop("_moved")
-        if still == 2:
-            break
-    return now
-
-
-def refined(edges: DataFrame, coarse: DataFrame, gamma: float = GAMMA) -> DataFrame:
-    """(id, community): sub-communities of coarse(id, community), each community's in one task. A community has at most twice the greatest degree over gamma members: one whose members gain by staying has no more."""
+    """(id, community) by local moves until no node gains by one, in turns of joins and sums.
+
+    Half of the communities (by a hash of the turn) give nodes and the others take them, so what a
+    node gains by its move doesn't depend on the neighbours that move at once, but for sizes: the
+    r-th node that a community takes finds it r - 1 larger, the r-th that one gives leaves it
+    smaller. Nodes move whose gain is over gamma times both, best first. So the objective grows by
+    every move, and moves come to an end.
+    """
+    now, turn = _checkpointed(nodes.select("id", F.col("id").alias("community"))), 0
+    while True:
+        options = _checkpointed(move_options(edges, now, gamma))
+        most = options.agg(F.max("gain")).first()[0]
+        if most is None:
+            dropped(options)
+            return now
+        while (best := _best_offers(options, "id", "c", turn, "own")).isEmpty():
+            turn += 1
+        most = int(min(most / gamma, 1e9)) + 2 if gamma > 0 else 1 << 30
+        best = best.withColumn("_b", _nth(["c"], "id")).where(F.col("_b") <= most).withColumn("_a", _nth(["own"], "id")).where(F.col("_a") <= most)  # no more can pass
+        go = best.where(F.col("gain") > gamma * (F.col("_b") + F.col("_a") - 2)).select("id", F.col("c").alias("_to"))
+        after = _checkpointed(now.join(go, "id", "left").select("id", F.coalesce("_to", "community").alias("community")))
+        dropped(now, options)
+        now, turn = after, turn + 1
+
+
+def refined(edges: DataFrame, coarse: DataFrame, gamma: float = GAMMA, in_task: int = IN_TASK) -> DataFrame:
+    """(id, community): sub-communities of coarse(id, community), each well connected to the rest of its community. A community of up to in_task edges is one task's."""
     kind = coarse.schema["id"].dataType.simpleString()
-    inner = edges.join(coarse.toDF("src", "c"), "src").join(coarse.toDF("dst", "d"), "dst").where("c = d").select("c", "src", "dst", "sim")
+    inner = _checkpointed(edges.join(coarse.toDF("src", "c"), "src").join(coarse.toDF("dst", "d"), "dst").where("c = d").select("c", "src", "dst", "sim"))
 
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(np.r_[pdf.src.to_numpy(), pdf.dst.to_numpy()])
@@ -247,18 +283,57 @@ def refined(edges: DataFrame, coarse: DataFrame, gamma: float = GAMMA) -> DataFr
             least.setdefault(c, i)
         return pd.DataFrame({"id": ids, "community": [least[c] for c in got]})
 
-    found = inner.groupBy("c").applyInPandas(solve, f"id {kind}, community {kind}")
+    large = _checkpointed(inner.groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") > in_task).select("c"))
+    found = inner.join(large, "c", "left_anti").groupBy("c").applyInPandas(solve, f"id {kind}, community {kind}")
+    if not large.isEmpty():
+        found = found.union(_refined_by_joins(inner.join(large, "c", "left_semi"), coarse.withColumnRenamed("community", "c").join(large, "c", "left_semi"), gamma))
     alone = coarse.join(found, "id", "left_anti").select("id", F.col("id").alias("community"))
     return found.union(alone)
 
 
+def _refined_by_joins(inner: DataFrame, nodes: DataFrame, gamma: float) -> DataFrame:
+    """The same for communities of any size, nodes(id, c) and their inner edges: in a turn giving nodes that are alone join taking sub-communities.
+
+    Who joins one, by gain, is limited as in moved(), and to the longest beginning of that order with
+    which it stays well connected to the rest; edges among those who join count.
+    """
+    both = _checkpointed(inner.select("c", "src", "dst", "sim").union(inner.select("c", "dst", "src", "sim")))
+    whole = _checkpointed(nodes.groupBy("c").agg(F.count("*").alias("of")))
+    now, turn, col = _checkpointed(nodes.select("id", "c", F.col("id").alias("sub"))), 0, F.col
+    while True:
+        at = now.select("id", "sub")
+        pull = both.join(at.toDF("src", "s"), "src").join(at.toDF("dst", "t"), "dst").where("s <> t").groupBy("c", "s", "t").agg(F.sum("sim").alias("w"))
+        pull = _checkpointed(pull)
+        n, out = now.groupBy("c", "sub").agg(F.count("*").alias("n")), pull.groupBy("s").agg(F.sum("w").alias("out"))
+        s = n.join(out.withColumnRenamed("s", "sub"), "sub", "left").select("c", "sub", "n", F.coalesce("out", F.lit(0.0)).alias("out"))
+        one, other = s.where("n = 1").select(col("sub").alias("s"), col("out").alias("s_out")), s.select(col("sub").alias("t"), col("n").alias("t_n"), col("out").alias("t_out"))
+        options = pull.join(one, "s").join(other, "t").join(whole, "c").withColumn("gain", col("w") - gamma * col("t_n"))
+        fits = col("s_out") + col("t_out") - 2 * col("w") >= gamma * (col("t_n") + 1) * (col("of") - col("t_n") - 1)
+        options = _checkpointed(options.where((col("gain") > MIN_GAIN) & fits))
+        if options.isEmpty():
+            dropped(pull, options, both)
+            return now.select("id", col("sub").alias("community"))
+        while (best := _best_offers(options, "s", "t", turn, "s")).isEmpty():
+            turn += 1
+        best = _checkpointed(best.withColumn("r", _nth(["t"], "s")).where(col("gain") > gamma * (col("r") - 1)))
+        a, b = best.select("s", "t", "r"), best.select(col("s").alias("s2"), col("t").alias("t2"), col("r").alias("r2"))
+        among = pull.select("s", col("t").alias("s2"), "w").join(a, "s").join(b, "s2").where("t = t2 and r2 < r").groupBy("s").agg(F.sum("w").alias("among"))
+        upto = Window.partitionBy("t").orderBy("r")
+        left = F.sum(col("s_out") - 2 * col("w") - 2 * F.coalesce("among", F.lit(0.0))).over(upto) + col("t_out")
+        ok = left >= gamma * (col("t_n") + col("r")) * (col("of") - col("t_n") - col("r"))
+        go = best.join(among, "s", "left").withColumn("last", F.when(ok, col("r"))).withColumn("last", F.max("last").over(Window.partitionBy("t"))).where("r <= last").select(col("s").alias("sub"), col("t").alias("_to"))
+        after = _checkpointed(now.join(go, "sub", "left").select("id", "c", F.coalesce("_to", "sub").alias("sub")))
+        dropped(now, pull, options, best)
+        now, turn = after, turn + 1
+
+
 def leiden(edges: DataFrame, nodes: DataFrame, gamma: float = GAMMA, in_task: int = IN_TASK) -> DataFrame:
     """(id, community): dense communities of the graph; nodes(id) without an edge are their own.
 
     Moves only ever lead to a neighbour's community, so connected components are independent: those
-    of at most in_task edges are solved in one task each. Larger ones are shrunk first: local moves
-    in rounds over the whole graph, refinement by community, contraction of sub-communities, until
-    what is left fits or nothing groups any more. Edges without weight connect nothing. After a
+    of at most in_task edges are solved in one task each. Larger ones by the same phases as joins:
+    local moves until no node gains by one, refinement of what is well connected, contraction of
+    sub-communities, until what is left fits a task or nothing groups any more. Edges without weight connect nothing. After a
     contraction a group counts as one member and its edges from both ends, so later turns merge
     further than the objective over single nodes would.
     """
@@ -279,13 +354,10 @@ def leiden(edges: DataFrame, nodes: DataFrame, gamma: float = GAMMA, in_task: in
 
 def _shrunk(edges: DataFrame, nodes: DataFrame, gamma: float, in_task: int) -> DataFrame:
     coarse = moved(edges, nodes, gamma)
-    sub = _checkpointed(refined(edges, coarse, gamma))
-    before, after = nodes.count(), sub.select("community").distinct().count()
-    if after == before:  # nothing groups
+    sub = _checkpointed(refined(edges, coarse, gamma, in_task))
+    if sub.select("community").distinct().count() == nodes.count():  # nothing groups
         return coarse
     smaller = contract(edges, sub).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("weight").alias("sim"))
-    if after > SHRINKS * before:  # hardly anything does: what moves have found stands
-        return coarse
     return _named(sub, leiden(smaller, sub.select(F.col("community").alias("id")).distinct(), gamma, in_task))
 
 

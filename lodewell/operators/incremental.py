@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import saved
+
 
 def classify(disk: DataFrame, known: DataFrame, key: str = "rel_path", stamps: tuple[str, ...] = ("mtime_ns", "size")) -> DataFrame:
     """(key, state): new, changed, unchanged or deleted, from the listing and the manifest."""
@@ -49,9 +51,27 @@ def assign(df: DataFrame, values: DataFrame, key: str, column: str) -> DataFrame
     return df.join(values.select(key, F.col(column).alias("_v")), key, "left").withColumn(column, F.coalesce("_v", column)).drop("_v")
 
 
+def lookup(df: DataFrame, ids: DataFrame | list, key: str) -> DataFrame:
+    """Rows whose key is among ids: a list that someone gives, which goes to the scan as a filter, or a table with that column. Unknown and null ids find nothing; one that is given twice finds its rows once."""
+    if isinstance(ids, list):
+        return df.where(F.col(key).isin([i for i in ids if i is not None]))
+    return df.join(ids.select(key), key, "left_semi")
+
+
+def run_counts(chunks: DataFrame, path: str, content_hash: str, hit: str | None = None) -> DataFrame:
+    """(files, chunks, cache_hits): one row of what an update has taken in. Without a column that says so, a hit is a chunk whose content another one has had."""
+    hits = F.count_if(hit) if hit else F.count(content_hash) - F.count_distinct(content_hash)
+    return chunks.agg(F.count_distinct(path).alias("files"), F.count("*").alias("chunks"), hits.alias("cache_hits"))
+
+
+def stored_notes(rows: DataFrame, tags: str = "tags", timestamp: str = "timestamp") -> DataFrame:
+    """rows as notes: tags are a JSON list, timestamps digits; what isn't is no tag and 0."""
+    return rows.withColumns({tags: F.coalesce(F.from_json(tags, "array<string>"), F.array().cast("array<string>")), timestamp: F.coalesce(F.col(timestamp).try_cast("long"), F.lit(0))})
+
+
 def reindex_positions(df: DataFrame, key: str) -> DataFrame:
     """df with idx, 0 up in the order of the key, by counts of key ranges first."""
-    parts = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_m", F.monotonically_increasing_id())
+    parts = saved(df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_m", F.monotonically_increasing_id()), "positions")  # numbers hold from here on
     parts = parts.withColumns({"_p": F.shiftright("_m", 33), "_i": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))})
     counts = parts.groupBy("_p").agg(F.count("*").alias("_n"))  # a row a partition
     ahead = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_a"))

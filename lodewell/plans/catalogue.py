@@ -520,8 +520,7 @@ sql("notes_topk", f"select vec_id, {six_sql('s')} as score from (select vec_id,
 def notes_scan(spark, at):
     c = read(spark, at, "conversations")
     stored = c.select("conv_id", "turn", "text", F.when(F.col("turn") % 5 == 4, F.lit("[broken")).otherwise(F.to_json(F.array("role"))).alias("tags"), F.when(F.col("turn") % 7 == 6, F.lit("x")).otherwise((F.col("conv_id") * 100 + F.col("turn")).cast("string")).alias("stamp"))
-    tags = F.coalesce(F.from_json("tags", "array<string>"), F.array())
-    return stored.select("conv_id", "turn", "text", F.array_join(tags, ", ").alias("tags"), F.coalesce(F.col("stamp").try_cast("long"), F.lit(0)).alias("timestamp"))
+    return incremental.stored_notes(stored, "tags", "stamp").select("conv_id", "turn", "text", F.array_join("tags", ", ").alias("tags"), F.col("stamp").alias("timestamp"))
 
 
 sql("notes_scan", "select conv_id, turn, text, case when turn % 5 = 4 then '' else role end as tags, case when turn % 7 = 6 then 0 else conv_id * 100 + turn end as timestamp from conversations")
@@ -592,17 +591,23 @@ def preview(spark, at):
 
 
 sql("preview", "select doc_id, left(text, 300) as preview from documents")
-TAGS = {"en": "function_item", "de": "type_declaration", "fr": "section"}
+TAGS = [*T.KINDS, *T.LEGACY, "unheard_of"]
+#: Stored kinds of TAGS, and how they are shown, written by hand.
+STORED = [
+    ("function", "function"), ("struct", "struct"), ("enum", "enum"), ("trait", "trait"), ("impl", "impl"), ("class", "class"), ("method", "method"), ("type_decl", "type"), ("block_mapping", "mapping"), ("expression", "expression"), ("section", "section"),
+    ("function", "function"), ("function", "function"), ("function", "function"), ("struct", "struct"), ("enum", "enum"), ("trait", "trait"), ("impl", "impl"), ("class", "class"), ("method", "method"), ("type_decl", "type"), ("type_decl", "type"), ("block_mapping", "mapping"), ("expression", "expression"),
+    ("function", "function"),
+]
 
 
 @query
 def kind_normalize(spark, at):
-    tag = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in TAGS.items() for x in kv)), F.col("lang")), F.col("lang"))
-    kind = T.kind_from_tag(tag)
-    return read(spark, at, "documents").select("doc_id", kind.alias("kind"), T.kind_shown(kind).alias("shown"))
+    """Every tag there is, and an unknown one, by turns."""
+    tag = F.element_at(F.array(*map(F.lit, TAGS)), (F.col("doc_id") % len(TAGS) + 1).cast("int"))
+    return read(spark, at, "documents").select("doc_id", tag.alias("tag")).select("doc_id", "tag", T.kind_from_tag(F.col("tag")).alias("kind")).withColumn("shown", T.kind_shown(F.col("kind")))
 
 
-sql("kind_normalize", "select doc_id, case lang when 'de' then 'type_decl' when 'fr' then 'section' else 'function' end as kind, case lang when 'de' then 'type' when 'fr' then 'section' else 'function' end as shown from documents")
+sql("kind_normalize", "select doc_id, tag, kind, shown from documents join (values " + ", ".join(f"({i}, '{t}', '{k}', '{s}')" for i, (t, (k, s)) in enumerate(zip(TAGS, STORED, strict=True))) + f") t(i, tag, kind, shown) on doc_id % {len(TAGS)} = i")
 
 
 @query
@@ -630,51 +635,54 @@ h as (select *, case when starts_with(line, '#') and trim(ltrim(line, '#')) <> '
 o as (select *, count(head) over (partition by doc_id order by pos) ord from h),
 s as (select doc_id, ord, coalesce(max(head), '(preamble)') name, string_agg(line, chr(10) order by pos) source from o group by all), e as (select *, regexp_replace(source, '^\s+|\s+$', '', 'g') embed_text from s)
 select doc_id, ord::int as ord, md5(name) as name, md5(source) as source, md5(embed_text) as embed_text from e where embed_text <> ''""")
+#: Files by kind; @ stands for a document's id, $ for its source.
 SOURCES = {
-    "a/lib.rs": "pub struct P { x: u8 }\nimpl P {\n    fn new() -> Self { P { x: 1 } }\n}\nimpl Clone for P { fn clone(&self) -> P { P { x: 0 } } }\n",
-    "a/m.py": "class A:\n    def f(self):\n        def g():\n            return 1\n        return g\n\n\ndef h():\n    pass\n",
-    "a/m.go": "package m\n\ntype (\n\tA struct{ x int }\n\tB int\n)\n\nfunc (a A) F() int { return a.x }\n\nfunc G() {}\n",
-    "a/c.yaml": "a:\n  b: 1\n  c:\n    d: x\ne: 2\n",
-    "a/BUILD": 'load(":x.bzl", "y")\nrule(name = "p")\nrule(name = "q")\n\ndef m():\n    pass\n',
-    "a/r.md": "intro\n# One\ntext\n```\n# in a fence\n```\n#tag\n",
-    "a/x.ts": "export const x = 1;\n",
+    "a/lib@.rs": "pub struct P@ { x: u8 }\nimpl P@ {\n    fn new() -> Self { P@ { x: 1 } }\n}\nimpl Clone for P@ { fn clone(&self) -> P@ { P@ { x: 0 } } }\n",
+    "a/m@.py": "class A@:\n    def f(self):\n        def g():\n            return '$'\n        return g\n\n\ndef h@():\n    pass\n",
+    "a/m@.go": "package m\n\ntype (\n\tA@ struct{ x int }\n\tB@ int\n)\n\nfunc (a A@) F() int { return a.x }\n\nfunc G@() {}\n",
+    "a/c@.yaml": "a@:\n  b: 1\n  c:\n    d: $\ne: 2\n",
+    "a/@/BUILD": 'load(":x.bzl", "y")\nrule(name = "$")\nrule(name = "q@")\n\ndef m@():\n    pass\n',
+    "a/r@.md": "intro\n# One @\ntext\n```\n# in a fence\n```\n#tag\n",
+    "a/x@.ts": "export const x = @;\n",
 }
 
 
 @query
 def chunk_files(spark, at):
-    files = spark.createDataFrame(list(SOURCES.items()), "source_path string, text string")
-    return chunking.chunk_files(files)
+    """A file of source code for each document, whose kind and names go by its id and source."""
+    d = read(spark, at, "documents").select(F.col("doc_id").cast("string").alias("i"), "source", (F.col("doc_id") % len(SOURCES) + 1).cast("int").alias("n"))
+    of = lambda all_: F.replace(F.replace(F.element_at(F.array(*map(F.lit, all_)), F.col("n")), F.lit("@"), F.col("i")), F.lit("$"), F.col("source"))
+    return chunking.chunk_files(spread(d.select(of(SOURCES).alias("source_path"), of(SOURCES.values()).alias("text"))))
 
 
 #: What a parser finds in SOURCES, written by hand: path, kind, name and where in the text each chunk begins and ends.
 CHUNKS = [
-    ("a/lib.rs", "struct", "P", "pub struct P { x: u8 }"),
-    ("a/lib.rs", "impl", "(anonymous)", "impl P {\n    fn new() -> Self { P { x: 1 } }\n}"),
-    ("a/lib.rs", "function", "new", "fn new() -> Self { P { x: 1 } }"),
-    ("a/lib.rs", "impl", "(anonymous)", "impl Clone for P { fn clone(&self) -> P { P { x: 0 } } }"),
-    ("a/lib.rs", "function", "clone", "fn clone(&self) -> P { P { x: 0 } }"),
-    ("a/m.py", "class", "A", "class A:\n    def f(self):\n        def g():\n            return 1\n        return g"),
-    ("a/m.py", "function", "f", "def f(self):\n        def g():\n            return 1\n        return g"),
-    ("a/m.py", "function", "g", "def g():\n            return 1"),
-    ("a/m.py", "function", "h", "def h():\n    pass"),
-    ("a/m.go", "type_decl", "A", "type (\n\tA struct{ x int }\n\tB int\n)"),
-    ("a/m.go", "type_decl", "B", "type (\n\tA struct{ x int }\n\tB int\n)"),
-    ("a/m.go", "method", "F", "func (a A) F() int { return a.x }"),
-    ("a/m.go", "function", "G", "func G() {}"),
-    ("a/c.yaml", "block_mapping", "a", "a:\n  b: 1\n  c:\n    d: x"),
-    ("a/c.yaml", "block_mapping", "b", "b: 1"),
-    ("a/c.yaml", "block_mapping", "c", "c:\n    d: x"),
-    ("a/c.yaml", "block_mapping", "d", "d: x"),
-    ("a/c.yaml", "block_mapping", "e", "e: 2"),
-    ("a/BUILD", "expression", "load", 'load(":x.bzl", "y")'),
-    ("a/BUILD", "expression", "rule", 'rule(name = "p")'),
-    ("a/BUILD", "expression", "rule", 'rule(name = "q")'),
-    ("a/BUILD", "function", "m", "def m():\n    pass"),
-    ("a/r.md", "section", "(preamble)", "intro"),
-    ("a/r.md", "section", "One", "# One\ntext\n```"),
-    ("a/r.md", "section", "in a fence", "# in a fence\n```"),
-    ("a/r.md", "section", "tag", "#tag"),
+    ("a/lib@.rs", "struct", "P@", "pub struct P@ { x: u8 }"),
+    ("a/lib@.rs", "impl", "(anonymous)", "impl P@ {\n    fn new() -> Self { P@ { x: 1 } }\n}"),
+    ("a/lib@.rs", "function", "new", "fn new() -> Self { P@ { x: 1 } }"),
+    ("a/lib@.rs", "impl", "(anonymous)", "impl Clone for P@ { fn clone(&self) -> P@ { P@ { x: 0 } } }"),
+    ("a/lib@.rs", "function", "clone", "fn clone(&self) -> P@ { P@ { x: 0 } }"),
+    ("a/m@.py", "class", "A@", "class A@:\n    def f(self):\n        def g():\n            return '$'\n        return g"),
+    ("a/m@.py", "function", "f", "def f(self):\n        def g():\n            return '$'\n        return g"),
+    ("a/m@.py", "function", "g", "def g():\n            return '$'"),
+    ("a/m@.py", "function", "h@", "def h@():\n    pass"),
+    ("a/m@.go", "type_decl", "A@", "type (\n\tA@ struct{ x int }\n\tB@ int\n)"),
+    ("a/m@.go", "type_decl", "B@", "type (\n\tA@ struct{ x int }\n\tB@ int\n)"),
+    ("a/m@.go", "method", "F", "func (a A@) F() int { return a.x }"),
+    ("a/m@.go", "function", "G@", "func G@() {}"),
+    ("a/c@.yaml", "block_mapping", "a@", "a@:\n  b: 1\n  c:\n    d: $"),
+    ("a/c@.yaml", "block_mapping", "b", "b: 1"),
+    ("a/c@.yaml", "block_mapping", "c", "c:\n    d: $"),
+    ("a/c@.yaml", "block_mapping", "d", "d: $"),
+    ("a/c@.yaml", "block_mapping", "e", "e: 2"),
+    ("a/@/BUILD", "expression", "load", 'load(":x.bzl", "y")'),
+    ("a/@/BUILD", "expression", "rule", 'rule(name = "$")'),
+    ("a/@/BUILD", "expression", "rule", 'rule(name = "q@")'),
+    ("a/@/BUILD", "function", "m@", "def m@():\n    pass"),
+    ("a/r@.md", "section", "(preamble)", "intro"),
+    ("a/r@.md", "section", "One @", "# One @\ntext\n```"),
+    ("a/r@.md", "section", "in a fence", "# in a fence\n```"),
+    ("a/r@.md", "section", "tag", "#tag"),
 ]
 
 
@@ -683,17 +691,21 @@ def text_sql(x: str) -> str:
     return "(" + " || ".join(f"'{p}'" if p >= " " else f"chr({ord(p)})" for p in re.split(r"([\n\t])", x.replace("'", "''")) if p) + ")"
 
 
-sql("chunk_files", "select source_path, (row_number() over (partition by source_path order by i) - 1)::int as ord, kind, name, source, source as embed_text from (values " + ", ".join(f"({i}, {', '.join(map(text_sql, c))})" for i, c in enumerate(CHUNKS)) + ") as t(i, source_path, kind, name, source)")
-TWO = {"a0": (1, 0), "a1": (0.94, 0.342), "a2": (0.94, -0.342), "b0": (-1, 0), "b1": (-0.94, 0.342), "b2": (-0.94, -0.342)}
+sql("chunk_files", "with t as (select * from (values " + ", ".join(f"({i}, {list(SOURCES).index(c[0])}, {', '.join(map(text_sql, c))})" for i, c in enumerate(CHUNKS)) + ") t(i, n, source_path, kind, name, source)), "
+    + "f as (select i, doc_id, " + ", ".join(f"replace(replace(t.{c}, '@', doc_id::varchar), '$', d.source) {c}" for c in ("source_path", "kind", "name", "source")) + f" from documents d join t on d.doc_id % {len(SOURCES)} = n) "
+    + "select source_path, (row_number() over (partition by source_path order by i) - 1)::int as ord, kind, name, source, source as embed_text from f")
 
 
 @query
-def leiden_two_clusters(spark, at):
-    v = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in TWO.items()], "id string, vector array<double>")
-    return graph.leiden(graph.symmetric(graph.knn(v, 8, "id", "vector")), v.select("id"))
+def leiden_groups(spark, at):
+    """Documents of eight ids in a row are all tied to one another, and the last of them to the next eight by less than it is worth."""
+    d = read(spark, at, "documents").select(F.col("doc_id").alias("src"))
+    inner = d.select("src", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("by")).where("src % 8 + by < 8").select("src", (F.col("src") + F.col("by")).alias("dst"), F.lit(1.0).alias("sim"))
+    ties = inner.union(d.where("src % 8 = 7").select("src", F.col("src") + 1, F.lit(0.0001)))
+    return graph.leiden(ties.join(d.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst", "sim"), d.withColumnRenamed("src", "id"))
 
 
-sql("leiden_two_clusters", "select id, case when id < 'b' then 0 else 1 end as community from (values ('a0'), ('a1'), ('a2'), ('b0'), ('b1'), ('b2')) t(id)")
+sql("leiden_groups", "select doc_id as id, (dense_rank() over (order by doc_id // 8) - 1)::bigint as community from documents")
 
 
 @query
@@ -710,7 +722,7 @@ select page_id, path from f where len(list_filter(s[:-2], lambda x: starts_with(
 
 @query
 def filter_max_bytes(spark, at):
-    return read(spark, at, "documents").where("n_chars <= 5000").select("doc_id", "n_chars")
+    return read(spark, at, "documents").where(scan.within(F.col("n_chars"), 5000)).select("doc_id", "n_chars")
 
 
 sql("filter_max_bytes", "select doc_id, n_chars from documents where n_chars <= 5000")
@@ -756,10 +768,13 @@ sql("stale_ids", "select doc_id from documents where source in (select source fr
 
 @query
 def lookup_by_ids(spark, at):
-    return read(spark, at, "documents").where(F.col("doc_id").isin(3, 7, 11, 500, 999_999_999)).select("doc_id", "lang", "source")
+    """Those of a list and those of a table: the documents that are labelled as toxic."""
+    d = read(spark, at, "documents").select("doc_id", "lang", "source")
+    listed = incremental.lookup(d, [3, 7, 11, 500, 999_999_999, 3], "doc_id").withColumn("by", F.lit("list"))
+    return listed.union(incremental.lookup(d, read(spark, at, "labels").where("toxic = 1"), "doc_id").withColumn("by", F.lit("table")))
 
 
-sql("lookup_by_ids", "select doc_id, lang, source from documents where doc_id in (3, 7, 11, 500, 999999999)")
+sql("lookup_by_ids", "select doc_id, lang, source, 'list' as by from documents where doc_id in (3, 7, 11, 500, 999999999) union all select doc_id, lang, source, 'table' from documents where doc_id in (select doc_id from labels where toxic = 1)")
 
 
 @query
@@ -804,8 +819,8 @@ sql("assign_communities", "select doc_id, coalesce(label, -1) as community_id fr
 @query
 def cache_gc(spark, at):
     e = read(spark, at, "events").select("event_id", "ts")
-    cutoff = e.agg(F.max("ts").alias("last"))
-    return e.crossJoin(F.broadcast(cutoff)).where("ts >= last - interval 15 days").select("event_id")  # one row
+    last = e.agg(F.max("ts")).first()[0]
+    return incremental.expire(e, "ts", F.lit(last).cast("timestamp_ntz") - F.expr("interval 15 days")).select("event_id")
 
 
 sql("cache_gc", "select event_id from events where ts >= (select max(ts) from events) - interval 15 days")
@@ -827,8 +842,7 @@ sql("table_counts", " union all ".join(f"select '{n}' as name, count(*) as n fro
 @query
 def index_stats(spark, at):
     d = read(spark, at, "documents")
-    seen = F.md5(F.col("text").cast("binary"))
-    return d.agg(F.count_distinct("source").alias("files"), F.count("*").alias("chunks"), (F.count("*") - F.count_distinct(seen)).alias("cache_hits"))
+    return incremental.run_counts(d.select("source", F.md5(F.col("text").cast("binary")).alias("hash")), "source", "hash")
 
 
 sql("index_stats", "select count(distinct source) as files, count(*) as chunks, count(*) - count(distinct md5(text)) as cache_hits from documents")

@@ -193,7 +193,7 @@ class Index:
         labelled = chunks
         if index.made["n"]:
             labelled = incremental.assign(chunks, graph.leiden(graph.symmetric(index.edges()), index.rows().select("id")).withColumnRenamed("community", "community_id"), "id", "community_id")
-        stats = {**{k: counts.get(k, 0) for k in ("new", "changed", "deleted")}, "chunks": probed.count(), "cache_hits": probed.where("hit").count()}
+        stats = {**{k: counts.get(k, 0) for k in ("new", "changed", "deleted")}, **{k: v for k, v in incremental.run_counts(probed, "source_path", "content_hash", "hit").first().asDict().items() if k != "files"}}
         self.commit(vectors=index, chunks=labelled.select(*self.table("chunks").columns), files=files, cache=cache.select(*self.table("cache").columns))
         for df in (state, probed, missed):
             df.unpersist()

@@ -31,6 +31,11 @@ def is_binary(content: Column) -> Column:
     return (F.length(head) == 8) & head.isin(MAGIC)
 
 
+def within(size: Column, max_bytes: int = MAX_BYTES) -> Column:
+    """Whether a file isn't too large; one of just so many bytes is not."""
+    return size <= max_bytes
+
+
 def scan(spark: SparkSession, root: str, extensions: list[str], max_bytes: int = MAX_BYTES) -> DataFrame:
     """(rel_path, mtime_ns, size, content) of the files that are to be indexed; content is only read where it is used.
 
@@ -43,7 +48,7 @@ def scan(spark: SparkSession, root: str, extensions: list[str], max_bytes: int =
     plain = F.regexp_replace("path", "^[a-z0-9+.-]+:/*", "/")
     home = "/" + base.split(":", 1)[-1].lstrip("/") + "/"
     rel = F.substring(plain, F.lit(len(home) + 1), F.length(plain))
-    files = files.where(F.col("length") <= max_bytes).withColumn("rel_path", rel)
+    files = files.where(within(F.col("length"), max_bytes)).withColumn("rel_path", rel)
     files = files.where(folder_allowed(F.col("rel_path")) & extension(F.col("rel_path")).isin(extensions))
     return files.select("rel_path", (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size"), "content")
 

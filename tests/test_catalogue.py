@@ -7,7 +7,7 @@ import __spark_entry__
 from lodewell.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["documents", "embeddings", "conversations", "events", "pages"]
+TABLES = ["documents", "embeddings", "conversations", "events", "pages", "labels"]
 
 
 @pytest.fixture(scope="module")

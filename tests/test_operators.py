@@ -23,20 +23,41 @@ def test_leiden_cases(spark):
     assert set(communities(spark, {f"s{i}": (1, 0) for i in range(10)}).values()) == {0}
 
 
-def test_leiden_of_a_component_that_no_task_holds(spark, monkeypatch):
-    """Distributed moves raise the objective, refinement stays inside communities, and what is left after contraction is solved as ever."""
-    monkeypatch.setattr(graph, "ROUNDS", 3)
-    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 150")
-    nodes = v.select(F.col("vec_id").alias("id"))
-    edges = graph.symmetric(graph.knn(v, 8)).persist()
-    quality = lambda found: graph.cpm_quality(edges, found).first()[0]
-    start = graph.moved(edges.where("sim > 0"), nodes)
-    parts = graph.refined(edges.where("sim > 0"), start).withColumnRenamed("community", "sub").join(start, "id")
-    assert parts.count() == 150 and parts.groupBy("sub").agg(F.count_distinct("community").alias("n")).where("n > 1").isEmpty()
-    spread = graph.leiden(edges, nodes, in_task=500)
-    names = {r.community for r in spread.collect()}
-    assert names == set(range(len(names))) and spread.count() == 150
-    assert quality(start) > 0 and len(names) < 75
+def planted(spark, groups=5, size=9):
+    """Groups that are cliques, each tied to the next by an edge that is not worth joining for."""
+    rows = [(g * size + i, g * size + j, 1.0) for g in range(groups) for i in range(size) for j in range(i)]
+    rows = [(b, a, w) for a, b, w in rows] + [(g * size, (g + 1) * size, 0.0001) for g in range(groups - 1)]
+    return spark.createDataFrame(rows, "src long, dst long, sim double").coalesce(1), spark.range(groups * size).coalesce(1)
+
+
+def test_one_end_whatever_a_task_may_hold(spark):
+    edges, nodes = planted(spark)
+    for in_task in (graph.IN_TASK, 0):
+        got = graph.leiden(edges, nodes, in_task=in_task).collect()
+        assert {r.id: r.community for r in got} == {i: i // 9 for i in range(45)}
+
+
+def test_moves_by_joins_end_where_nothing_gains(spark):
+    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 90")
+    nodes, edges = v.select(F.col("vec_id").alias("id")), graph.symmetric(graph.knn(v, 6)).where("sim > 0").coalesce(1).persist()
+    coarse = graph.moved(edges, nodes).persist()
+    assert graph.move_options(edges, coarse).isEmpty() and graph.cpm_quality(edges, coarse).first()[0] > 0
+    gains = graph.move_gain(edges, coarse).where(F.col("gain") > graph.MIN_GAIN)
+    assert gains.isEmpty()  # by the other way to work it out
+    for in_task in (graph.IN_TASK, 0):
+        sub = {r.id: r.community for r in graph.refined(edges, coarse, in_task=in_task).collect()}
+        own = {r.id: r.community for r in coarse.collect()}
+        near = [(r.src, r.dst, r.sim) for r in edges.collect() if own[r.src] == own[r.dst]]
+        groups, whole = {}, {}
+        for i, x in sub.items():
+            groups.setdefault(x, set()).add(i)
+            whole.setdefault(own[i], set()).add(i)
+        assert len(sub) == 90 and len(groups) < 90
+        for g in groups.values():
+            assert len({own[i] for i in g}) == 1
+            rest = whole[own[next(iter(g))]] - g
+            out = sum(w for a, b, w in near if (a in g) != (b in g))
+            assert len(g) == 1 or out >= graph.GAMMA * len(g) * len(rest) - 1e-9  # well connected
 
 
 def test_refinement_keeps_a_running_sum():
