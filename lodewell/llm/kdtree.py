@@ -5,7 +5,9 @@ table's different values. A node that is to become k shards is split along the d
 which its rows spread widest, at the weighted quantile floor(k/2)/k of bytes (the median where k
 is even). Either the number of shards is given, and k is shared out from the root down, or the
 bytes that a shard may have, and a node is split until it has no more (k is its bytes over
-those, rounded up, whatever its parent was to become). Quantiles are found by histograms: a node's
+those, rounded up, whatever its parent was to become). Given a number, rows that are larger than an
+even shard of the others (there are fewer than shards) are a shard each, beside the tree: inside
+of it they would leave shards empty that their share of the bytes had been given. Quantiles are found by histograms: a node's
 keys (the coordinate, then a hash of the row, so that equal coordinates can be parted anywhere)
 are summed in up to 4096 bins; the bin that holds the quantile is divided again until it weighs
 next to nothing. A pass is one aggregation for all nodes of a level. Nodes are tables, joined to
@@ -76,33 +78,45 @@ def shard(rows: DataFrame, dims: dict[str, Column], size: Column, shards: int |
     scratch, col = Scratch(rows.sparkSession, "kdtree"), F.col
     names = [f"_lw_{i}" for i in range(len(dims))]
     rows = rows.withColumns(dict(zip(names, (c.cast("double") for c in dims.values()), strict=True)) | {"_lw_size": size.cast("long"), "_lw_row": F.monotonically_increasing_id()})
-    held = rows = scratch.save(rows.drop("shard", "slot"), "rows")  # row numbers hold from here on
+    first = held = rows = scratch.save(rows.drop("shard", "slot"), "rows")  # row numbers hold from here on
     ends = rows.agg(F.sum("_lw_size").alias("bytes"), *(f(n).alias(f"{f.__name__}{n}") for n in names for f in (F.min, F.max))).first()
-    total = ends["bytes"] or 0
-    count = shards or max(1, -(-total // target_bytes))
+    total = left = ends["bytes"] or 0
+    alone = 0
+    while shards:  # an even share of what is left gets less with every row that is over it
+        even = left / max(1, shards - alone)
+        found = rows.where(col("_lw_size") > even).agg(F.count("*"), F.sum("_lw_size")).first()
+        left = total - (found[1] or 0)
+        if found[0] == alone:
+            break
+        alone = found[0]
+    if alone:
+        single = rows.where(col("_lw_size") > even)
+        rows, shards, total = rows.where(col("_lw_size") <= even), shards - alone, left
+    count = (shards or 1) if target_bytes is None else max(1, -(-total // target_bytes))
     for n in names:
         lo, hi = ends[f"min{n}"], ends[f"max{n}"]
         scaled = F.floor((col(n) - F.lit(lo)) / F.lit((hi - lo) or 1.0) * F.lit(float(TOP))).cast("long") if hi is not None else F.lit(0)
         rows = rows.withColumn(n, F.coalesce(scaled, F.lit(0)).cast("long"))
     rows = rows.withColumns({"_lw_hash": F.xxhash64("_lw_row").bitwiseAND(F.lit(TOP)), "_lw_node": F.lit(1).cast("long"), "_lw_k": F.lit(count).cast("long")})
     level = 0
-    while not shards or level < (shards - 1).bit_length():
+    while target_bytes is not None or level < (count - 1).bit_length():
         spread = {n: F.max(n) - F.min(n) for n in names}
         stats = rows.groupBy("_lw_node", "_lw_k").agg(F.sum("_lw_size").alias("_lw_bytes"), F.count("*").alias("_lw_rows"), *(f(n).alias(f"{f.__name__}{n}") for n in names for f in (F.min, F.max)), F.greatest(*spread.values(), F.lit(0)).alias("_lw_widest"))
-        if not shards:
+        if target_bytes is not None:
             stats = stats.withColumn("_lw_k", F.when(col("_lw_rows") > 1, F.ceil(col("_lw_bytes") / target_bytes)).otherwise(1))
         d = F.coalesce(*(F.when(col(f"max{n}") - col(f"min{n}") == col("_lw_widest"), i) for i, n in enumerate(names)))
         pick = lambda f: F.coalesce(*(F.when(col("_lw_d") == i, col(f"{f}{n}")) for i, n in enumerate(names)))
         nodes = stats.where("_lw_k > 1").withColumn("_lw_d", d)
         need = col("_lw_bytes") * F.floor(col("_lw_k") / 2) / col("_lw_k")
         nodes = scratch.save(nodes.select("_lw_node", "_lw_d", F.shiftleft(pick("min"), BITS).alias("_lw_lo"), (F.shiftleft(pick("max") + 1, BITS) - 1).alias("_lw_hi"), need.alias("_lw_need")), "nodes")
-        if not shards and nodes.isEmpty():
+        if target_bytes is not None and nodes.isEmpty():
             break
         moved = rows.join(_cuts(rows, names, nodes, tolerance * total / count, min(count, 1 << level), scratch), "_lw_node", "left")
         right, half = F.when(_key(names) >= col("_lw_t"), 1).otherwise(0), F.floor(col("_lw_k") / 2).cast("long")
         moved = moved.withColumns({"_lw_node": F.when(col("_lw_d").isNull(), col("_lw_node")).otherwise(2 * col("_lw_node") + right), "_lw_k": F.when(col("_lw_d").isNull(), col("_lw_k")).when(right == 1, col("_lw_k") - half).otherwise(half)})
         rows = scratch.save(moved.drop("_lw_d", "_lw_t"), "level")
-        scratch.drop(held)
+        if held is not first:
+            scratch.drop(held)
         held, level = rows, level + 1
     leaves = rows.select("_lw_node").distinct()
     leaves = leaves.select("_lw_node", (F.row_number().over(Window.orderBy(F.bin("_lw_node"))) - 1).cast("int").alias("shard"))  # a row a shard
@@ -111,6 +125,9 @@ def shard(rows: DataFrame, dims: dict[str, Column], size: Column, shards: int |
     subs = subs.withColumn("_lw_ahead", F.sum("_lw_n").over(Window.partitionBy("shard").orderBy("_lw_sub")) - col("_lw_n")).drop("_lw_n")
     number = F.row_number().over(Window.partitionBy("shard", "_lw_sub").orderBy("_lw_hash", "_lw_row"))
     rows = rows.join(subs, ["shard", "_lw_sub"]).withColumn("slot", (number - 1 + col("_lw_ahead")).cast("long"))
+    if alone:
+        nth = F.row_number().over(Window.orderBy(col("_lw_size").desc(), "_lw_row")) - 1 + shards  # fewer rows than shards
+        rows = rows.unionByName(single.withColumns({"shard": nth.cast("int"), "slot": F.lit(0).cast("long")}), allowMissingColumns=True)
     return rows.drop("_lw_node", "_lw_k", "_lw_size", "_lw_hash", "_lw_row", "_lw_sub", "_lw_ahead", *names)
 
 

@@ -27,6 +27,27 @@ def test_laws(spark, docs_of, tmp_path):
     assert max(total) - mean <= 0.02 * mean + 30016 and mean - min(total) <= 0.02 * mean + 30016
 
 
+@pytest.mark.parametrize("heavy", [[1_000_000], [400_000, 300_000, 45_000, 40_000, 38_000]])
+def test_heavy_rows_leave_no_shard_empty(spark, docs_of, tmp_path, heavy):
+    """A text of half the table, and texts that are over an even share once larger ones are taken out."""
+    r = random.Random(7)
+    rows = [(i, "x" * r.randint(1, 800), r.choice(["en", "de"]), f"src{r.randrange(5)}") for i in range(2500)]
+    rows += [(9000 + i, "y" * n, "en", "src1") for i, n in enumerate(heavy)]
+    docs_of(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = kdtree.op2_kdtree_sharding(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    total, slots = [0] * 40, [[] for _ in range(40)]
+    for x in got:
+        total[x.shard] += x.size
+        slots[x.shard].append(x.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots)
+    alone = {x.shard for x in got if x.doc_id >= 9000}
+    assert len(alone) == len(heavy) and all(len(slots[s]) == 1 for s in alone)
+    rest = [t for s, t in enumerate(total) if s not in alone]
+    mean = sum(rest) / len(rest)
+    assert max(rest) - mean <= 0.02 * mean + 816 and mean - min(rest) <= 0.02 * mean + 816
+
+
 def test_medians_and_widest(spark):
     """Against a plain k-d tree: with unit sizes and a power of two of shards splits are exact medians of the widest dimension."""
     rows = [(i, float(i % 97), float((i * 7) % 13)) for i in range(1024)]
