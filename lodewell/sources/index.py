@@ -1,9 +1,11 @@
 """The index of a workspace: versions of Parquet tables, replaced as one.
 
-A version is a small manifest that says in which folder each table is (chunks, their inverted
-index, vectors, files, cached embeddings, notes); the last one is in force. A commit writes the
-tables that change, and puts a new manifest in force by one rename, so a reader or a crash sees
-either all of an update or none; what a failed update has written is deleted. Updates lock the
+A version is a small manifest that says in which folder each table is (chunks, files, cached
+embeddings, notes), and at which of their own versions the chunks' inverted index and vector index
+are; the last one is in force. An update adds to the indexes what it brings, writes the tables that
+change, and puts a new manifest in force by one rename, so a reader or a crash sees either all of
+an update or none; tables that a failed update has written are deleted, what it has added to an
+index is named by no version and goes with the next vacuum. Updates lock the
 index before they begin, so a second one fails at once. All file access is through Spark's file
 systems.
 """
@@ -86,7 +88,7 @@ class Index:
         if made.get("lexical_of") != made["chunks"]:
             self.commit(chunks=None)
             made = self.manifest()
-        return LexicalIndex(self.spark, f"{self.path}/data/{made['lexical']}")
+        return LexicalIndex(self.spark, f"{self.path}/lexical", made["lexical"])
 
     @contextlib.contextmanager
     def _locked(self) -> Iterator[None]:
@@ -101,8 +103,8 @@ class Index:
         finally:
             self._fs.delete(at, False)
 
-    def commit(self, vectors: VectorIndex | None = None, **tables: DataFrame | None) -> str:
-        """A new version with these tables and this state of the vector index, the others as they were (not written again). chunks=None: only their inverted index anew."""
+    def commit(self, vectors: VectorIndex | None = None, lexical: LexicalIndex | None = None, **tables: DataFrame | None) -> str:
+        """A new version with these tables and these states of the indexes, the others as they were (not written again). Chunks without an inverted index get one; chunks=None: only that anew."""
         now = self.version()
         made, id_ = self.manifest(now), uuid.uuid4().hex
         new, staged, written = f"v-{int(now[2:]) + 1 if now else 1:012d}", f"{self.path}/.staged-{id_}", []
@@ -115,10 +117,10 @@ class Index:
                     df.write.parquet(f"{self.path}/data/{written[-1]}")
                     made[name] = written[-1]
             if "chunks" in tables:
-                written.append(f"lexical-{id_}")
-                chunks = self.spark.read.schema(TABLES["chunks"]).parquet(f"{self.path}/data/{made['chunks']}")
-                LexicalIndex.build(chunks, "id", ["name", "source"], f"{self.path}/data/{written[-1]}")
-                made |= {"lexical": written[-1], "lexical_of": made["chunks"]}
+                if lexical is None:
+                    chunks = self.spark.read.schema(TABLES["chunks"]).parquet(f"{self.path}/data/{made['chunks']}")
+                    lexical = LexicalIndex.build(chunks, "id", ["name", "source"], f"{self.path}/lexical")
+                made |= {"lexical": lexical.version, "lexical_of": made["chunks"]}
             out = self._fs.create(self._path(f"{staged}/manifest.json"))
             out.write(bytearray(json.dumps(made).encode()))
             out.close()
@@ -141,9 +143,9 @@ class Index:
         for x in self._fs.listStatus(data) if self._fs.exists(data) else []:
             if x.getPath().getName() not in made:
                 self._fs.delete(x.getPath(), True)
-        index = self.vectors()
-        if index is not None:
-            index.vacuum()
+        for index in (self.vectors(), self.lexical()):
+            if index is not None:
+                index.vacuum()
         return len(old)
 
     # indexing
@@ -182,6 +184,9 @@ class Index:
         chunks = old.unionByName(new.select("id", "kind", "name", "source_path", "source", F.lit(None).cast("long").alias("community_id")))
         files = known.join(state.select("rel_path"), "rel_path", "left_anti").unionByName(fresh.select("rel_path", "mtime_ns", "size"))
         cache = self.table("cache").unionByName(missed.select("content_hash", "vector", F.lit(int(time.time())).alias("created_at")).dropDuplicates(["content_hash"]))
+        lexical = self.lexical()
+        if lexical is not None:
+            lexical.update(new.select("id", "name", "source"), known_chunks.join(gone, "source_path", "left_semi").select("id"))
         if index is None:
             index = VectorIndex.build(new, "id", "vector", f"{self.path}/vectors")
         else:
@@ -194,7 +199,7 @@ class Index:
         if index.made["n"]:
             labelled = incremental.assign(chunks, graph.leiden(graph.symmetric(index.edges()), index.rows().select("id")).withColumnRenamed("community", "community_id"), "id", "community_id")
         stats = {**{k: counts.get(k, 0) for k in ("new", "changed", "deleted")}, **{k: v for k, v in incremental.run_counts(probed, "source_path", "content_hash", "hit").first().asDict().items() if k != "files"}}
-        self.commit(vectors=index, chunks=labelled.select(*self.table("chunks").columns), files=files, cache=cache.select(*self.table("cache").columns))
+        self.commit(vectors=index, lexical=lexical, chunks=labelled.select(*self.table("chunks").columns), files=files, cache=cache.select(*self.table("cache").columns))
         for df in (state, probed, missed):
             df.unpersist()
         return stats

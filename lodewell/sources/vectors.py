@@ -16,7 +16,6 @@ manifest, which one rename puts in place, so a search sees all of an update or n
 
 from __future__ import annotations
 
-import json
 import math
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..errors import StorageError
 from ..functions import vectors as V
 from ..operators import proximity
+from .manifests import Manifests
 from .scratch import dropped, saved
 
 SAMPLE = 200_000
@@ -45,8 +44,8 @@ class VectorIndex:
 
     def __init__(self, spark: SparkSession, path: str, similarity: Callable[[Column, Column], Column] = V.dot, version: str | None = None):
         self.spark, self.path, self.similarity = spark, path.rstrip("/"), similarity
-        self._fs, self._at = _files(spark, self.path)
-        self.made = self._manifest(version)
+        self._manifests = Manifests(spark, self.path)
+        self.made = self._manifests.read(version)
         rows = spark.read.parquet(f"{self.path}/{self.made['lists']}").orderBy("list").collect()  # about the square root of the vectors
         self.lists, self.centroids = [r.list for r in rows], np.array([r.centroid for r in rows], float) if rows else np.zeros((0, 0))
         self.first = [r.first for r in rows]
@@ -54,18 +53,9 @@ class VectorIndex:
 
     # versions
 
-    def _manifest(self, version: str | None) -> dict:
-        name = version or max(_manifests(self._fs, self._at, self.path))
-        stream = self._fs.open(self._at(f"{self.path}/{name}"))
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")) | {"name": name}
-        finally:
-            stream.close()
-
     def _commit(self, parts: list[str], n: int) -> None:
         """Puts a manifest with these folders of n nodes in force, next to the one that this index was opened at."""
-        made = {"parts": parts, "lists": self.made["lists"], "kind": self.made["kind"], "n": n}
-        self.made = made | {"name": _put(self._fs, self._at, self.path, int(self.made["name"][2:11]) + 1, made)}
+        self.made = self._manifests.put({"parts": parts, "lists": self.made["lists"], "kind": self.made["kind"], "n": n}, self.made["name"])
 
     @property
     def version(self) -> str:
@@ -83,7 +73,6 @@ class VectorIndex:
         from pyspark.ml.functions import array_to_vector
 
         spark, path = vectors.sparkSession, path.rstrip("/")
-        fs, at = _files(spark, path)
         kind = vectors.schema[id_col].dataType.simpleString()
         rows = saved(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("vector")).where("vector is not null"), "vectors")
         n = rows.count()
@@ -105,7 +94,7 @@ class VectorIndex:
         nodes.repartition(max(1, min(k, 4096)), "list").sortWithinPartitions("list", "id").write.partitionBy("list").parquet(f"{path}/nodes/part={made}")
         medoid = placed.groupBy("list").agg(F.min_by("id", F.struct("far", "id")).alias("first"))
         spark.createDataFrame(list(enumerate(centres)), "list int, centroid array<double>").join(medoid, "list").coalesce(1).write.parquet(f"{path}/{known}")  # a row a list
-        name = _put(fs, at, path, max((int(x[2:11]) for x in _manifests(fs, at, path)), default=0) + 1, {"parts": [made], "lists": known, "kind": kind, "n": n})
+        name = Manifests(spark, path).put({"parts": [made], "lists": known, "kind": kind, "n": n})["name"]
         dropped(rows, placed)
         return cls(spark, path, version=name)
 
@@ -256,13 +245,7 @@ class VectorIndex:
 
     def vacuum(self) -> int:
         """Deletes what the manifest in force doesn't name; says how much."""
-        keep, n = {self.made["name"], self.made["lists"], "nodes", *(f"part={p}" for p in self.made["parts"])}, 0
-        for folder in (self.path, f"{self.path}/nodes"):
-            for x in self._fs.listStatus(self._at(folder)):
-                if x.getPath().getName() not in keep and not x.getPath().getName().startswith("."):
-                    self._fs.delete(x.getPath(), True)
-                    n += 1
-        return n
+        return self._manifests.vacuum({self.made["name"], self.made["lists"], "nodes", *(f"part={p}" for p in self.made["parts"])}, "", "nodes")
 
 
 def _far(m: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -286,29 +269,6 @@ def _placed(rows: DataFrame, centres: np.ndarray, kind: str) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, vector array<float>, list int, far double")
 
 
-def _files(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path
-    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(at(path))
-    return fs, at
-
-
-def _manifests(fs, at, path: str) -> list[str]:
-    return [n for x in fs.listStatus(at(path)) if (n := x.getPath().getName()).startswith("m-")]
-
-
-def _put(fs, at, path: str, number: int, made: dict) -> str:
-    """Writes a manifest; its name, m-number-id, comes by a rename. Of two of one number, none but the caller's is in force for who opens it by name."""
-    name, staged = f"m-{number:09d}-{uuid.uuid4().hex}", at(f"{path}/.staged-{uuid.uuid4().hex}")
-    out = fs.create(staged)
-    out.write(bytearray(json.dumps(made).encode()))
-    out.close()
-    if not fs.rename(staged, at(f"{path}/{name}")):
-        fs.delete(staged, False)
-        raise StorageError("the version of the vector index can't be put in force")
-    return name
-
-
 def _linked(rows: DataFrame, n: int, degree: int) -> DataFrame:
     """(src, dst, sim): each row's links among rows(id, vector): exactly while one pass compares all, else by descent (whose nearer half is found better)."""
     if n <= proximity.PASS:

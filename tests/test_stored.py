@@ -1,6 +1,7 @@
 """Stored indexes: the inverted index against a scan of the corpus, vector lists against exact search, versions, locks and the registry."""
 
 import os
+import random
 
 import numpy as np
 import pytest
@@ -43,6 +44,75 @@ def test_lexical_reads_its_terms_only(spark, lexical):
     assert empty.search("the").count() == 0 and empty.postings().count() == 0
 
 
+def scores(df):
+    return [(r[0], round(r[1], 9)) for r in df.collect()]
+
+
+def test_segments_against_a_rebuild(spark, tmp_path):
+    """Random additions, replacements and removals: what is found is what an index of the texts left finds."""
+    r = random.Random(11)
+    text = lambda: " ".join(r.choice(["the", "of", "und", "a", "b", "c"]) for _ in range(r.randrange(12)))
+    schema = "id string, name string, source string"
+    held = {f"d{i}": (text(), text()) for i in range(60)}
+    frame = lambda of: spark.createDataFrame([(k, *v) for k, v in of.items()], schema)
+    index = LexicalIndex.build(frame(held), "id", ["name", "source"], str(tmp_path / "ix"))
+    first, before = LexicalIndex(spark, index.path, index.version), scores(index.search("the of"))
+    for turn in range(5):
+        new = {f"d{r.randrange(80)}": (text(), text()) for _ in range(4)}
+        gone = [k for k in r.sample(sorted(held), 3) if k not in new]
+        index.update(frame(new), spark.createDataFrame([(k,) for k in gone], "id string"))
+        held = {k: v for k, v in held.items() if k not in gone} | new
+        if turn == 2:
+            assert index.made["gone"]
+    assert len(index.made["segments"]) < 6  # small ones were merged
+    docs = frame(held)
+    for x in (index, LexicalIndex(spark, index.path)):
+        assert (x.docs, x.tokens) == (len(held), sum(len(f"{a} {b}".split()) for a, b in held.values()))
+        for query in ("the", "the of", "of_the", "und_und a", "nothing"):
+            assert scores(x.search(query)) == scores(retrieval.bm25(docs, "id", ["name", "source"], query)), query
+            assert scores(x.search(query, 3)) == scores(retrieval.bm25(docs, "id", ["name", "source"], query, 3)), query
+        assert sorted(map(tuple, x.postings().collect())) == sorted(map(tuple, retrieval.postings(docs, "id", ["name", "source"]).collect()))
+    assert scores(first.search("the of")) == before  # a reader of the first version sees that
+    index.merge([s["name"] for s in index.made["segments"]])
+    assert len(index.made["segments"]) == 1 and not index.made["gone"] and index.vacuum() > 0
+    assert scores(index.search("the of", 5)) == scores(retrieval.bm25(docs, "id", ["name", "source"], "the of", 5))
+    index.update(frame({}), docs.select("id"))
+    assert index.docs == index.tokens == 0 and index.search("the").count() == 0
+
+
+def test_an_update_writes_its_own_postings(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "source", "text")
+    index = LexicalIndex.build(docs, "doc_id", ["source", "text"], str(tmp_path))
+    size = lambda: {os.path.join(d, f): os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(tmp_path) for f in fs if f.endswith(".parquet")}
+    before = size()
+    two = spark.createDataFrame([(3, "src1", "some new words of the third"), (9001, "src2", "words of a new one")], "id long, source string, text string")
+    index.update(two)
+    after = size()
+    assert all(after[f] == n for f, n in before.items())
+    new = {f: n for f, n in after.items() if f not in before}
+    named = {s["name"] for s in index.made["segments"][1:]}
+    assert all(any(f"seg={n}" in f for n in named) for f in new) and sum(n for f, n in new.items() if "/blocks/" in f) < 0.1 * sum(n for f, n in before.items() if "/blocks/" in f)
+    changed = docs.withColumnRenamed("doc_id", "id").where("id <> 3").union(two)
+    assert scores(index.search("words of", 5)) == scores(retrieval.bm25(changed, "id", ["source", "text"], "words of", 5))
+
+
+def test_blocks_that_cannot_be_among_the_best_are_not_read(spark, tmp_path):
+    r = random.Random(5)
+    rows = [(i, "", "the " * (9 if i % 400 == 7 else 1) + " ".join(f"w{r.randrange(500)}" for _ in range(5 if i % 400 == 7 else r.randrange(30, 90)))) for i in range(8000)]
+    docs = spark.createDataFrame(rows, "id long, name string, source string").repartition(4)
+    index = LexicalIndex.build(docs, "id", ["name", "source"], str(tmp_path))
+    seen = []
+    least = index.least_impact
+    index.least_impact = lambda *a: (seen.append(least(*a)), seen[-1])[1]
+    assert scores(index.search("the", 10)) == scores(retrieval.bm25(docs, "id", ["name", "source"], "the", 10))
+    blocks = index._of("blocks", ["the"])
+    assert seen[0] is not None and blocks.count() >= 60 and blocks.where(F.col("impact") >= seen[0]).count() < 0.5 * blocks.count()
+    plan = blocks.where(F.col("impact") >= seen[0])._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(impact" in plan  # the files' statistics decide
+    for query, n in (("w7", 3), ("w7 the", 4), ("the the", 12), ("the", 8000)):
+        assert scores(index.search(query, n)) == scores(retrieval.bm25(docs, "id", ["name", "source"], query, n))
+
+
 def chunks_of(index):
     return sorted(r.name for r in index.table("chunks").collect())
 
@@ -69,7 +139,7 @@ def test_versions_lock_and_rollback(spark, tmp_path, monkeypatch):
     assert index.reindex(str(root))["changed"] == 1 and chunks_of(index) == ["beta"] and not (tmp_path / "ix" / ".lock").exists()
 
     before, files = index.manifest(), sorted(os.listdir(tmp_path / "ix" / "data"))
-    monkeypatch.setattr(LexicalIndex, "build", classmethod(lambda *a: 1 / 0))
+    monkeypatch.setattr(LexicalIndex, "update", lambda *a: 1 / 0)
     (root / "a.py").write_text("def gamma():\n    return 333\n")
     with pytest.raises(ZeroDivisionError):
         index.reindex(str(root))
