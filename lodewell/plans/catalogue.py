@@ -19,6 +19,7 @@ from ..operators import chunking, graph, incremental, proximity, retrieval
 from ..sources import scan
 from ..sources.lexical import LexicalIndex, spread
 from ..sources.scratch import scratch_dir
+from ..sources.tables import KeyedTable
 from ..sources.vectors import VectorIndex
 
 QUERIES: dict = {}
@@ -156,6 +157,12 @@ def knn_graph_symmetric(spark, at):
 sql("knn_graph_symmetric", f"with {KNN} select src, dst, {six_sql('sim')} as sim from s")
 
 
+@query
+def knn_descent(spark, at):
+    """The neighbour graph without comparing all with all: its recall against knn_graph is tested."""
+    return proximity.descent(read(spark, at, "embeddings"), 32).select("src", "dst", six("sim").alias("sim"), F.col("rank").cast("int").alias("rank"))
+
+
 @query
 def graph_contract(spark, at):
     return graph.contract(edges(spark, at), labels(spark, at)).withColumn("weight", six("weight"))
@@ -798,6 +805,26 @@ def upsert_last_wins(spark, at):
 sql("upsert_last_wins", "select doc_id, case when doc_id % 3 = 0 then n_chars + 1000 else n_chars end as value, case when doc_id % 3 = 0 then 2 else 1 end::int as seq from documents union all select doc_id + 1000000, n_chars + 1000, 2 from documents where doc_id % 6 = 0")
 
 
+@query
+def keyed_changes(spark, at):
+    """A stored table after insertions, replacements and deletions, read as it is and once its parts are one."""
+    d = read(spark, at, "documents").select("doc_id", "source", F.col("n_chars").alias("value"))
+    keyed_changes.runs += 1
+    t = KeyedTable.create(spark, f"{scratch_dir(spark)}/keyed-{keyed_changes.runs}", "doc_id long, source string, value long", "doc_id")
+    t.change(d)
+    t.change(d.where("doc_id % 3 = 0").withColumn("value", F.col("value") + 1000), d.where("source = 'src1'").select("doc_id"))  # what is put in stays, though its key is taken out too
+    t.change(d.where("doc_id % 7 = 0").withColumn("doc_id", F.col("doc_id") + 1_000_000), d.where("source = 'src2'").select("doc_id"))
+    before = t.read().withColumn("state", F.lit("parts"))
+    t.compact()
+    return before.union(t.read().withColumn("state", F.lit("one")))
+
+
+keyed_changes.runs = 0
+sql("keyed_changes", """with a as (select doc_id, source, case when doc_id % 3 = 0 then n_chars + 1000 else n_chars end as value from documents where (doc_id % 3 = 0 or source <> 'src1') and source <> 'src2'
+union all select doc_id + 1000000, source, n_chars from documents where doc_id % 7 = 0)
+select *, 'parts' as state from a union all select *, 'one' from a""")
+
+
 @query
 def delete_files_anti(spark, at):
     d = read(spark, at, "documents").select("doc_id", "source")

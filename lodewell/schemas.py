@@ -7,3 +7,4 @@ VECTOR = "id string, vector array<float>"
 FILE = "rel_path string, mtime_ns long, size long"
 CACHE = "content_hash string, vector array<float>, created_at long"
 EDGE = "src string, dst string, sim double"
+COMMUNITY = "id string, community_id long"

@@ -1,13 +1,12 @@
-"""The index of a workspace: versions of Parquet tables, replaced as one.
-
-A version is a small manifest that says in which folder each table is (chunks, files, cached
-embeddings, notes), and at which of their own versions the chunks' inverted index and vector index
-are; the last one is in force. An update adds to the indexes what it brings, writes the tables that
-change, and puts a new manifest in force by one rename, so a reader or a crash sees either all of
-an update or none; tables that a failed update has written are deleted, what it has added to an
-index is named by no version and goes with the next vacuum. Updates lock the
-index before they begin, so a second one fails at once. All file access is through Spark's file
-systems.
+"""The index of a workspace: tables and indexes that an update adds to, put in force as one.
+
+A version is a small manifest that says at which of their own versions the keyed tables (chunks,
+files, cached embeddings, notes), the chunks' inverted index and their vector index are, and where
+the chunks' communities; the last one is in force. An update writes beside what is there: the rows
+that change, their postings, their vectors and links. Then it puts a new manifest in force by one
+rename, so a reader or a crash sees either all of an update or none; what a failed update has
+written is named by no version and goes with the next vacuum. Updates lock the index before they
+begin, so a second one fails at once. All file access is through Spark's file systems.
 """
 
 from __future__ import annotations
@@ -31,12 +30,16 @@ from ..functions import vectors as V
 from ..operators import chunking, graph, incremental, retrieval
 from . import scan
 from .lexical import LexicalIndex
+from .tables import KeyedTable
 from .vectors import VectorIndex
 
 LOCK_HOURS = 24
 #: Parts of the vector index, one an update, from which on an update writes it as one.
 PARTS = 8
-TABLES = {"chunks": schemas.CHUNK, "vectors": schemas.VECTOR, "files": schemas.FILE, "cache": schemas.CACHE, "notes": schemas.NOTE}
+TABLES = {"chunks": schemas.CHUNK, "vectors": schemas.VECTOR, "files": schemas.FILE, "cache": schemas.CACHE, "notes": schemas.NOTE, "communities": schemas.COMMUNITY}
+#: Chunks are stored without their communities, which any update may change.
+STORED = {"chunks": "id string, kind string, name string, source_path string, source string"}
+KEYS = {"chunks": "id", "files": "rel_path", "cache": "content_hash", "notes": "id"}
 
 
 class Index:
@@ -74,11 +77,20 @@ class Index:
         at = self.manifest().get("vectors")
         return None if at is None else VectorIndex(self.spark, f"{self.path}/vectors", self.similarity, at)
 
+    def keyed(self, name: str) -> KeyedTable | None:
+        at = self.manifest().get(name)
+        return None if at is None else KeyedTable(self.spark, f"{self.path}/tables/{name}", at)
+
     def table(self, name: str) -> DataFrame:
         at = self.manifest().get(name)
-        if name == "vectors" and at is not None:
+        if at is None:
+            return self.spark.createDataFrame([], TABLES[name])
+        if name == "vectors":
             return self.vectors().rows().select("id", "vector")
-        return self.spark.createDataFrame([], TABLES[name]) if at is None else self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/data/{at}")
+        if name == "communities":
+            return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/data/{at}")
+        rows = self.keyed(name).read()
+        return rows.join(self.table("communities"), "id", "left").select("id", "kind", "name", "source_path", "source", "community_id") if name == "chunks" else rows
 
     def lexical(self) -> LexicalIndex | None:
         """The chunks' inverted index; built anew if it doesn't fit the chunks."""
@@ -86,7 +98,7 @@ class Index:
         if "chunks" not in made:
             return None
         if made.get("lexical_of") != made["chunks"]:
-            self.commit(chunks=None)
+            self.commit(relex=True)
             made = self.manifest()
         return LexicalIndex(self.spark, f"{self.path}/lexical", made["lexical"])
 
@@ -103,23 +115,25 @@ class Index:
         finally:
             self._fs.delete(at, False)
 
-    def commit(self, vectors: VectorIndex | None = None, lexical: LexicalIndex | None = None, **tables: DataFrame | None) -> str:
-        """A new version with these tables and these states of the indexes, the others as they were (not written again). Chunks without an inverted index get one; chunks=None: only that anew."""
+    def commit(self, changes: dict[str, tuple[DataFrame | None, DataFrame | None]] | None = None, vectors: VectorIndex | None = None, lexical: LexicalIndex | None = None, communities: DataFrame | None = None, relex: bool = False) -> str:
+        """A new version with these changes (rows to put in, keys to take out) of keyed tables, these states of the indexes and these communities; the rest is as it was. Chunks without an inverted index get one, and a new one if relex."""
         now = self.version()
         made, id_ = self.manifest(now), uuid.uuid4().hex
-        new, staged, written = f"v-{int(now[2:]) + 1 if now else 1:012d}", f"{self.path}/.staged-{id_}", []
-        if vectors is not None:
-            made["vectors"] = vectors.version
+        new, staged = f"v-{int(now[2:]) + 1 if now else 1:012d}", f"{self.path}/.staged-{id_}"
         try:
-            for name, df in tables.items():
-                if df is not None:
-                    written.append(f"{name}-{id_}")
-                    df.write.parquet(f"{self.path}/data/{written[-1]}")
-                    made[name] = written[-1]
-            if "chunks" in tables:
-                if lexical is None:
-                    chunks = self.spark.read.schema(TABLES["chunks"]).parquet(f"{self.path}/data/{made['chunks']}")
-                    lexical = LexicalIndex.build(chunks, "id", ["name", "source"], f"{self.path}/lexical")
+            for name, (rows, gone) in (changes or {}).items():
+                table = KeyedTable(self.spark, f"{self.path}/tables/{name}", made[name]) if name in made else KeyedTable.create(self.spark, f"{self.path}/tables/{name}", STORED.get(name, TABLES[name]), KEYS[name])
+                table.change(rows, gone)
+                made[name] = table.version
+            if vectors is not None:
+                made["vectors"] = vectors.version
+            if communities is not None:
+                communities.select("id", "community_id").write.parquet(f"{self.path}/data/communities-{id_}")
+                made["communities"] = f"communities-{id_}"
+            if lexical is None and "chunks" in made and (relex or "lexical" not in made):
+                chunks = KeyedTable(self.spark, f"{self.path}/tables/chunks", made["chunks"]).read()
+                lexical = LexicalIndex.build(chunks, "id", ["name", "source"], f"{self.path}/lexical")
+            if lexical is not None:
                 made |= {"lexical": lexical.version, "lexical_of": made["chunks"]}
             out = self._fs.create(self._path(f"{staged}/manifest.json"))
             out.write(bytearray(json.dumps(made).encode()))
@@ -129,13 +143,12 @@ class Index:
             if not self._fs.rename(self._path(staged), self._path(f"{self.path}/{new}")):
                 raise StorageError("the version can't be put in force")
         except BaseException:
-            for at in (staged, *(f"{self.path}/data/{x}" for x in written)):
-                self._fs.delete(self._path(at), True)
+            self._fs.delete(self._path(staged), True)
             raise
         return new
 
     def vacuum(self) -> int:
-        """Deletes versions before the current one, and tables that only they have."""
+        """Deletes versions before the current one, and what only they or failed updates have; says how many versions."""
         old, made = self._versions()[:-1], set(self.manifest().values())
         for name in old:
             self._fs.delete(self._path(f"{self.path}/{name}"), True)
@@ -143,9 +156,9 @@ class Index:
         for x in self._fs.listStatus(data) if self._fs.exists(data) else []:
             if x.getPath().getName() not in made:
                 self._fs.delete(x.getPath(), True)
-        for index in (self.vectors(), self.lexical()):
-            if index is not None:
-                index.vacuum()
+        for part in (self.vectors(), self.lexical(), *map(self.keyed, KEYS)):
+            if part is not None:
+                part.vacuum()
         return len(old)
 
     # indexing
@@ -162,7 +175,7 @@ class Index:
             return self._apply(listing)
 
     def _apply(self, listing: DataFrame) -> dict[str, int]:
-        known = self.table("files")
+        known, cache = self.table("files"), self.keyed("cache")
         state = incremental.classify(listing.drop("content"), known).where("state <> 'unchanged'").persist()
         counts = {r.state: r["count"] for r in state.groupBy("state").count().collect()}
         if not counts and self.version() is not None:
@@ -174,33 +187,33 @@ class Index:
         found = found.withColumn("content_hash", H.fnv1a(T.embed_input(T.kind_shown(F.col("kind")), F.col("name"), F.col("source_path"), F.col("embed_text"))))
         last = F.row_number().over(Window.partitionBy("id").orderBy(F.col("ord").desc()))
         found = found.withColumn("_r", last).where("_r = 1").drop("_r")  # of chunks with one identity the last
-        probed = incremental.probe(found, self.table("cache"), "content_hash", "vector").persist()
+        found = found.persist()
+        had = self.table("cache") if cache is None else cache.lookup(found)  # folders that hold none of these are not read
+        probed = incremental.probe(found, had, "content_hash", "vector").persist()
         missed = embed_column(probed.where("not hit").drop("vector", "hit"), T.embed_input(T.kind_shown(F.col("kind")), F.col("name"), F.col("source_path"), F.col("embed_text")), "vector", self.embedder).persist()
         new = probed.where("hit").drop("hit").unionByName(missed)
 
         gone = state.select(F.col("rel_path").alias("source_path"))
-        known_chunks, index = self.table("chunks"), self.vectors()
-        old = known_chunks.join(gone, "source_path", "left_anti")
-        chunks = old.unionByName(new.select("id", "kind", "name", "source_path", "source", F.lit(None).cast("long").alias("community_id")))
-        files = known.join(state.select("rel_path"), "rel_path", "left_anti").unionByName(fresh.select("rel_path", "mtime_ns", "size"))
-        cache = self.table("cache").unionByName(missed.select("content_hash", "vector", F.lit(int(time.time())).alias("created_at")).dropDuplicates(["content_hash"]))
-        lexical = self.lexical()
+        chunks, index, lexical = self.keyed("chunks"), self.vectors(), self.lexical()
+        stale = self.spark.createDataFrame([], "id string") if chunks is None else chunks.read().join(gone, "source_path", "left_semi").select("id").join(new.select("id"), "id", "left_anti").persist()
+        fresh_cache = missed.select("content_hash", "vector", F.lit(int(time.time())).alias("created_at")).dropDuplicates(["content_hash"])
+        changes = {"chunks": (new, stale), "files": (fresh.select("rel_path", "mtime_ns", "size"), state.where("state = 'deleted'").select("rel_path")), "cache": (fresh_cache, None)}
         if lexical is not None:
-            lexical.update(new.select("id", "name", "source"), known_chunks.join(gone, "source_path", "left_semi").select("id"))
+            lexical.update(new.select("id", "name", "source"), stale)
         if index is None:
             index = VectorIndex.build(new, "id", "vector", f"{self.path}/vectors")
         else:
-            index.remove(known_chunks.join(gone, "source_path", "left_semi").select("id").join(new.select("id"), "id", "left_anti"))
+            index.remove(stale)
             index.insert(new.select("id", "vector"))
             if len(index.made["parts"]) > PARTS:
                 index.compact()
         index.similarity = self.similarity
-        labelled = chunks
+        labels = None
         if index.made["n"]:
-            labelled = incremental.assign(chunks, graph.leiden(graph.symmetric(index.edges()), index.rows().select("id")).withColumnRenamed("community", "community_id"), "id", "community_id")
+            labels = graph.leiden(graph.symmetric(index.edges()), index.rows().select("id")).withColumnRenamed("community", "community_id")
         stats = {**{k: counts.get(k, 0) for k in ("new", "changed", "deleted")}, **{k: v for k, v in incremental.run_counts(probed, "source_path", "content_hash", "hit").first().asDict().items() if k != "files"}}
-        self.commit(vectors=index, lexical=lexical, chunks=labelled.select(*self.table("chunks").columns), files=files, cache=cache.select(*self.table("cache").columns))
-        for df in (state, probed, missed):
+        self.commit(changes, index, lexical, labels)
+        for df in (state, found, probed, missed, stale):
             df.unpersist()
         return stats
 
@@ -208,10 +221,12 @@ class Index:
         """Drops cached vectors older than so many days; says how many."""
         old = self.table("cache")
         kept = incremental.expire(old, "created_at", F.lit((now or int(time.time())) - days * 86400))
-        gone = old.count() - kept.count()
-        if gone:
-            self.commit(cache=kept)
-        return gone
+        gone = old.join(kept.select("content_hash"), "content_hash", "left_anti").select("content_hash").persist()
+        many = gone.count()
+        if many:
+            self.commit({"cache": (None, gone)})
+        gone.unpersist()
+        return many
 
     # search
 
@@ -244,7 +259,7 @@ class Index:
         now = int(time.time()) if now is None else now
         row = self.spark.createDataFrame([(text, tags or [], now, self.embedder.embed_batch([text])[0])], "text string, tags array<string>, timestamp long, vector array<float>")
         row = row.withColumn("id", H.djb2(F.col("text"), F.col("timestamp").cast("string"), F.lit("note")))
-        self.commit(notes=incremental.upsert(self.table("notes"), row.select(*self.table("notes").columns), "id", "timestamp"))
+        self.commit({"notes": (row, None)})
         return row.first().id
 
     def find_notes(self, query: str, top_k: int = 5) -> DataFrame:

@@ -138,12 +138,17 @@ def test_versions_lock_and_rollback(spark, tmp_path, monkeypatch):
     (root / "a.py").write_text("def beta():\n    return 22\n")
     assert index.reindex(str(root))["changed"] == 1 and chunks_of(index) == ["beta"] and not (tmp_path / "ix" / ".lock").exists()
 
-    before, files = index.manifest(), sorted(os.listdir(tmp_path / "ix" / "data"))
+    before = index.manifest()
+    index.vacuum()
+    files = lambda: sorted(os.path.join(d, x) for d, _, fs in os.walk(tmp_path / "ix") for x in fs if x.endswith(".parquet"))
+    held = files()
     monkeypatch.setattr(LexicalIndex, "update", lambda *a: 1 / 0)
     (root / "a.py").write_text("def gamma():\n    return 333\n")
     with pytest.raises(ZeroDivisionError):
         index.reindex(str(root))
-    assert index.manifest() == before and sorted(os.listdir(tmp_path / "ix" / "data")) == files and chunks_of(index) == ["beta"]
+    assert index.manifest() == before and chunks_of(index) == ["beta"]
+    index.vacuum()
+    assert files() == held and chunks_of(index) == ["beta"]  # what the update had written is gone
     monkeypatch.undo()
     made = index.manifest()
     (tmp_path / "ix" / index.version() / "manifest.json").write_text(__import__("json").dumps(made | {"lexical_of": "other"}))
@@ -151,7 +156,7 @@ def test_versions_lock_and_rollback(spark, tmp_path, monkeypatch):
     if crc.exists():
         crc.unlink()
     assert index.lexical().search("beta").count() == 1 and index.manifest()["lexical_of"] == made["chunks"]  # rebuilt, as it didn't fit
-    assert index.vacuum() >= 2 and chunks_of(index) == ["beta"]
+    assert index.vacuum() >= 1 and chunks_of(index) == ["beta"]
 
 
 def test_pluggable_similarity(spark, tmp_path):
