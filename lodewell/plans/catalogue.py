@@ -17,6 +17,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import chunking, graph, incremental, proximity, retrieval
 from ..sources import scan
+from ..sources.communities import CommunityStore
 from ..sources.lexical import LexicalIndex, spread
 from ..sources.scratch import scratch_dir
 from ..sources.tables import KeyedTable
@@ -891,3 +892,54 @@ def stream_incremental(spark, at):
 
 stream_incremental.runs = 0
 sql("stream_incremental", "select doc_id, case when doc_id % 4 = 0 then 'xx' else lang end as lang from documents")
+
+
+@query
+def stream_listings(spark, at):
+    """Two listings of the documents' files as a stream: what is new, changed and deleted, and when that is known."""
+    from ..streaming import listings
+
+    stream_listings.runs += 1
+    base, (disk, known) = f"{scratch_dir(spark)}/listings-{stream_listings.runs}", manifests(spark, at)
+    for when, rows in ((1000, known), (2000, disk)):
+        rows.select("rel_path", "mtime_ns", "size", F.timestamp_millis(F.lit(when)).alias("listed_at")).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    listings.follow_listings(spark, f"{base}/in", f"{base}/log", f"{base}/out")
+    return spark.read.schema(listings.CHANGE).parquet(f"{base}/out").select("rel_path", "change", "at_ms")
+
+
+stream_listings.runs = 0
+sql("stream_listings", f"""with {MAN} select rel_path, 'new' as change, 1000::bigint as at_ms from k union all
+select rel_path, case when k.size is null then 'new' when f.size is null then 'deleted' else 'changed' end, case when f.size is null then 1001 else 2000 end from k full join f using (rel_path) where k.size is null or f.size is null or k.size <> f.size or k.mtime_ns <> f.mtime_ns""")
+
+
+@query
+def routed_batch(spark, at):
+    """Every query's ten nearest in the three communities whose bundles are nearest to it, from vectors stored by community."""
+    routed_batch.runs += 1
+    v = read(spark, at, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").cast("long").alias("community"))
+    store = CommunityStore.build(v, f"{scratch_dir(spark)}/routed-{routed_batch.runs}")
+    return store.search_batch(fiftieth(spark, at).withColumnRenamed("embedding", "vector"), 10, 3).select("query", F.col("id").alias("vec_id"), six("score").alias("score"), "rank")
+
+
+routed_batch.runs = 0
+sql("routed_batch", f"""with {BUNDLE}, q as (select vec_id query, unnest(embedding)::double x, unnest(range(0, 64))::int dim from embeddings where vec_id % 50 = 0),
+z as (select query, label, sum(b.v * q.x) s from b join q using (dim) group by all), r as (select query, label, row_number() over (partition by query order by round(s, 9) desc, label) n from z)
+select query, v.vec_id, {six_sql(dot_sql('e.embedding', 'v.embedding'))} as score, row_number() over (partition by query order by round({dot_sql('e.embedding', 'v.embedding')}, 9) desc, v.vec_id)::int as rank
+from r join embeddings e on e.vec_id = query join embeddings v on v.label = r.label where n <= 3 qualify rank <= 10""")
+
+
+@query
+def bundle_updates(spark, at):
+    """Bundles after vectors have come, gone and moved, kept by sums."""
+    bundle_updates.runs += 1
+    v = read(spark, at, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").cast("long").alias("community"))
+    store = CommunityStore.build(v.where("id % 4 <> 0"), f"{scratch_dir(spark)}/bundles-{bundle_updates.runs}")
+    store.change(v.where("id % 4 = 0"), v.where("id % 7 = 1").select("id"))
+    store.change(v.where("id % 11 = 3 and (id % 7 <> 1 or id % 4 = 0)").withColumn("community", F.pmod(F.col("community") + 1, F.lit(10))))
+    return store.bundles().select("community", "n", F.posexplode("bundle").alias("dim", "x")).select("community", "n", F.col("dim").cast("int").alias("dim"), six("x").alias("value"))
+
+
+bundle_updates.runs = 0
+sql("bundle_updates", f"""with m as (select vec_id, embedding, case when vec_id % 11 = 3 then (label + 1) % 10 else label end::bigint community from embeddings where vec_id % 7 <> 1 or vec_id % 4 = 0),
+d as (select community, unnest(embedding)::double x, unnest(range(0, 64))::int dim from m), u as (select community, dim, sum(x) s, count(*) n from d group by all)
+select community, n, dim, {six_sql('s / sqrt(sum(s * s) over (partition by community))')} as value from u""")

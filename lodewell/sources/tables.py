@@ -30,11 +30,12 @@ class KeyedTable:
         self.made = self._manifests.read(version)
         self.key, self.schema = self.made["key"], self.made["schema"]
         kind = next(x.dataType.simpleString() for x in spark.createDataFrame([], self.schema).schema if x.name == self.key)
-        self._schemas = {"rows": f"{self.schema}, _seq int, part string, _bucket int", "gone": f"{self.key} {kind}, _seq int, part string"}
+        self._schemas = {"rows": f"{self.schema}, _seq int, part string, _bucket long", "gone": f"{self.key} {kind}, _seq int, part string"}
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, schema: str, key: str, buckets: int = BUCKETS) -> KeyedTable:
-        made = Manifests(spark, path).put({"parts": [], "gone": [], "seq": 0, "buckets": buckets, "key": key, "schema": schema})
+    def create(cls, spark: SparkSession, path: str, schema: str, key: str, buckets: int = BUCKETS, by: str | None = None) -> KeyedTable:
+        """An empty table. Its folders are of the values of column `by`, a whole number, where that is given, in place of hashes of the key."""
+        made = Manifests(spark, path).put({"parts": [], "gone": [], "seq": 0, "buckets": buckets, "key": key, "schema": schema, "by": by})
         return cls(spark, path, made["name"])
 
     @property
@@ -64,7 +65,8 @@ class KeyedTable:
 
     def _write(self, rows: DataFrame, name: str, seq: int) -> int:
         columns = self.spark.createDataFrame([], self.schema).columns
-        out = rows.select(*columns, F.lit(seq).alias("_seq"), self._bucket().alias("_bucket")).repartition(self.made["buckets"], "_bucket")
+        folder = F.col(self.made["by"]).cast("long") if self.made["by"] else self._bucket()
+        out = rows.select(*columns, F.lit(seq).alias("_seq"), folder.alias("_bucket")).repartition(self.made["buckets"], "_bucket")
         out.sortWithinPartitions("_bucket", self.key).write.partitionBy("_bucket").parquet(self._at("rows", name))
         return self._read("rows", [name]).count()
 
@@ -97,7 +99,7 @@ class KeyedTable:
         return f"{self.path}/{table}/part={name}"
 
     def _bucket(self, key=None):
-        return F.pmod(F.xxhash64(F.col(self.key) if key is None else key), F.lit(self.made["buckets"])).cast("int")
+        return F.pmod(F.xxhash64(F.col(self.key) if key is None else key), F.lit(self.made["buckets"])).cast("long")
 
     def _read(self, table: str, names: list[str]) -> DataFrame:
         if not names:
@@ -114,9 +116,17 @@ class KeyedTable:
         """The rows in force."""
         return self._alive(self._read("rows", [p["name"] for p in self.made["parts"]])).drop("_seq", "part", "_bucket")
 
+    def folders(self, values: list[int]) -> DataFrame:
+        """The rows in force in these folders of a table that has them by a column; others are not read."""
+        return self._alive(self._read("rows", [p["name"] for p in self.made["parts"]]).where(F.col("_bucket").isin(values))).drop("_seq", "part", "_bucket")
+
     def lookup(self, keys: list | DataFrame) -> DataFrame:
-        """The rows in force whose keys are among these. Only the folders that hold such keys are read."""
+        """The rows in force whose keys are among these. Where folders are of keys, only those that hold such keys are read."""
         rows = self._read("rows", [p["name"] for p in self.made["parts"]])
+        if self.made["by"]:
+            if isinstance(keys, DataFrame):
+                return self._alive(rows.join(keys.select(self.key).distinct(), self.key, "left_semi")).drop("_seq", "part", "_bucket")
+            return self._alive(rows.where(F.col(self.key).isin([k for k in keys if k is not None]))).drop("_seq", "part", "_bucket")
         if isinstance(keys, DataFrame):
             wanted = keys.select(self.key).where(F.col(self.key).isNotNull())
             here = [r.b for r in wanted.select(self._bucket().alias("b")).distinct().collect()]  # there are as many as folders at most
@@ -125,6 +135,6 @@ class KeyedTable:
             keys = list(dict.fromkeys(k for k in keys if k is not None))
             if len(keys) > LISTED:
                 return self.lookup(self.spark.createDataFrame([(k,) for k in keys], self._schemas["gone"].split(",")[0]))
-            here = F.array(*(self._bucket(F.lit(k).cast(dict(rows.dtypes)[self.key])) for k in keys)) if keys else F.array().cast("array<int>")  # folded, so folders are pruned
+            here = F.array(*(self._bucket(F.lit(k).cast(dict(rows.dtypes)[self.key])) for k in keys)) if keys else F.array().cast("array<bigint>")  # folded, so folders are pruned
             found = rows.where(F.array_contains(here, F.col("_bucket")) & F.col(self.key).isin(keys))
         return self._alive(found).drop("_seq", "part", "_bucket")
