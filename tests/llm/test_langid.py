@@ -60,3 +60,81 @@ def test_repeated_rows_nulls_and_clashes(spark, docs_of):
     kept = langid.with_language(docs, model).collect()
     assert len(kept) == len(asked) and {x.score for x in kept} == {"own"} and sum(not x["_lw_lang"].rejected for x in kept) == 4
     assert langid.identify(docs_of([]), model).count() == 0 and langid.with_language(docs_of([]), model).count() == 0
+
+
+def plain_grams(text):
+    """n-grams of 1 to 3 bytes of the lower-cased letters, by place."""
+    raw = b" " + b" ".join(bytes(b if b > 127 or 97 <= b <= 122 or 65 <= b <= 90 else 32 for b in text.lower().encode()).split()) + b" "
+    out = {}
+    for n in (1, 2, 3):
+        for i in range(len(raw) - n + 1):
+            g = n
+            for b in raw[i : i + n]:
+                g = (g * 257 + b) % 2**32
+            p = g * 2654435761 % 2**32 >> 19
+            out[p] = out.get(p, 0) + 1
+    return out
+
+
+def unit(v):
+    norm = sum(x * x for x in v.values()) ** 0.5
+    return {k: x / norm for k, x in v.items()} if norm else v
+
+
+def cos(a, b):
+    return sum(x * b.get(k, 0.0) for k, x in a.items())
+
+
+def summed(vs):
+    out = {}
+    for v in vs:
+        for k, x in v.items():
+            out[k] = out.get(k, 0.0) + x
+    return out
+
+
+def test_query_against_a_plain_classifier(spark):
+    """The whole query again with dictionaries: counts, document frequencies, clusters, cosines and rejection."""
+    import math
+    import zlib
+
+    at = "/root/testdata/sf0.001"
+    docs = sorted(spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text", "lang").collect())
+    letters = lambda t: t is not None and any(c.isalpha() for c in t)
+    held = {d.doc_id: zlib.crc32(str(d.doc_id).encode()) % 4 == 2 for d in docs}
+    grams = {d.doc_id: plain_grams(d.text) for d in docs if letters(d.text)}
+    train = [d for d in docs if not held[d.doc_id] and d.doc_id in grams and d.lang is not None]
+    df = {}
+    for d in train:
+        for p in grams[d.doc_id]:
+            df[p] = df.get(p, 0) + 1
+    vec = {i: unit({p: math.log1p(c) * (math.log((1 + len(train)) / (1 + df.get(p, 0))) + 1) for p, c in g.items()}) for i, g in grams.items()}
+    centroids, near_by_size = [], {}
+    for lang in sorted({d.lang for d in train}):
+        own = [vec[d.doc_id] for d in train if d.lang == lang]
+        assert len(own) <= langid.SAMPLE / 1.2  # all of them are clustered
+        centres = [unit(summed(own))]
+        while len(centres) < min(langid.CENTROIDS, len(own)):
+            far = [max(cos(v, c) for c in centres) for v in own]
+            centres.append(own[far.index(min(far))])
+        for _ in range(langid.TURNS):
+            of = [max(range(len(centres)), key=lambda j, v=v: (cos(v, centres[j]), -j)) for v in own]
+            centres = [unit(summed(v for v, o in zip(own, of, strict=True) if o == j)) for j in range(len(centres)) if j in of]
+        centroids += [(lang, c) for c in centres]
+        for d in train:
+            if d.lang == lang:
+                near_by_size.setdefault(sum(grams[d.doc_id].values()).bit_length(), []).append(max(cos(vec[d.doc_id], c) for c in centres))
+    floor = [0.0] * 32
+    for size in range(1, 32):
+        some = near_by_size.get(size, ())
+        floor[size] = langid.REJECT_SHARE * np.percentile(some, 1) if len(some) >= 20 else floor[size - 1]
+    got = {r.doc_id: r for r in langid.op9_language_id(spark, at).collect()}
+    assert len(got) == len(docs)
+    for d in docs:
+        r = got[d.doc_id]
+        if d.doc_id not in grams:
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        best, lang = max((cos(vec[d.doc_id], c), lang) for lang, c in centroids)
+        assert r.held_out == held[d.doc_id] and abs(r.score - min(1.0, best)) < 1e-4, d.doc_id
+        assert r.lang_pred == lang and r.rejected == (best < floor[min(31, sum(grams[d.doc_id].values()).bit_length())])
