@@ -9,8 +9,8 @@ those, rounded up, whatever its parent was to become). Given a number, rows that
 even shard of the others (there are fewer than shards) are a shard each, beside the tree: inside
 of it they would leave shards empty that their share of the bytes had been given. Quantiles are found by histograms: a node's
 keys (the coordinate, then a hash of the row, so that equal coordinates can be parted anywhere)
-are summed in up to 4096 bins; the bin that holds the quantile is divided again until it weighs
-next to nothing. A pass is one aggregation for all nodes of a level. Nodes are tables, joined to
+are summed in up to 4096 bins; the bin that holds the quantile is divided again, between the
+least and the greatest key in it, until it weighs next to nothing. A pass is one aggregation for all nodes of a level. Nodes are tables, joined to
 the rows by their number: the driver only counts them, and no task gathers a node's rows.
 """
 
@@ -50,15 +50,15 @@ def _cuts(rows: DataFrame, names: list[str], nodes: DataFrame, enough: float, mo
     step = F.floor((col("_lw_hi") - col("_lw_lo")) / width).cast("long") + 1
     while True:
         at = rows.join(nodes.withColumn("_lw_step", step), "_lw_node").withColumn("_lw_key", _key(names)).where("_lw_key between _lw_lo and _lw_hi")
-        hist = at.groupBy("_lw_node", F.floor((col("_lw_key") - col("_lw_lo")) / col("_lw_step")).cast("long").alias("_lw_bin")).agg(F.sum("_lw_size").alias("_lw_own"))
+        hist = at.groupBy("_lw_node", F.floor((col("_lw_key") - col("_lw_lo")) / col("_lw_step")).cast("long").alias("_lw_bin")).agg(F.sum("_lw_size").alias("_lw_own"), F.min("_lw_key").alias("_lw_least"), F.max("_lw_key").alias("_lw_most"))
         hist = hist.withColumn("_lw_upto", F.sum("_lw_own").over(Window.partitionBy("_lw_node").orderBy("_lw_bin")))
         bins = hist.join(nodes.select("_lw_node", "_lw_need"), "_lw_node").where("_lw_upto >= _lw_need and _lw_upto - _lw_own < _lw_need").drop("_lw_need")
         got = nodes.withColumn("_lw_step", step).join(bins, "_lw_node", "left")  # at most one bin a node; none: no bytes are left of the quantile
-        start, below = col("_lw_lo") + col("_lw_bin") * col("_lw_step"), col("_lw_upto") - col("_lw_own")
-        done = col("_lw_bin").isNull() | (col("_lw_own") <= enough) | (col("_lw_step") == 1)
+        below = col("_lw_upto") - col("_lw_own")
+        done = col("_lw_bin").isNull() | (col("_lw_own") <= enough) | (col("_lw_least") == col("_lw_most"))
         nearer = col("_lw_need") - below > col("_lw_own") / 2  # the quantile is nearer to the bin's end
-        t = F.when(col("_lw_bin").isNull(), col("_lw_lo")).when(nearer, start + col("_lw_step")).otherwise(start)
-        got = scratch.save(got.select("_lw_node", "_lw_d", start.alias("_lw_lo"), (start + col("_lw_step") - 1).alias("_lw_hi"), (col("_lw_need") - below).alias("_lw_need"), F.when(done, t).alias("_lw_t")), "bins")
+        t = F.when(col("_lw_bin").isNull(), col("_lw_lo")).when(nearer, col("_lw_most") + 1).otherwise(col("_lw_least"))
+        got = scratch.save(got.select("_lw_node", "_lw_d", col("_lw_least").alias("_lw_lo"), col("_lw_most").alias("_lw_hi"), (col("_lw_need") - below).alias("_lw_need"), F.when(done, t).alias("_lw_t")), "bins")
         own = got.where("_lw_t is not null").select("_lw_node", "_lw_d", "_lw_t")
         found = own if found is None else found.union(own)
         nodes = got.where("_lw_t is null").drop("_lw_t")
