@@ -15,7 +15,7 @@ from .. import formatting
 from ..functions import hashing as H
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import chunking, graph, incremental, proximity, retrieval
+from ..operators import balance, chunking, graph, incremental, proximity, retrieval
 from ..sources import scan
 from ..sources.communities import CommunityStore
 from ..sources.lexical import LexicalIndex, spread
@@ -299,6 +299,18 @@ def shard_rebalance(spark, at):
 sql("shard_rebalance", "select label as community, count(*) as n, case when count(*) > 64 * 12 / 4.0 then 'split' when count(*) < 10 then 'merge' else 'keep' end as action from embeddings group by 1")
 
 
+@query
+def communities_rebalanced(spark, at):
+    """Labels as communities, split and joined until none is out of bounds: how many vectors there are, and how many are in communities that are."""
+    v = read(spark, at, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"), F.col("label").cast("long").alias("community"))
+    least, most = balance.bounds(64, 1.5)
+    sizes = graph.sizes(balance.rebalanced(v, least, most))
+    return sizes.agg(F.sum("n").alias("vectors"), F.sum(F.when(F.col("n").between(least, most), 0).otherwise(F.col("n"))).alias("out_of_bounds"))
+
+
+sql("communities_rebalanced", "select count(*) as vectors, 0::bigint as out_of_bounds from embeddings")
+
+
 @query
 def adaptive_gamma(spark, at):
     return graph.adaptive_gamma(edges(spark, at)).select(six("gamma").alias("gamma"))
