@@ -13,13 +13,13 @@ def frame(spark, vectors, labels):
 
 def test_bounds_and_stable_names(spark):
     g = np.random.default_rng(4)
-    v = g.standard_normal((260, 8))
+    v = g.standard_normal((130, 8))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    labels = [0] * 170 + [1] * 50 + [2 + i // 4 for i in range(40)]
+    labels = [0] * 75 + [1] * 35 + [2 + i // 4 for i in range(20)]
     df = frame(spark, v, labels)
     got = {r.id: r.community for r in balance.rebalanced(df, 10, 32).collect()}
     n = np.unique(list(got.values()), return_counts=True)[1]
-    assert len(got) == 260 and n.min() >= 10 and n.max() <= 32
+    assert len(got) == 130 and n.min() >= 10 and n.max() <= 32
     assert all(min(i for i in got if got[i] == c) == c for c in set(got.values()))
     again = {r.id: r.community for r in balance.rebalanced(df.repartition(7), 10, 32).collect()}
     assert again == got

@@ -23,7 +23,7 @@ def test_leiden_cases(spark):
     assert set(communities(spark, {f"s{i}": (1, 0) for i in range(10)}).values()) == {0}
 
 
-def planted(spark, groups=5, size=9):
+def planted(spark, groups=3, size=7):
     """Groups that are cliques, each tied to the next by an edge that is not worth joining for."""
     rows = [(g * size + i, g * size + j, 1.0) for g in range(groups) for i in range(size) for j in range(i)]
     rows = [(b, a, w) for a, b, w in rows] + [(g * size, (g + 1) * size, 0.0001) for g in range(groups - 1)]
@@ -34,12 +34,12 @@ def test_one_end_whatever_a_task_may_hold(spark):
     edges, nodes = planted(spark)
     for in_task in (graph.IN_TASK, 0):
         got = graph.leiden(edges, nodes, in_task=in_task).collect()
-        assert {r.id: r.community for r in got} == {i: i // 9 for i in range(45)}
+        assert {r.id: r.community for r in got} == {i: i // 7 for i in range(21)}
 
 
 def test_moves_by_joins_end_where_nothing_gains(spark):
-    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 90")
-    nodes, edges = v.select(F.col("vec_id").alias("id")), graph.symmetric(graph.knn(v, 6)).where("sim > 0").coalesce(1).persist()
+    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 60")
+    nodes, edges = v.select(F.col("vec_id").alias("id")), graph.symmetric(graph.knn(v, 5)).where("sim > 0").coalesce(1).persist()
     coarse = graph.moved(edges, nodes).persist()
     assert graph.move_options(edges, coarse).isEmpty() and graph.cpm_quality(edges, coarse).first()[0] > 0
     gains = graph.move_gain(edges, coarse).where(F.col("gain") > graph.MIN_GAIN)
@@ -52,7 +52,7 @@ def test_moves_by_joins_end_where_nothing_gains(spark):
         for i, x in sub.items():
             groups.setdefault(x, set()).add(i)
             whole.setdefault(own[i], set()).add(i)
-        assert len(sub) == 90 and len(groups) < 90
+        assert len(sub) == 60 and len(groups) < 60
         for g in groups.values():
             assert len({own[i] for i in g}) == 1
             rest = whole[own[next(iter(g))]] - g
