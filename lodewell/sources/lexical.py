@@ -99,8 +99,10 @@ class LexicalIndex:
         seq, name, columns = self.made["seq"] + 1, uuid.uuid4().hex, self.made["columns"]
         docs = spread(docs.select("id", *columns))
         rows = occurrences(docs, "id", columns)
-        own = docs.select("id").join(rows.groupBy("id").agg(F.first("size").alias("size"), F.collect_set("term").alias("terms")), "id", "left")
-        own = own.select("id", F.coalesce("size", F.lit(0)).cast("int").alias("size"), F.coalesce("terms", F.array().cast("array<string>")).alias("terms"), F.lit(seq).alias("seq"))
+        words = [T.tokens(F.coalesce(F.col(c), F.lit(""))) for c in columns]
+        own = docs.select("id", *(w.alias(f"_t{i}") for i, w in enumerate(words)))
+        size = sum((F.size(f"_t{i}") for i in range(len(words))), F.lit(0))
+        own = own.select("id", size.cast("int").alias("size"), F.array_distinct(F.concat(*(f"_t{i}" for i in range(len(words))))).alias("terms"), F.lit(seq).alias("seq"))
         own.sortWithinPartitions("id").write.parquet(self._at("docs", name))
         own = self._read("docs", [name])
         gone, out = None, {"docs": 0, "tokens": 0}
