@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from .scratch import dropped, saved
 
 #: Text for each folder, postings of a block, and segments of like size (within as many times) that are merged.
 BUCKET_BYTES, BLOCK, TIER = 128 << 20, 128, 4
+#: Tokens of the documents whose postings are put together before they are dealt out (a longer document is put together alone).
+TOKENS = 1 << 21
 #: What scores that rank alike may differ by, and a bound from what it is of.
 ALIKE, ROUNDING = 1e-9, 1e-12
 
@@ -43,14 +46,45 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(least) if df._jdf.queryExecution().toRdd().getNumPartitions() < least else df
 
 
-def occurrences(docs: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
-    """(term, id, size, pos): a row for each token of each document. Null texts are empty."""
+def pieces(docs: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
+    """(term, ids, lens, places): the postings of documents that a task reads together, up to BLOCK of a term in a row. Null texts are empty; ids are unique.
+
+    A document's postings are made where it is read, and what is shuffled is a row for many of a frequent term.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
     lists = [T.tokens(F.coalesce(F.col(c), F.lit(""))) for c in text_cols]
     d = docs.select(F.col(id_col).alias("id"), *(t.alias(f"_t{i}") for i, t in enumerate(lists)))
     gap = F.array(F.lit(None).cast("string"))
     words = F.concat(*(x for i in range(len(lists)) for x in ([gap] if i else []) + [F.col(f"_t{i}")]))
     size = sum((F.size(f"_t{i}") for i in range(len(lists))), F.lit(0))
-    return d.select("id", size.alias("size"), F.posexplode(words).alias("pos", "term")).where("term is not null").select("term", "id", "size", "pos")
+    return d.select("id", size.cast("int").alias("size"), words.alias("words")).mapInArrow(_pieces, f"term string, ids array<{kind}>, lens array<int>, places array<array<int>>")
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        part = np.cumsum(pc.list_value_length(whole.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)) // TOKENS
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), whole.num_rows]
+        for at, end in pairwise(cuts):
+            b = whole.slice(at, end - at)
+            many = pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat, doc = b.column(2).flatten(), np.repeat(np.arange(b.num_rows), many)
+            pos = np.arange(len(flat)) - np.repeat(np.cumsum(many) - many, many)
+            there = flat.is_valid().to_numpy(zero_copy_only=False)
+            flat, doc, pos = flat.filter(pa.array(there)).dictionary_encode(), doc[there], pos[there]
+            if not len(doc):
+                continue
+            code = flat.indices.to_numpy()
+            order = np.lexsort((doc, code))  # stable: places stay in order
+            code, doc, pos = code[order], doc[order], pos[order].astype(np.int32)
+            one = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])])  # where a posting begins
+            code_, doc = code[one], doc[one]
+            new = np.r_[True, code_[1:] != code_[:-1]]
+            nth = np.arange(len(one)) - np.maximum.accumulate(np.where(new, np.arange(len(one)), 0))
+            starts = np.flatnonzero(nth % BLOCK == 0)
+            places = pa.ListArray.from_arrays(pa.array(np.r_[one, len(pos)].astype(np.int32)), pa.array(pos))
+            cut, doc = pa.array(np.r_[starts, len(one)].astype(np.int32)), pa.array(doc)
+            lists = [pa.ListArray.from_arrays(cut, x) for x in (b.column(0).take(doc), b.column(1).take(doc), places)]
+            yield pa.RecordBatch.from_arrays([flat.dictionary.take(pa.array(code_[starts])), *lists], names=["term", "ids", "lens", "places"])
 
 
 class LexicalIndex:
@@ -98,7 +132,6 @@ class LexicalIndex:
         """Adds docs(id, the text columns), in place of those with their ids, and removes those of removed(id). Written are their postings and tombstones."""
         seq, name, columns = self.made["seq"] + 1, uuid.uuid4().hex, self.made["columns"]
         docs = spread(docs.select("id", *columns))
-        rows = occurrences(docs, "id", columns)
         words = [T.tokens(F.coalesce(F.col(c), F.lit(""))) for c in columns]
         own = docs.select("id", *(w.alias(f"_t{i}") for i, w in enumerate(words)))
         size = sum((F.size(f"_t{i}") for i in range(len(words))), F.lit(0))
@@ -118,9 +151,8 @@ class LexicalIndex:
         df = own.select(F.explode("terms").alias("term"), F.lit(1).alias("n"))
         df = df if gone is None else df.union(gone.select(F.explode("terms"), F.lit(-1)))
         self._write_terms(df.groupBy("term").agg(F.sum("n").alias("df")), name)
-        postings = rows.groupBy("term", "id").agg(F.first("size").alias("size"), F.array_sort(F.collect_list("pos")).alias("places"))
         avg = now.tokens / max(1, now.docs)
-        self._write_blocks(postings, name, seq, avg, now.tokens)
+        self._write_blocks(pieces(docs, "id", columns), name, seq, avg, now.tokens)
         if gone is not None:
             dropped(gone)
         made = dict(self.made)
@@ -147,7 +179,8 @@ class LexicalIndex:
         now = self._read("docs", [name]).agg(F.count("*").alias("docs"), F.coalesce(F.sum("size"), F.lit(0)).alias("tokens")).first()
         self._write_terms(self._read("terms", names).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0"), name)
         avg = now.tokens / max(1, now.docs)
-        self._write_blocks(self._alive(self._exploded(self._read("blocks", names))).select("term", "id", "size", "places"), name, seq, avg, now.tokens)
+        alive = self._alive(self._exploded(self._read("blocks", names)))
+        self._write_blocks(alive.select("term", F.array("id").alias("ids"), F.array("size").alias("lens"), F.array("places").alias("places")), name, seq, avg, now.tokens)
         kept = [s for s in self.made["segments"] if s["name"] not in names]
         segments = [*kept, {"name": name, "docs": now.docs, "tokens": now.tokens, "avg": avg, "seq": seq}]
         gone = [g for g in self.made["gone"] if any(s["seq"] < g["seq"] for s in segments)]
@@ -169,9 +202,9 @@ class LexicalIndex:
         return max(1, min(max(self.spark.sparkContext.defaultParallelism, self.buckets), 1 + tokens // 10_000))
 
     def _write_blocks(self, postings: DataFrame, name: str, seq: int, avg: float, tokens: int) -> None:
-        """Postings are dealt out by ranges of (folder, term, document), so a frequent term is many tasks'."""
-        rows = postings.select(self._bucket(F.col("term"), self.buckets).alias("bucket"), "term", "id", "size", "places")
-        rows = rows.repartitionByRange(self._tasks(tokens), "bucket", "term", "id").sortWithinPartitions("bucket", "term", "id")
+        """Postings, in pieces(), are dealt out by ranges of (folder, term, first document), so a frequent term is many tasks'."""
+        rows = postings.select(self._bucket(F.col("term"), self.buckets).alias("bucket"), "term", F.element_at("ids", 1).alias("id"), "ids", "lens", "places")
+        rows = rows.repartitionByRange(self._tasks(tokens), "bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").drop("id")
         blocks = rows.mapInArrow(_blocks(avg, seq), f"bucket int, term string, impact double, ids array<{self.kind}>, lens array<int>, tfs array<int>, places array<array<int>>, seq int")
         blocks.sortWithinPartitions("bucket", "term", F.col("impact").desc()).write.option("parquet.page.row.count.limit", 64).partitionBy("bucket").parquet(self._at("blocks", name))
 
@@ -277,10 +310,11 @@ class LexicalIndex:
 def _blocks(avg: float, seq: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = b.num_rows
-            if not n:
+            if not b.num_rows:
                 continue
-            bucket, term, ids, size, places = (b.column(i) for i in range(5))
+            own = pa.array(np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False)))
+            bucket, term, (ids, size, places) = b.column(0).take(own), b.column(1).take(own), (b.column(i).flatten() for i in range(2, 5))
+            n = len(ids)
             new = np.r_[True, pc.not_equal(term.slice(1), term.slice(0, n - 1)).to_numpy(zero_copy_only=False).astype(bool)] if n > 1 else np.array([True])
             first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
             starts = np.flatnonzero((np.arange(n) - first) % BLOCK == 0)

@@ -44,6 +44,24 @@ def test_lexical_reads_its_terms_only(spark, lexical):
     assert empty.search("the").count() == 0 and empty.postings().count() == 0
 
 
+def test_postings_are_made_where_documents_are_read(spark, monkeypatch):
+    import lodewell.sources.lexical as lex
+
+    monkeypatch.setattr(lex, "TOKENS", 9)
+    docs = spark.createDataFrame([*TEXTS, ("h", "the", "the " * 300)], "id string, name string, source string").coalesce(1)
+    some = lex.pieces(docs, "id", ["name", "source"])
+    assert "hashpartitioning" not in some._jdf.queryExecution().executedPlan().toString()
+    got = {(r.term, i): (n, p) for r in some.collect() for i, n, p in zip(r.ids, r.lens, r.places, strict=True)}
+    want, size = {}, {}
+    for i, a, b in [*TEXTS, ("h", "the", "the " * 300)]:
+        words = [(x or "").lower().replace("_", " ").split() for x in (a, b)]
+        size[i] = sum(map(len, words))
+        for pos, w in enumerate([*words[0], None, *words[1]]):
+            if w:
+                want.setdefault((w, i), []).append(pos)
+    assert got == {k: (size[k[1]], p) for k, p in want.items()}
+
+
 def scores(df):
     return [(r[0], round(r[1], 9)) for r in df.collect()]
 
