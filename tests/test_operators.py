@@ -110,6 +110,17 @@ def test_leiden_properties(spark):
     assert all(len(x) == 1 for x in by.values())  # inside connected components
 
 
+def test_tables_of_nodes_are_not_broadcast(spark, monkeypatch):
+    """They grow with the graph, and a broadcast goes through the driver."""
+    plans, real = [], graph.saved
+    monkeypatch.setattr(graph, "saved", lambda df, tag: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df, tag))[1])
+    edges, nodes = planted(spark)
+    got = graph.leiden(edges, nodes)
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert {r.id: r.community for r in got.collect()} == {i: i // 7 for i in range(21)}
+    assert len(plans) > 4 and not any("BroadcastHashJoin" in p for p in plans)
+
+
 def test_knn_over_blocks(spark):
     v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 90")
     assert sorted(map(tuple, graph.knn(v, 5, block=20).select("src", "dst", "rank").collect())) == sorted(map(tuple, graph.knn(v, 5).select("src", "dst", "rank").collect()))
