@@ -88,6 +88,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """rows, of which there may be as many as the input has: their joins shuffle both sides, none goes to the driver to be broadcast."""
+    return rows.hint("merge")
+
+
 def no_null(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch
+from ._common import Scratch, shuffled
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -13,7 +13,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     Only nodes that have an edge to another node are returned. Every round is
     min-aggregations (partial on the map side) and equi-joins whose large side adaptive
-    execution can split; nothing is gathered per node. Nulls in a or b make no edge; an
+    execution can split; nothing is gathered per node or broadcast. Nulls in a or b make no edge; an
     empty input gives an empty result.
     """
     a, b = F.col("a"), F.col("b")
@@ -27,10 +27,10 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         state = sign
         both = now.union(now.select("b", "a").toDF("a", "b"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where(b > a).join(least, "a").select(b.alias("a"), F.col("m").alias("b")).where(a != b)
+        large = both.where(b > a).join(shuffled(least), "a").select(b.alias("a"), F.col("m").alias("b")).where(a != b)
         large = large.distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b"))
+        small = large.join(shuffled(least), "a").where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b"))
         after = scratch.save(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
         scratch.drop(now)
         now = after

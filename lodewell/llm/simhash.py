@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.lexical import spread
-from ._common import WORD, Scratch, frugal, no_null
+from ._common import WORD, Scratch, frugal, no_null, shuffled
 from ._graph import connected_components
 
 _WORD = re.compile(WORD.encode())
@@ -112,10 +112,10 @@ def links(fps: DataFrame, max_bits: int = 2, list_limit: int = 32) -> DataFrame:
     prefix, others = order[: max_bits + KEYED], order[max_bits + KEYED :]
     posts = lists(fps, prefix)
     sizes = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    posts = posts.join(sizes, "key")
+    posts = posts.join(shuffled(sizes), "key")
     short, long = posts.where(F.col("n") <= list_limit), posts.where(F.col("n") > list_limit)
 
-    met = short.select("key", fp.alias("x")).join(short.select("key", fp.alias("y")), "key").where(F.col("x") < F.col("y"))
+    met = shuffled(short.select("key", fp.alias("x"))).join(short.select("key", fp.alias("y")), "key").where(F.col("x") < F.col("y"))
     pairs = met.groupBy("x", "y").agg(F.count("*").alias("met"))
     shared = F.lit(0)
     for m in range(KEYED, len(prefix) + 1):
@@ -144,10 +144,10 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, max
     prints = scratch.save(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
     distinct = scratch.save(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     roots = connected_components(links(distinct.select("fp"), max_bits, list_limit), scratch)
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = distinct.join(shuffled(roots), distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = scratch.save(named, "named")
     scratch.keep(prints, named)
-    return prints, named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    return prints, shuffled(named).join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_bits: int = 2, list_limit: int = 32) -> DataFrame:
@@ -160,7 +160,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives an empty result; no other column of docs is looked at, whatever its name.
     """
     prints, named = _rooted(docs, id_col, text_col, shingle_words, max_bits, list_limit)
-    return prints.join(named, "fp").select("id", "fp", "component_id")
+    return prints.join(shuffled(named), "fp").select("id", "fp", "component_id")
 
 
 def hex_print(fp: str = "fp") -> Column:
@@ -175,10 +175,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     own = docs.where(F.col(id_col).isNotNull())
     prints, named = _rooted(own, id_col, text_col, shingle_words, max_bits, list_limit)
-    kept = prints.join(named, "fp").groupBy("root").agg(F.min(F.struct("id", "tk")).alias("k"))
+    kept = prints.join(shuffled(named), "fp").groupBy("root").agg(F.min(F.struct("id", "tk")).alias("k"))
     kept = kept.select(F.col("k.id").alias("_lw_id"), F.col("k.tk").alias("_lw_kept"))
     own = own.withColumn("_lw_tk", F.xxhash64(no_null(text_col)))
-    own = own.join(kept, (F.col(id_col) == F.col("_lw_id")) & (F.col("_lw_tk") == F.col("_lw_kept")), "left_semi")
+    own = own.join(shuffled(kept), (F.col(id_col) == F.col("_lw_id")) & (F.col("_lw_tk") == F.col("_lw_kept")), "left_semi")
     return own.dropDuplicates([id_col, "_lw_tk"]).drop("_lw_tk").union(docs.where(F.col(id_col).isNull()))
 
 

@@ -3,6 +3,7 @@ import random
 import xxhash
 
 from lodewell.llm import simhash
+from lodewell.llm._common import Scratch
 
 
 def brute_print(text):
@@ -138,3 +139,14 @@ def test_brute_force_and_clashes(spark, docs_of):
     assert len(kept) == len(least) and {x.fp for x in kept} == {"own"}
     prints = {brute_print(x.text) for x in kept}
     assert len(prints) == len(kept)
+
+
+def test_nothing_that_grows_is_broadcast(spark, docs_of, monkeypatch):
+    """Tables of fingerprints and links go to the driver on the way to a broadcast, and grow with the input."""
+    plans, real = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, *a: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(self, df, *a))[1])
+    docs = docs_of([(i, f"{'one two three four five six seven ' * 40}{i % 7}") for i in range(60)] + [(99, None)])
+    got = [simhash.near_duplicates(docs), simhash.drop_near_duplicates(docs.select("doc_id", "text"))]
+    plans += [x._jdf.queryExecution().executedPlan().toString() for x in got]
+    assert got[0].count() == 61 and len(plans) > 8
+    assert not any("BroadcastHashJoin" in p for p in plans)
