@@ -914,8 +914,8 @@ def stream_listings(spark, at):
     stream_listings.runs += 1
     base, (disk, known) = f"{scratch_dir(spark)}/listings-{stream_listings.runs}", manifests(spark, at)
     for when, rows in ((1000, known), (2000, disk)):
-        rows.select("rel_path", "mtime_ns", "size", F.timestamp_millis(F.lit(when)).alias("listed_at")).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    listings.follow_listings(spark, f"{base}/in", f"{base}/log", f"{base}/out")
+        rows.select("rel_path", "mtime_ns", "size", F.timestamp_millis(F.lit(when)).alias("listed_at")).write.mode("append").parquet(f"{base}/in")
+        listings.follow_listings(spark, f"{base}/in", f"{base}/log", f"{base}/out", per_batch=None)  # a listing is read and written by many tasks
     return spark.read.schema(listings.CHANGE).parquet(f"{base}/out").select("rel_path", "change", "at_ms")
 
 
