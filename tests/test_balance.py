@@ -44,3 +44,24 @@ def test_equal_vectors(spark, n):
     df = frame(spark, [[1.0, 0.0]] * n, [5] * n)
     got = balance.rebalanced(df, 3, 10).groupBy("community").agg(F.count("*").alias("n")).collect()
     assert sum(r.n for r in got) == n and all(r.n <= 10 and (r.n >= 3 or n < 3) for r in got)
+
+
+def test_vectors_move_a_bounded_number_of_times(spark, monkeypatch):
+    """Tables of vectors that are written are as many for many levels of splits and turns of joins as for few; splits in tasks and by all give communities within bounds, whatever the partitions."""
+    g = np.random.default_rng(5)
+    v = g.standard_normal((400, 6))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    tables, real = [], balance.saved
+    monkeypatch.setattr(balance, "saved", lambda df, tag: (tables.append("vector" in df.columns and "id" in df.columns), real(df, tag))[1])
+    df = frame(spark, v, [0] * 400)
+    got = {r.id: r.community for r in balance.rebalanced(df, 5, 12).collect()}
+    n = np.unique(list(got.values()), return_counts=True)[1]
+    assert len(got) == 400 and n.min() >= 5 and n.max() <= 12 and sum(tables) <= 3
+    by_all = {r.id: r.community for r in balance.split(df, 60, 100).collect()}
+    assert by_all == {r.id: r.community for r in balance.split(df.repartition(5), 60).collect()}
+
+
+def test_equal_vectors_by_all(spark):
+    """A large group of equal vectors is dealt anew at each turn until a task takes it."""
+    got = balance.split(frame(spark, [[1.0, 0.0]] * 90, [5] * 90), 10, 25).groupBy("community").agg(F.count("*").alias("n")).collect()
+    assert sum(r.n for r in got) == 90 and all(r.n <= 10 for r in got)
