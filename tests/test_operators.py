@@ -37,6 +37,21 @@ def test_one_end_whatever_a_task_may_hold(spark):
         assert {r.id: r.community for r in got} == {i: i // 7 for i in range(21)}
 
 
+def test_few_turns_for_what_no_task_holds(spark, monkeypatch):
+    """Nodes move in blocks, each one task's, whose communities are whole; so turns don't grow in number with the graph. A turn saves a table or two."""
+    turns, real = [], graph.saved
+    monkeypatch.setattr(graph, "saved", lambda df, tag: (turns.append(tag), real(df, tag))[1])
+    edges, nodes = planted(spark, 60, 8)
+    got = graph.leiden(edges, nodes, in_task=300).collect()
+    assert {r.id: r.community for r in got} == {i: i // 8 for i in range(480)} and len(turns) <= 30
+
+
+def test_parts_of_a_chain():
+    order = np.random.default_rng(5).permutation(1000)
+    got = graph._parts(1002, order[:-1][order[:-1] < 1000], order[1:])
+    assert (got[:1000] == 0).all() and got[1000] == 1000 and got[1001] == 1001
+
+
 def test_moves_by_joins_end_where_nothing_gains(spark):
     v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 60")
     nodes, edges = v.select(F.col("vec_id").alias("id")), graph.symmetric(graph.knn(v, 5)).where("sim > 0").coalesce(1).persist()
